@@ -105,19 +105,23 @@ def rule_judge(df: DataFrame) -> DataFrame:
     return df.withColumns(nested).drop(*temporary)
 
 
-def judge_with(df: DataFrame, client_factory: Callable[[], Callable[[list[str]], list[str]]], parallelism: int | None = None) -> DataFrame:
+def judge_with(df: DataFrame, client_factory: Callable[[], Callable[[list[str]], list[str]]], batch_rows: int = V.CHUNK_ROWS, parallelism: int | None = None) -> DataFrame:
     """Add ``judge_json`` from an external judge.
 
-    ``client_factory`` runs once per partition and returns a callable that maps a
-    batch of rendered inputs to JSON answers. Only the rendered masked text crosses
-    to Python. The batch size is ``spark.sql.execution.arrow.maxRecordsPerBatch``;
+    ``client_factory`` runs once per partition and returns a callable that maps at
+    most ``batch_rows`` rendered inputs to JSON answers. Only the rendered masked
+    text crosses to Python; all other columns stay in the JVM, so no join is needed.
     ``parallelism`` caps the number of concurrent clients.
     """
 
     def ask(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         client = client_factory()
         for batch in batches:
-            yield pd.Series(client(batch.tolist()), dtype="object")
+            texts = batch.tolist()
+            answers: list[str] = []
+            for start in range(0, len(texts), batch_rows):
+                answers += client(texts[start : start + batch_rows])
+            yield pd.Series(answers, dtype="object")
 
     # real types, not postponed text: pandas_udf reads them to pick the iterator form
     ask.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}

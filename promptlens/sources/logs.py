@@ -110,10 +110,10 @@ def attach_labels(df: DataFrame, tag: tuple[str, str] = ("telemetry", "prompt-an
     return df.withColumn("labels", labels(F.col("entry.jsonPayload"), tag))
 
 
-def message_stream(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
-    """Streaming (event_id, data) from JSON-lines envelope files; ``max_files`` per batch
-    is the back-pressure knob."""
-    reader = spark.readStream.schema("event_id string, data string")
+def message_stream(spark: SparkSession, path: str, max_files: int | None = None, fmt: str = "json") -> DataFrame:
+    """Streaming (event_id, data) from files of envelopes; ``max_files`` per batch is the
+    back-pressure knob."""
+    reader = spark.readStream.schema("event_id string, data string").format(fmt)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    return reader.json(path)
+    return reader.load(path)

@@ -61,8 +61,8 @@ def written_once(spark: SparkSession, sf: str, kind: str, write: Callable[[str],
     known = (spark.sparkContext.applicationId, kind, sf, *version)
     path = _tables.get(known)
     if path is not None:
-        marker, fs = _file(spark, f"{path}/_SUCCESS")
-        if fs.exists(marker):
+        folder, fs = _file(spark, path)
+        if fs.exists(folder):
             return path
     path = scratch_path(spark, kind)
     write(path)
@@ -78,21 +78,25 @@ def spread(df: DataFrame) -> DataFrame:
 
 def messages_path(spark: SparkSession, sf: str) -> str:
     """Folder of message envelopes, as a log sink would leave them."""
-    rows = T.messages(spread(events(spark, sf)))
-    return written_once(spark, sf, "messages", lambda path: rows.write.parquet(path))
+    return written_once(
+        spark, sf, "messages",
+        lambda path: T.messages(spread(events(spark, sf))).write.parquet(path),
+    )
 
 
 def messages(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.read.parquet(messages_path(spark, sf))
+    return prepare(spark).read.parquet(messages_path(spark, sf))
 
 
 def disturbed_path(spark: SparkSession, sf: str) -> str:
-    rows = T.disturbed_messages(spread(events(spark, sf)))
-    return written_once(spark, sf, "disturbed", lambda path: rows.write.parquet(path))
+    return written_once(
+        spark, sf, "disturbed",
+        lambda path: T.disturbed_messages(spread(events(spark, sf))).write.parquet(path),
+    )
 
 
 def disturbed(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.read.parquet(disturbed_path(spark, sf))
+    return prepare(spark).read.parquet(disturbed_path(spark, sf))
 
 
 def entries(spark: SparkSession, sf: str) -> DataFrame:
@@ -114,11 +118,11 @@ def masked(spark: SparkSession, sf: str) -> DataFrame:
 
 def curated(spark: SparkSession, sf: str) -> DataFrame:
     """The curated table; each report scans only the columns it needs."""
-    prepare(spark)
-    rows = curate(messages(spark, sf), DETECTORS, test_key(spark))
-    return read_curated(
-        spark, written_once(spark, sf, "curated", lambda path: write_curated(rows, path))
-    )
+
+    def write(path: str) -> None:
+        write_curated(curate(messages(spark, sf), DETECTORS, test_key(spark)), path)
+
+    return read_curated(prepare(spark), written_once(spark, sf, "curated", write))
 
 
 def stamp(col: str = "event_timestamp", name: str | None = None) -> Column:

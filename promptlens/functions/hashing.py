@@ -54,10 +54,12 @@ def hmac_sha256(message: Column, inner_pad: Column, outer_pad: Column) -> Column
 def format_actor_hash(digest_b64: Column) -> Column:
     """'usr_' + first 8 hex digits of a base64 digest.
 
-    Empty gives the anonymous actor; text that is not base64 keeps its first
-    8 alphanumerics in lower case.
+    Empty gives the anonymous actor. Characters outside the base64 alphabet are
+    ignored; text that still does not decode keeps its first 8 alphanumerics in
+    lower case.
     """
-    decoded = F.lower(F.hex(F.try_to_binary(digest_b64, F.lit("base64"))))
+    alphabet = F.regexp_replace(digest_b64, "[^0-9A-Za-z+/=]", "")
+    decoded = F.lower(F.hex(F.try_to_binary(alphabet, F.lit("base64"))))
     plain = F.lower(F.regexp_replace(digest_b64, "[^0-9A-Za-z]", ""))
     return F.when(F.coalesce(digest_b64, F.lit("")) == "", V.ANONYMOUS_ACTOR).otherwise(
         F.concat(F.lit(V.ACTOR_PREFIX), F.substring(F.coalesce(decoded, plain), 1, 8))

@@ -112,7 +112,8 @@ def cluster_for_write(df: DataFrame) -> DataFrame:
 
 def write_curated(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Create or replace (or append to) the table, partitioned by event date."""
-    cluster_for_write(df).write.mode(mode).partitionBy("event_date").parquet(path)
+    writer = cluster_for_write(df).write.mode(mode).option("partitionOverwriteMode", "static")
+    writer.partitionBy("event_date").parquet(path)
 
 
 def read_curated(spark: SparkSession, path: str) -> DataFrame:

@@ -4,7 +4,7 @@ import importlib
 
 from checks.base import ORACLES, QUERIES
 
-for _part in ("ingest", "privacy", "judging", "reporting"):
+for _part in ("ingest", "privacy", "judging", "reporting", "streams"):
     importlib.import_module(f"checks.{_part}")
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -139,8 +139,8 @@ check(
     )
 )
 
-_facet("j4_functional_intent", lambda: R.functional_intent(F.col(TEXT)), "functional_intent")
-_facet("j5_task_complexity", lambda: R.task_complexity(F.col("functional_intent"), F.col(TEXT), F.col(CONNECTORS), R.is_search_query_style(F.col(TEXT))),
+_facet("j4_functional_intent", lambda: R.functional_intent(R.first_verb(F.lower(F.col(TEXT)))), "functional_intent")
+_facet("j5_task_complexity", lambda: R.task_complexity(F.col("functional_intent"), F.lower(F.col(TEXT)), F.col(CONNECTORS), R.is_search_query_style(F.col(TEXT))),
     "task_complexity",
 )
 _facet("j6_manual_minutes", lambda: M.manual_minutes(F.col("task_complexity")), "estimated_manual_minutes", "minutes::BIGINT")
@@ -149,19 +149,19 @@ _facet("j6_manual_minutes", lambda: M.manual_minutes(F.col("task_complexity")),
 @check("j7_maturity_flags", sql("SELECT insert_id, has_persona, has_explicit_format, has_constraints FROM curated"))
 def maturity_flags(spark: SparkSession, sf: str) -> DataFrame:
     return curated(spark, sf).select(
-        "insert_id", R.has_persona(F.col(TEXT)).alias("has_persona"),
-        R.has_explicit_format(F.col(TEXT)).alias("has_explicit_format"), R.has_constraints(F.col(TEXT)).alias("has_constraints"),
+        "insert_id", R.has_persona(F.lower(F.col(TEXT))).alias("has_persona"),
+        R.has_explicit_format(F.lower(F.col(TEXT))).alias("has_explicit_format"), R.has_constraints(F.lower(F.col(TEXT))).alias("has_constraints"),
     )
 
 
 _facet("j8_search_query_style", lambda: R.is_search_query_style(F.col(TEXT)), "is_search_query_style")
 _facet("j9_maturity_level", lambda: R.maturity_level(
-        F.regexp_count(F.col(TEXT), F.lit(r"[^ ]+")), R.has_persona(F.col(TEXT)), R.has_explicit_format(F.col(TEXT)), R.has_constraints(F.col(TEXT))
+        R.is_short(F.col(TEXT)), R.has_persona(F.lower(F.col(TEXT))), R.has_explicit_format(F.lower(F.col(TEXT))), R.has_constraints(F.lower(F.col(TEXT)))
     ),
     "level",
 )
-_facet("j10_grounding_type", lambda: R.grounding_type(F.col(TEXT), F.col(CONNECTORS), F.col(LEAF)), "grounding_type")
-_facet("j11_requires_enterprise_knowledge", lambda: R.requires_enterprise_knowledge(F.col(TEXT), F.col(CONNECTORS)), "requires_enterprise_knowledge")
+_facet("j10_grounding_type", lambda: R.grounding_type(F.lower(F.col(TEXT)), F.col(CONNECTORS), F.col(LEAF)), "grounding_type")
+_facet("j11_requires_enterprise_knowledge", lambda: R.requires_enterprise_knowledge(F.lower(F.col(TEXT)), F.col(CONNECTORS)), "requires_enterprise_knowledge")
 _facet("j12_target_corpus", lambda: R.target_corpus(F.col("functional_intent"), F.col(CONNECTORS), F.col(LEAF), F.col("department")), "target_corpus"
 )
 
@@ -194,9 +194,9 @@ def conversation_flags(spark: SparkSession, sf: str) -> DataFrame:
     turns = prepare(spark).read.parquet(f"{sf}/conversations.parquet").where("role = 'user'")
     t = F.col("text")
     return turns.select(
-        "conv_id", "turn", R.has_persona(t).alias("has_persona"),
-        R.has_explicit_format(t).alias("has_explicit_format"),
-        R.has_constraints(t).alias("has_constraints"),
+        "conv_id", "turn", R.has_persona(F.lower(t)).alias("has_persona"),
+        R.has_explicit_format(F.lower(t)).alias("has_explicit_format"),
+        R.has_constraints(F.lower(t)).alias("has_constraints"),
         R.is_search_query_style(t).alias("is_search_query_style"),
     )
 

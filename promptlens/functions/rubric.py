@@ -7,15 +7,39 @@ All patterns run on lower-case text and use consuming ASCII boundaries.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterable
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from promptlens import fixed_values as V
-from promptlens.functions import payload as P
 
 
-def _cue(*words: str) -> str:
-    return f"(?:^|[^a-z])({'|'.join(words)})(?:[^a-z]|$)"
+def _any_of(phrases: Iterable[str]) -> str:
+    return f"(?:^|[^a-z])({'|'.join(phrases)})(?:[^a-z]|$)"
+
+
+class Cue:
+    """Phrases (small patterns) looked for in lower-case text, as whole words.
+
+    A text that holds none of the phrases' literal beginnings is never matched
+    against the pattern: plain substring tests are several times cheaper.
+    """
+
+    def __init__(self, *phrases: str):
+        self.pattern = _any_of(phrases)
+        self.needles = sorted({self._literal(p) for p in phrases})
+
+    @staticmethod
+    def _literal(phrase: str) -> str:
+        start = re.match(r"[a-z ]+", phrase).group()
+        return start[:-1] if phrase[len(start):].startswith("?") else start
+
+    def found(self, low: Column) -> Column:
+        candidates = reduce(lambda a, b: a | b, (low.contains(n) for n in self.needles))
+        return candidates & low.rlike(self.pattern)
 
 
 # The first cue verb of the prompt decides the intent; without one it is a question.
@@ -29,24 +53,27 @@ INTENT_VERBS = {
         "reconcile", "forecast",
     ],
 }
-VERB_PATTERN = _cue(*(v for verbs in INTENT_VERBS.values() for v in verbs))
-DEEP_PATTERN = _cue(
+VERB_PATTERN = _any_of(v for verbs in INTENT_VERBS.values() for v in verbs)
+DEEP = Cue(
     "root cause", "correlate", "tariff", "variance", "payback", "fault", "compliance", "forecast"
 )
-PERSONA_PATTERN = _cue("act as", "you are an?", "as a senior", "in the role of")
-FORMAT_PATTERN = _cue(
+PERSONA = Cue("act as", "you are an?", "as a senior", "in the role of")
+FORMAT = Cue(
     "markdown", "table", "json", "bullets?", "bullet points?", "checklist", "numbered list", "yaml"
 )
-CONSTRAINT_PATTERN = _cue(
+CONSTRAINTS = Cue(
     "limit", "at most", "at least", "no more than", "within", "exclude", "must not", "do not",
     "fewer than",
 )
-PASTED_PATTERN = _cue("pasted", "attached", "following (?:data|log|rows)", "here is the (?:data|log)")
-SYSTEM_PATTERN = _cue("sharepoint", "servicenow", "jira", "sap", "workday", "confluence", "google drive")
-INTERNAL_PATTERN = _cue(
+PASTED = Cue("pasted", "attached", "following (?:data|log|rows)", "here is the (?:data|log)")
+SYSTEMS = Cue("sharepoint", "servicenow", "jira", "sap", "workday", "confluence", "google drive")
+INTERNAL = Cue(
     "line [0-9]", "lot", "plant", "shift", "tickets?", "sop", "polic(?:y|ies)", "payroll",
     "onboarding", "vendor", "supplier", "press", "capa", "scrap", "overtime", "operators?", "claim",
 )
+# Word counts are only compared with small numbers: the match ends after a few words.
+_WORD, _GAP = r"[^ \t\r\n\f]", r"[ \t\r\n\f]"
+THREE_WORDS, SIX_WORDS = (f"^{_GAP}*+(?:{_WORD}++{_GAP}++){{{n}}}{_WORD}" for n in (2, 5))
 
 CONNECTOR_CORPUS = {
     "SharePoint_Manufacturing_SOPs": "product_docs",
@@ -99,42 +126,52 @@ def lookup(key: Column, table: dict[str, str], default: Column | None = None) ->
     return expr
 
 
-def first_verb(text: Column) -> Column:
-    return F.regexp_extract(F.lower(text), VERB_PATTERN, 1)
+# ``low`` below is the masked prompt in lower case.
 
 
-def functional_intent(text: Column) -> Column:
+def first_verb(low: Column) -> Column:
+    return F.regexp_extract(low, VERB_PATTERN, 1)
+
+
+def functional_intent(verb: Column) -> Column:
+    """Intent of the first cue verb; without one the prompt is a question."""
     verbs = {v: intent for intent, words in INTENT_VERBS.items() for v in words}
-    return lookup(first_verb(text), verbs, F.lit("info_seeking_qa"))
+    return lookup(verb, verbs, F.lit("info_seeking_qa"))
+
 
+def has_persona(low: Column) -> Column:
+    return PERSONA.found(low)
 
-def has_persona(text: Column) -> Column:
-    return F.lower(text).rlike(PERSONA_PATTERN)
 
+def has_explicit_format(low: Column) -> Column:
+    return FORMAT.found(low)
 
-def has_explicit_format(text: Column) -> Column:
-    return F.lower(text).rlike(FORMAT_PATTERN)
 
+def has_constraints(low: Column) -> Column:
+    return CONSTRAINTS.found(low)
 
-def has_constraints(text: Column) -> Column:
-    return F.lower(text).rlike(CONSTRAINT_PATTERN)
+
+def is_short(text: Column) -> Column:
+    """Five words or fewer."""
+    return ~text.rlike(SIX_WORDS)
 
 
 def is_search_query_style(text: Column) -> Column:
-    return P.word_count(text).between(3, 5)
+    """Three to five words."""
+    return is_short(text) & text.rlike(THREE_WORDS)
 
 
-def maturity_level(words: Column, persona: Column, fmt: Column, constraints: Column) -> Column:
+def maturity_level(short: Column, persona: Column, fmt: Column, constraints: Column) -> Column:
     """Level 1 for five words or fewer, level 3 from two of the three flags, else level 2."""
     flags = persona.cast("int") + fmt.cast("int") + constraints.cast("int")
-    return F.when(words <= 5, V.LEVEL_1).when(flags >= 2, V.LEVEL_3).otherwise(V.LEVEL_2)
+    return F.when(short, V.LEVEL_1).when(flags >= 2, V.LEVEL_3).otherwise(V.LEVEL_2)
 
 
-def task_complexity(intent: Column, text: Column, connectors: Column, search_style: Column) -> Column:
-    deep = F.lower(text).rlike(DEEP_PATTERN)
+def task_complexity(intent: Column, low: Column, connectors: Column, search_style: Column) -> Column:
+    deep = (intent == "analytical_reasoning") & DEEP.found(low)
     light = intent.isin("info_seeking_qa", "transformation_summary") & (F.size(connectors) < 2)
     return (
-        F.when((intent == "code_scripting") | ((intent == "analytical_reasoning") & deep), "high")
+        F.when((intent == "code_scripting") | deep, "high")
         .when(search_style | light, "low")
         .otherwise("medium")
     )
@@ -144,20 +181,16 @@ def is_agent(leaf_agent: Column) -> Column:
     return (leaf_agent != V.NATIVE_CHAT_AGENT) & (leaf_agent != "")
 
 
-def grounding_type(text: Column, connectors: Column, leaf_agent: Column) -> Column:
-    low = F.lower(text)
+def grounding_type(low: Column, connectors: Column, leaf_agent: Column) -> Column:
     return (
-        F.when(
-            (F.size(connectors) > 0) | is_agent(leaf_agent) | low.rlike(SYSTEM_PATTERN),
-            V.GROUNDING_RAG,
-        )
-        .when(low.rlike(PASTED_PATTERN), V.GROUNDING_PASTED)
+        F.when((F.size(connectors) > 0) | is_agent(leaf_agent) | SYSTEMS.found(low), V.GROUNDING_RAG)
+        .when(PASTED.found(low), V.GROUNDING_PASTED)
         .otherwise(V.GROUNDING_NONE)
     )
 
 
-def requires_enterprise_knowledge(text: Column, connectors: Column) -> Column:
-    return (F.size(connectors) > 0) | F.lower(text).rlike(INTERNAL_PATTERN)
+def requires_enterprise_knowledge(low: Column, connectors: Column) -> Column:
+    return (F.size(connectors) > 0) | INTERNAL.found(low)
 
 
 def target_corpus(intent: Column, connectors: Column, leaf_agent: Column, department: Column) -> Column:
@@ -175,8 +208,8 @@ def needs_minimisation(text: Column) -> Column:
 
 def missing_elements(persona: Column, fmt: Column, constraints: Column, gap: Column, pii: Column) -> Column:
     lacking = [~persona, ~fmt, ~constraints, gap, pii]
-    return F.array_compact(
-        F.array(*(F.when(test, F.lit(name)) for name, test in zip(V.MISSING_ELEMENTS, lacking)))
+    return F.array_remove(
+        F.array(*(F.when(test, name).otherwise("") for name, test in zip(V.MISSING_ELEMENTS, lacking))), ""
     )
 
 
@@ -186,33 +219,34 @@ def needs_improvement(level: Column, gap: Column, pii: Column) -> Column:
 
 def recommendation(missing: Column) -> Column:
     """One sentence of joined advice and, where needed, one on identifiers."""
-    steps = F.array_compact(
-        F.array(*(F.when(F.array_contains(missing, k), F.lit(v)) for k, v in ADVICE.items()))
-    )
+    steps = F.concat_ws(", ", *(F.when(F.array_contains(missing, k), v) for k, v in ADVICE.items()))
     text = F.concat_ws(
         " ",
-        F.when(F.size(steps) > 0, F.concat(F.lit("To improve, "), F.array_join(steps, ", "), F.lit("."))),
+        F.when(steps != "", F.concat(F.lit("To improve, "), steps, F.lit("."))),
         F.when(F.array_contains(missing, "pii_minimization"), F.lit(PII_ADVICE)),
     )
     return F.when(text == "", "No change needed.").otherwise(text)
 
 
-def without_masked_values(text: Column) -> Column:
-    """Replace the visible tails of masked numbers by neutral ids."""
-    return F.regexp_replace(
+def without_masked_values(text: Column, pii: Column) -> Column:
+    """Replace the visible tails of masked numbers, where there are any, by neutral ids."""
+    neutral = F.regexp_replace(
         F.regexp_replace(text, r"\*{3}-\*{2}-[0-9]{4}", "[EMPLOYEE_ID]"),
         r"\*{6}[0-9]{4}", "[RECORD_ID]",
     )
+    return F.when(pii, neutral).otherwise(text)
+
 
+def rewritten_prompt(safe_text: Column, department: Column, missing: Column, target: Column) -> Column:
+    """The prompt with the missing parts added and its source named."""
 
-def rewritten_prompt(text: Column, department: Column, missing: Column, target: Column) -> Column:
     def lacks(name: str, sentence: Column) -> Column:
         return F.when(F.array_contains(missing, name), sentence)
 
     return F.concat_ws(
         " ",
         lacks("persona_role", F.concat(F.lit("Act as a "), department, F.lit(" specialist."))),
-        without_masked_values(text),
+        safe_text,
         F.concat(F.lit("Use "), target, F.lit(" as the source.")),
         lacks("explicit_output_format", F.lit("Return the result as a Markdown table.")),
         lacks("scope_constraints", F.lit("Use at most 200 words and name the plant, shift or lot.")),

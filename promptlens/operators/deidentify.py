@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from promptlens import fixed_values as V
 from promptlens.functions import detectors as D
-from promptlens.functions.hashing import ActorKey, email_digest, format_actor_hash
+from promptlens.functions.hashing import ActorKey, actor_hash, email_digest
 
 # A word and, as look-ahead, the word after one space; possessive endings are left out.
 WORD_PAIR = r"(?<![\p{L}0-9_])(\p{L}+(?:['-]\p{L}+)*)(?= (\p{L}+(?:['-]\p{L}{2,})*))"
@@ -43,28 +43,27 @@ def deidentify(df: DataFrame, detectors: Sequence[D.Detector], key: ActorKey, st
 
     Expects ``employee_name, employee_email, prompt_text``; gives
     ``employee_name`` (emptied), ``employee_email`` (base64 digest),
-    ``prompt_text_masked`` and ``dlp_info_types``. The raw prompt is gone.
+    ``anonymous_actor_hash``, ``prompt_text_masked`` and ``dlp_info_types``.
+    The raw prompt is gone.
     """
+    email = F.col("employee_email")
     found = inspect(df, detectors, min_likelihood=min_likelihood)
-    return found.withColumns(
+    hashed = found.withColumns(
         {
             "employee_name": F.lit(""),
-            "employee_email": email_digest(F.col("employee_email"), key),
-            "prompt_text_masked": D.mask_text(
-                F.col("prompt_text"),
-                D.min_likelihood(detectors, min_likelihood),
-                style,
-                F.col("dlp_info_types"),
-            ),
+            "employee_email": email_digest(email, key),
+            "anonymous_actor_hash": actor_hash(email, key),
         }
+    )
+    chosen = D.min_likelihood(detectors, min_likelihood)
+    return D.mask_column(
+        hashed, "prompt_text", "prompt_text_masked", "dlp_info_types", chosen, style
     ).drop("prompt_text")
 
 
 def pseudonymise(df: DataFrame) -> DataFrame:
-    """Replace the digest by the actor id and drop the emptied name."""
-    return df.withColumn(
-        "anonymous_actor_hash", format_actor_hash(F.col("employee_email"))
-    ).drop("employee_name", "employee_email")
+    """Only the actor id stays: the emptied name and the full digest are dropped."""
+    return df.drop("employee_name", "employee_email")
 
 
 def find_dictionary_terms(df: DataFrame, id_col: str, text_col: str, terms: DataFrame, max_broadcast: int = 200_000, salts: int = 16) -> DataFrame:

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from promptlens import fixed_values as V
 from promptlens.functions import metrics as M
-from promptlens.functions import payload as P
 from promptlens.functions import rubric as R
 from promptlens.schema import COACHING, GROUNDING, JUDGE, MATURITY
 
@@ -43,23 +42,25 @@ def rule_judge(df: DataFrame) -> DataFrame:
 
     The steps are stacked so that each text pattern is evaluated once per row.
     """
-    text, c = F.col("prompt_text_masked"), F.col
+    text, low, c = F.col("prompt_text_masked"), F.col("_low"), F.col
+    df = df.withColumn("_low", F.lower(text))
     df = df.withColumns(
         {
-            "functional_intent": R.functional_intent(text),
-            "_words": P.word_count(text),
-            "_persona": R.has_persona(text),
-            "_format": R.has_explicit_format(text),
-            "_limits": R.has_constraints(text),
-            "_grounding": R.grounding_type(text, c("connectors_queried"), c("leaf_agent")),
-            "_requires": R.requires_enterprise_knowledge(text, c("connectors_queried")),
+            "_verb": R.first_verb(low),
+            "_short": R.is_short(text),
+            "_search": R.is_search_query_style(text),
+            "_persona": R.has_persona(low),
+            "_format": R.has_explicit_format(low),
+            "_limits": R.has_constraints(low),
+            "_grounding": R.grounding_type(low, c("connectors_queried"), c("leaf_agent")),
+            "_requires": R.requires_enterprise_knowledge(low, c("connectors_queried")),
             "_pii": R.needs_minimisation(text),
         }
     )
+    df = df.withColumn("functional_intent", R.functional_intent(c("_verb")))
     df = df.withColumns(
         {
-            "_search": c("_words").between(3, 5),
-            "_level": R.maturity_level(c("_words"), c("_persona"), c("_format"), c("_limits")),
+            "_level": R.maturity_level(c("_short"), c("_persona"), c("_format"), c("_limits")),
             "_corpus": R.target_corpus(
                 c("functional_intent"), c("connectors_queried"), c("leaf_agent"), c("department")
             ),
@@ -69,7 +70,7 @@ def rule_judge(df: DataFrame) -> DataFrame:
     df = df.withColumns(
         {
             "task_complexity": R.task_complexity(
-                c("functional_intent"), text, c("connectors_queried"), c("_search")
+                c("functional_intent"), low, c("connectors_queried"), c("_search")
             ),
             "_missing": R.missing_elements(
                 c("_persona"), c("_format"), c("_limits"), c("_gap"), c("_pii")
@@ -91,7 +92,9 @@ def rule_judge(df: DataFrame) -> DataFrame:
         R.needs_improvement(c("_level"), c("_gap"), c("_pii")),
         c("_missing"),
         R.recommendation(c("_missing")),
-        R.rewritten_prompt(text, c("department"), c("_missing"), c("_target")),
+        R.rewritten_prompt(
+            R.without_masked_values(text, c("_pii")), c("department"), c("_missing"), c("_target")
+        ),
         c("_target"),
     ]
     nested["prompt_coaching"] = F.struct(
@@ -99,7 +102,7 @@ def rule_judge(df: DataFrame) -> DataFrame:
     )
     nested["estimated_manual_minutes"] = M.manual_minutes(c("task_complexity"))
     temporary = [
-        "_words", "_persona", "_format", "_limits", "_grounding", "_requires", "_pii",
+        "_low", "_verb", "_short", "_persona", "_format", "_limits", "_grounding", "_requires", "_pii",
         "_search", "_level", "_corpus", "_gap", "_missing", "_target",
     ]
     return df.withColumns(nested).drop(*temporary)

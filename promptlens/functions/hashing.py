@@ -59,7 +59,8 @@ def format_actor_hash(digest_b64: Column) -> Column:
     lower case.
     """
     alphabet = F.regexp_replace(digest_b64, "[^0-9A-Za-z+/=]", "")
-    decoded = F.lower(F.hex(F.try_to_binary(alphabet, F.lit("base64"))))
+    whole = F.when(F.length(alphabet) % 4 == 0, alphabet)
+    decoded = F.lower(F.hex(F.try_to_binary(whole, F.lit("base64"))))
     plain = F.lower(F.regexp_replace(digest_b64, "[^0-9A-Za-z]", ""))
     return F.when(is_empty(digest_b64), V.ANONYMOUS_ACTOR).otherwise(
         F.concat(F.lit(V.ACTOR_PREFIX), F.substring(F.coalesce(decoded, plain), 1, 8))

@@ -278,7 +278,7 @@ def not_null(spark: SparkSession, sf: str) -> DataFrame:
 def append(spark: SparkSession, sf: str) -> DataFrame:
     """The same deliveries appended twice leave one row per id."""
     path = scratch_path(spark, "appended")
-    rows = C.curate(disturbed(spark, sf), DETECTORS, test_key(spark))
+    rows = C.curate(disturbed(spark, sf), DETECTORS, test_key(spark), distinct=None)
     C.idempotent_append(rows, path)
     C.idempotent_append(rows, path)
     return C.read_curated(spark, path).groupBy("department").agg(

@@ -16,7 +16,7 @@ from promptlens.operators import audit as A
 from promptlens.operators import enrich as E
 from promptlens.operators import judge as J
 from promptlens.plans import reports as Rep
-from promptlens.session import prepare
+from promptlens.session import prepare, scratch_path
 
 TEXT, CONNECTORS, LEAF = "prompt_text_masked", "connectors_queried", "leaf_agent"
 MINUTES, MULTIPLIER = "estimated_manual_minutes", "maturity_multiplier"
@@ -123,7 +123,8 @@ def judged_outside(spark: SparkSession, sf: str) -> DataFrame:
     ),
 )
 def validated(spark: SparkSession, sf: str) -> DataFrame:
-    good, bad = J.validate_judge(J.judge_with(masked(spark, sf), stub_factory()))
+    judged = J.judge_with(masked(spark, sf), stub_factory())
+    good, bad = J.validate_judge(J.store_judgements(judged, scratch_path(spark, "judged")))
     states = good.select(F.lit("valid").alias("state")).unionByName(bad.select(F.col("reason").alias("state")))
     return states.groupBy("state").agg(F.count("*").alias("n"))
 

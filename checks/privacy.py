@@ -10,6 +10,7 @@ from checks.telemetry_sql import sql
 from promptlens import fixed_values as V
 from promptlens.functions import detectors as D
 from promptlens.functions import hashing as H
+from promptlens.functions import sql as S
 from promptlens.operators import audit as A
 from promptlens.operators import deidentify as Deid
 from promptlens.session import prepare
@@ -384,3 +385,22 @@ def scalar_functions(spark: SparkSession, sf: str) -> DataFrame:
         D.risk_level(types).alias("dlp_risk_level"),
         D.is_toxic(types).alias("is_toxic_combination"),
     ).groupBy("actor", "dlp_risk_level", "is_toxic_combination").agg(F.count("*").alias("n"))
+
+
+@check(
+    "uf1_sql_functions",
+    sql(
+        "SELECT leaf_agent, dlp_risk_level AS risk, is_toxic_combination AS toxic, count(*) AS n,"
+        " round(count(*) FILTER (f_ssn) / count(*) * 100, 1)::DOUBLE AS ssn_pct FROM masked GROUP BY 1, 2, 3",
+        upto="masked",
+    ),
+)
+def sql_functions(spark: SparkSession, sf: str) -> DataFrame:
+    """A report as SQL text over the curated table."""
+    curated(spark, sf).createOrReplaceTempView("prompt_logs")
+    S.register(spark)
+    return spark.sql(
+        "SELECT leaf_agent, score_dlp_risk(dlp_info_types) AS risk, is_toxic(dlp_info_types) AS toxic, count(*) AS n,"
+        " round(try_divide(count_if(contains_ssn), count(*)) * 100, 1) AS ssn_pct FROM prompt_logs"
+        " GROUP BY leaf_agent, score_dlp_risk(dlp_info_types), is_toxic(dlp_info_types)"
+    )

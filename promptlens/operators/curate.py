@@ -120,17 +120,19 @@ def read_curated(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def idempotent_append(df: DataFrame, path: str) -> None:
+def idempotent_append(df: DataFrame, path: str, distinct: bool = False) -> None:
     """Append only rows whose ``insert_id`` is new, within the batch and in the table.
 
-    A failed run leaves no committed rows behind and can be repeated.
+    Can be repeated after a failure: rows that were committed are skipped.
+    ``distinct=True`` says that ids are unique within ``df`` already.
     """
     spark = df.sparkSession
-    rows = dedupe(df)
+    rows = df
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     if target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target):
         rows = already_loaded(rows, read_curated(spark, path))
+    rows = rows if distinct else dedupe(rows)
     write_curated(rows.select(*curated_schema().names), path, "append")
 
 

@@ -61,6 +61,14 @@ def orphan_agents(curated: DataFrame, catalog: DataFrame) -> DataFrame:
     return seen.join(F.broadcast(known), "leaf_agent", "left_anti")
 
 
-def already_loaded(new: DataFrame, target: DataFrame) -> DataFrame:
-    """Rows whose id is not in the target yet; only the id column of the target is read."""
-    return new.join(target.select("insert_id"), "insert_id", "left_anti")
+def already_loaded(new: DataFrame, target: DataFrame, max_broadcast: int = 1_000_000) -> DataFrame:
+    """Rows whose id is not in the target yet; only the id column of the target is read.
+
+    For a batch of at most ``max_broadcast`` rows its ids are broadcast to the target,
+    which then is scanned but not shuffled; what comes back is no larger than the batch.
+    Larger batches are joined by a shuffle on the id.
+    """
+    ids, loaded = new.select("insert_id"), target.select("insert_id")
+    if fits(ids, max_broadcast):
+        loaded = F.broadcast(loaded.join(F.broadcast(ids.distinct()), "insert_id", "left_semi").distinct())
+    return new.join(loaded, "insert_id", "left_anti")

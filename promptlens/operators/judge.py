@@ -161,16 +161,34 @@ def is_valid_judgement(j: Column) -> Column:
 
 
 def parse_judgement(df: DataFrame, column: str = "judge_json") -> DataFrame:
-    """Judge JSON to the judge columns plus ``judge_valid``; the JSON is dropped."""
-    parsed = df.withColumn("_j", F.from_json(column, JUDGE)).withColumn(
+    """Judge JSON to the judge columns plus ``judge_valid``; the JSON is dropped.
+
+    The answer passes through a generator: later filters then use the parsed value
+    instead of parsing once per test.
+    """
+    answer = F.from_json(column, JUDGE).alias("_j")
+    parsed = df.select("*", F.inline(F.array(F.struct(answer)))).withColumn(
         "judge_valid", is_valid_judgement(F.col("_j"))
     )
     columns = {f.name: F.col("_j")[f.name] for f in JUDGE.fields}
     return parsed.withColumns(columns).drop("_j", column)
 
 
+def store_judgements(judged: DataFrame, path: str) -> DataFrame:
+    """Write judged rows and read them back.
+
+    Valid rows and rejects are two reads of one frame; without this step each of them
+    would call the external judge again.
+    """
+    judged.write.mode("overwrite").parquet(path)
+    return judged.sparkSession.read.parquet(path)
+
+
 def validate_judge(df: DataFrame, column: str = "judge_json") -> tuple[DataFrame, DataFrame]:
-    """Split judged rows into valid ones (judge columns added) and rejects (id and reason)."""
+    """Split judged rows into valid ones (judge columns added) and rejects (id and reason).
+
+    Where both are used, store the judged rows first (:func:`store_judgements`).
+    """
     parsed = parse_judgement(df, column)
     good = parsed.where("judge_valid").drop("judge_valid")
     bad = parsed.where(~F.col("judge_valid")).select(

@@ -11,7 +11,6 @@ from pyspark.sql.streaming import StreamingQuery
 from promptlens.functions import detectors as D
 from promptlens.functions.hashing import ActorKey
 from promptlens.operators.curate import curate, idempotent_append
-from promptlens.schema import curated_schema
 
 WATERMARK = "1 hour"
 
@@ -54,7 +53,12 @@ def append_stream(messages: DataFrame, detectors: Sequence[D.Detector], key: Act
     run = curate_batch or (lambda batch: curate(batch, detectors, key))
 
     def append(batch: DataFrame, batch_id: int) -> None:
-        idempotent_append(run(batch), path)
+        # a micro-batch is bounded by the source's limit and is read several times
+        rows = run(batch).persist()
+        try:
+            idempotent_append(rows, path, distinct=True)
+        finally:
+            rows.unpersist()
 
     return (
         messages.writeStream.foreachBatch(append)
@@ -94,4 +98,4 @@ def unique_actors_stream(rows: DataFrame, window: str = "1 day", delay: str = WA
 
 def backfill(messages: DataFrame, detectors: Sequence[D.Detector], key: ActorKey, path: str) -> None:
     """Rows that came too late for the stream: the same transforms as a batch append."""
-    idempotent_append(curate(messages, detectors, key).select(*curated_schema().names), path)
+    idempotent_append(curate(messages, detectors, key), path, distinct=True)

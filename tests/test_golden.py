@@ -89,3 +89,17 @@ def test_actor_format(spark):
     )
     got = {r.d: r.a for r in rows.collect()}
     assert got == cases | {None: "usr_anonymous"}
+
+
+def test_sql_names_equal_columns(spark):
+    from promptlens import fixed_values as V
+    from promptlens.functions import sql
+
+    sql.register(spark)
+    rows = [("", []), ("SQ8tf6T2KLX1Z0cLlmXdASABmTnPoQvbBi48X5qJ/sU=", [V.SSN, V.ROUTING]), ("!!no base64", [V.DOB])]
+    out = spark.createDataFrame(rows, "d string, t array<string>").select(
+        F.expr("format_dlp_actor_hash(d)").alias("a"), H.format_actor_hash(F.col("d")).alias("b"),
+        F.expr("score_dlp_risk(t)").alias("c"), D.risk_level(F.col("t")).alias("e"),
+    )
+    for r in out.collect():
+        assert (r.a, r.c) == (r.b, r.e)

@@ -8,7 +8,7 @@ from tools.check import TABLES, table
 
 
 # the only queries that leave the JVM: they call an external judge
-PYTHON = {"j2_judge_with", "j3_validate_judge", "s12_micro_batch", "uf2_external_batch_function"}
+PYTHON = {"j2_judge_with", "s12_micro_batch", "uf2_external_batch_function"}
 
 
 @pytest.fixture(scope="module")

@@ -146,18 +146,20 @@ def contains_type(types: Column, name: str) -> Column:
     return F.array_contains(types, name)
 
 
+def contains_any(types: Column, *names: str) -> Column:
+    return reduce(lambda a, b: a | b, (contains_type(types, n) for n in names))
+
+
 def is_toxic(types: Column) -> Column:
-    other = F.arrays_overlap(types, F.array(*(F.lit(t) for t in (V.MEDICAL, V.ACCOUNT, V.ROUTING))))
-    return contains_type(types, V.SSN) & other
+    return contains_type(types, V.SSN) & contains_any(types, V.MEDICAL, V.ACCOUNT, V.ROUTING)
 
 
 def risk_level(types: Column) -> Column:
     """NONE, CRITICAL (toxic), HIGH (SSN, medical, bank), MEDIUM (birth date), else LOW."""
-    severe = F.array(*(F.lit(t) for t in (V.SSN, V.MEDICAL, V.ACCOUNT, V.ROUTING)))
     return (
         F.when(F.size(types) == 0, "NONE")
         .when(is_toxic(types), "CRITICAL")
-        .when(F.arrays_overlap(types, severe), "HIGH")
+        .when(contains_any(types, V.SSN, V.MEDICAL, V.ACCOUNT, V.ROUTING), "HIGH")
         .when(contains_type(types, V.DOB), "MEDIUM")
         .otherwise("LOW")
     )

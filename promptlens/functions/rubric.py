@@ -15,6 +15,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from promptlens import fixed_values as V
+from promptlens.functions.detectors import contains_any
 
 
 def _any_of(phrases: Iterable[str]) -> str:
@@ -259,13 +260,10 @@ def recommended_target(types: Column, leaf_agent: Column, connectors: Column, co
     usable = [c for c in V.CONNECTORS if c != V.NOT_RECOMMENDED]
     first = F.get(connectors, 0)
 
-    def found(*names: str) -> Column:
-        return F.arrays_overlap(types, F.array(*(F.lit(n) for n in names)))
-
     return (
-        F.when(found(V.MEDICAL), ids[10])
-        .when(found(V.ACCOUNT, V.ROUTING), ids[9])
-        .when(found(V.SSN, V.DOB), ids[8])
+        F.when(contains_any(types, V.MEDICAL), ids[10])
+        .when(contains_any(types, V.ACCOUNT, V.ROUTING), ids[9])
+        .when(contains_any(types, V.SSN, V.DOB), ids[8])
         .when(leaf_agent.isin(*ids.values()), leaf_agent)
         .when(first.isin(*usable), first)
         .otherwise(lookup(corpus, CORPUS_TARGET))

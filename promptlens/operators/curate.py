@@ -99,15 +99,15 @@ def curate(messages: DataFrame, detectors: Sequence[D.Detector], key: ActorKey,
 
 
 def cluster_for_write(df: DataFrame) -> DataFrame:
-    """Lay rows out by date and cluster keys.
+    """Lay rows out by date, and by the cluster keys within a file.
 
-    The rebalance shuffle is sized at run time: small partitions are merged and a
-    date that holds a large share of the rows is split over many tasks. Within a
-    file rows are sorted, so row-group statistics skip blocks on the cluster keys.
+    The rebalance shuffle is sized at run time: small dates share a task and a date that
+    holds a large share of the rows is split over many. As it goes by date alone, a date
+    gets as few files as its size asks for. Rows are sorted within a file, so row-group
+    statistics skip blocks on the cluster keys.
     """
     dated = df.withColumn("event_date", F.to_date("event_timestamp"))
-    keys = ["event_date", *CLUSTER_KEYS]
-    return dated.hint("rebalance", *keys).sortWithinPartitions(*keys)
+    return dated.hint("rebalance", "event_date").sortWithinPartitions("event_date", *CLUSTER_KEYS)
 
 
 def write_curated(df: DataFrame, path: str, mode: str = "overwrite") -> None:

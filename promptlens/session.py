@@ -36,17 +36,23 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_own: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: the cluster's ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, one machine) a local one is set.
+    Only where the session names none and runs on one machine (tests) a local one is set.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
+        context = spark.sparkContext
+        if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        folder = tempfile.mkdtemp(prefix="promptlens-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        folder = _own.get(context.applicationId)
+        if folder is None:
+            folder = _own[context.applicationId] = tempfile.mkdtemp(prefix="promptlens-")
+            context.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 

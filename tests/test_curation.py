@@ -201,3 +201,24 @@ def test_key_from_a_restricted_path(spark):
         for k in ("2025", "2026", "gone")
     ]
     assert got[0] != got[1] and got[2] is None
+
+
+def test_a_hot_date_is_split_over_files(spark, sf):
+    """Two thirds of all rows on one date: several files there, one for a small date."""
+    time = F.col("event_timestamp")
+    hot = F.when(F.pmod(F.xxhash64("insert_id"), F.lit(3)) > 0, F.lit("2024-03-01 00:00:00").cast("timestamp"))
+    rows = base.curated(spark, sf).drop("event_date").withColumn("event_timestamp", F.coalesce(hot, time)).repartition(8)
+    setting = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "32k")
+    try:
+        path = scratch_path(spark, "hot")
+        C.write_curated(rows, path)
+    finally:
+        spark.conf.set(setting, before)
+    files = C.read_curated(spark, path).groupBy("event_date").agg(
+        F.countDistinct("_metadata.file_path").alias("files"), F.count("*").alias("rows")
+    )
+    by_date = {str(r.event_date): (r.files, r.rows) for r in files.collect()}
+    assert by_date["2024-03-01"][0] > 1 and by_date["2024-03-01"][1] > 500
+    assert sum(n for _, n in by_date.values()) == 1000

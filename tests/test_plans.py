@@ -53,7 +53,7 @@ def curated_frame(spark, sf):
 def test_nothing_raw_is_shuffled(spark, sf):
     found = nodes(C.cluster_for_write(curated_frame(spark, sf)))
     exchanges = [n for n in found if "Exchange" in n.nodeName()]
-    assert len(exchanges) == 2  # duplicates by id, then rows by date and cluster keys
+    assert len(exchanges) == 2  # duplicates by id, then rows by date
     for node in exchanges:
         assert not output(node) & RAW
 

@@ -288,7 +288,7 @@ def append(spark: SparkSession, sf: str) -> DataFrame:
 
 @check(
     "s20_export_jsonl",
-    sql("SELECT department, level, count(*) AS n, sum(minutes) AS minutes FROM curated GROUP BY ALL"),
+    sql("SELECT department, level, count(*) AS n, sum(minutes)::BIGINT AS minutes FROM curated GROUP BY ALL"),
 )
 def export(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "export")

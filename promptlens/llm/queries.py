@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from promptlens.llm import minhash, suffix, tokens
+from promptlens.llm import minhash, packing, suffix, tokens
 from promptlens.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,6 +28,14 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def byte_level() -> dict:
+    """The byte-level vocabulary, and the same as ranks for the faster library."""
+    import public_tokenizers
+
+    ranks = vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, ((tokens.END_OF_TEXT, 50256),)
+    return {"path": vocabulary("byte_bpe_50k.json"), "ranks": ranks}
+
+
 @query
 def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.remove_repeats(table(spark, sf_dir, "documents"))
@@ -42,3 +50,8 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=2)
+
+
+@query
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), **byte_level(), room=1024, end=2)

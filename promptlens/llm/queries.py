@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from promptlens.llm import minhash, packing, suffix, tokens, wumanber
+from promptlens.llm import grade, minhash, packing, suffix, tokens, wumanber
 from promptlens.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,3 +86,9 @@ ORACLES["op5_benchmark_decontamination"] = OP5_SQL
 @query
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wumanber.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return grade.graded(docs, grade.train(docs, grade.label_grades(table(spark, sf_dir, "labels")), top=2))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from promptlens.llm import grade, minhash, packing, suffix, tokens, wumanber
+from promptlens.llm import grade, minhash, packing, reshard, suffix, tokens, wumanber
 from promptlens.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,3 +93,12 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return grade.graded(docs, grade.train(docs, grade.label_grades(table(spark, sf_dir, "labels")), top=2))
+
+
+@query
+def op4_flow_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From 12 shards by source, of very different sizes, to 8 of equal bytes."""
+    old = F.pmod(F.xxhash64("source"), F.lit(12))
+    rows = reshard.reshard(table(spark, sf_dir, "documents"), old, 12, 8)
+    law, grown = F.lit("bytes").alias("law"), F.lit(None).cast("int").alias("grown_shard")
+    return rows.select("doc_id", "size", "text_crc32", law, "shard", "slot", grown, "old_shard")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from promptlens.llm import grade, minhash, packing, reshard, suffix, tokens, wumanber
+from promptlens.llm import forest, grade, minhash, packing, reshard, suffix, tokens, wumanber
 from promptlens.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -102,3 +102,8 @@ def op4_flow_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = reshard.reshard(table(spark, sf_dir, "documents"), old, 12, 8)
     law, grown = F.lit("bytes").alias("law"), F.lit(None).cast("int").alias("grown_shard")
     return rows.select("doc_id", "size", "text_crc32", law, "shard", "slot", grown, "old_shard")
+
+
+@query
+def op6_hash_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.neighbours(table(spark, sf_dir, "embeddings"), lambda id: id % 20 == 0, top=20)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from promptlens.llm import forest, grade, minhash, packing, reshard, suffix, tokens, wumanber
+from promptlens.llm import forest, grade, minhash, order, packing, reshard, suffix, tokens, wumanber
 from promptlens.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -107,3 +107,11 @@ def op4_flow_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_hash_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forest.neighbours(table(spark, sf_dir, "embeddings"), lambda id: id % 20 == 0, top=20)
+
+
+@query
+def op7_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each sequence of every document lies in the written shards."""
+    target = scratch_path(spark, "training-order")
+    order.materialise(table(spark, sf_dir, "documents"), **byte_level(), target=target, key=20_261, end=50_256, pad=50_256)
+    return order.manifest(spark, target, 2 * 1024).withColumnRenamed("id", "doc_id")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from promptlens.llm import forest, grade, minhash, order, packing, reshard, suffix, tokens, wumanber
+from promptlens.llm import chain, forest, grade, minhash, order, packing, reshard, suffix, tokens, wumanber
 from promptlens.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -115,3 +115,8 @@ def op7_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     target = scratch_path(spark, "training-order")
     order.materialise(table(spark, sf_dir, "documents"), **byte_level(), target=target, key=20_261, end=50_256, pad=50_256)
     return order.manifest(spark, target, 2 * 1024).withColumnRenamed("id", "doc_id")
+
+
+@query
+def op9_collinear_chaining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chain.shared_passages(table(spark, sf_dir, "documents"))

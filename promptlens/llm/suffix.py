@@ -15,17 +15,17 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from promptlens.llm import text as X
+from promptlens.llm.payload import NO_ID, bucket, bucket_column, columns, pack, rows_of, unpack
 
 LENGTH = 100
 SEED = 24
 SHARD_BYTES = 8 << 20  # of text that a shard answers for, on average
 BUCKET_BYTES = 4 << 20  # of text that is cut at a time
-NO_ID = -(1 << 63)
 
 ENTRY = np.dtype([("seed", "<u4"), ("own", "u1"), ("n", "<i4"), ("doc", "<i8"), ("at", "<i4"), ("run", "<u8")])
 MARK = np.dtype([("doc", "<i8"), ("at", "<i4"), ("n", "<i4")])
@@ -222,53 +222,11 @@ def _runs(data: np.ndarray, offsets: np.ndarray, length: int, seed: int):
     return starts, ends - starts, value[starts], own, run, np.searchsorted(offsets, starts, side="right") - 1
 
 
-def _pack(kind: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
-    """One record per key with the bytes of its rows."""
-    order = np.argsort(kind, kind="stable")
-    kind, rows = kind[order], rows[order]
-    edge = np.flatnonzero(np.append(True, kind[1:] != kind[:-1])) if len(kind) else np.zeros(0, np.int64)
-    ends = np.append(edge[1:], len(kind))
-    return pa.RecordBatch.from_arrays(
-        [X.large(kind[edge], pa.int64()), X.binary_array([_columns(rows[a:b]) for a, b in zip(edge, ends)])], ["k", "data"]
-    )
-
-
-def _columns(rows: np.ndarray) -> bytes:
-    """Field after field, which compresses better than row after row."""
-    return b"".join(np.ascontiguousarray(rows[f]).tobytes() for f in rows.dtype.names)
-
-
-def _rows(data: bytes, kind: np.dtype) -> np.ndarray:
-    n = len(data) // kind.itemsize
-    out, at = np.empty(n, dtype=kind), 0
-    for f in kind.names:
-        size = kind[f].itemsize * n
-        out[f] = np.frombuffer(data, dtype=kind[f], count=n, offset=at)
-        at += size
-    return out
-
-
-def _all(table: pa.Table, kind: np.dtype) -> np.ndarray:
-    parts = [_rows(x.as_buffer().to_pybytes() if hasattr(x, "as_buffer") else x.as_py(), kind) for x in table.column("data")]
-    return np.concatenate(parts) if parts else np.empty(0, dtype=kind)
-
-
-def _bucket(docs: np.ndarray, buckets: int) -> np.ndarray:
-    folded = docs.view(np.uint64)
-    folded = folded ^ (folded >> np.uint64(7)) ^ (folded >> np.uint64(19))
-    return folded.view(np.int64) % buckets
-
-
-def _bucket_column(docs: Column, buckets: int) -> Column:
-    folded = docs.bitwiseXOR(F.shiftrightunsigned(docs, 7)).bitwiseXOR(F.shiftrightunsigned(docs, 19))
-    return F.pmod(folded, F.lit(buckets).cast("long"))
-
-
 def _forward(docs: np.ndarray, at: np.ndarray, n: np.ndarray, buckets: int) -> pa.RecordBatch:
     """Marks on their way to the bucket of their document: keys below zero."""
     rows = np.empty(len(docs), dtype=MARK)
     rows["doc"], rows["at"], rows["n"] = docs, at, n
-    return _pack(-1 - _bucket(rows["doc"], buckets), rows)
+    return pack(-1 - bucket(rows["doc"], buckets), rows)
 
 
 def _first_of(keys: list[np.ndarray], docs: np.ndarray, at: np.ndarray):
@@ -304,7 +262,7 @@ def _entries(length: int, seed: int, shards: int, buckets: int):
                 # a run that was folded tells others that its seed is common
                 times = np.diff(np.append(np.flatnonzero(change), len(order)))
                 rows["own"] |= np.where(times > 1, 2, 0).astype(np.uint8)
-                yield _pack((value[keep] & np.uint64(0xFFFFFFFF)).astype(np.int64) % shards, rows)
+                yield pack((value[keep] & np.uint64(0xFFFFFFFF)).astype(np.int64) % shards, rows)
                 if len(drop):
                     yield _forward(docs[drop], at[drop], n[drop], buckets)
 
@@ -317,7 +275,7 @@ def _answer(buckets: int):
         shard = key[0].as_py()
         if shard < 0:
             return pa.table({"k": pa.array([-1 - shard] * len(table), pa.int64()), "ask": pa.array([-1] * len(table), pa.int64()), "data": table.column("data").cast(pa.binary())})
-        rows = _all(table, ENTRY)
+        rows = unpack(table, ENTRY)
         order, change, _, same = _first_of([rows["seed"], rows["run"], rows["n"]], rows["doc"], rows["at"])
         lead = order[change]
         drop = order[~change & ~same]
@@ -348,7 +306,7 @@ def _cut(length: int):
                 out_k.append(-1 - key[0].as_py())
                 out_d.append(data)
                 continue
-            rows = _rows(data, MARK)
+            rows = rows_of(data, MARK)
             rows = rows[np.argsort(rows["doc"], kind="stable")]
             found = np.searchsorted(ids, rows["doc"])
             parts, last, body = [], -1, b""
@@ -357,7 +315,7 @@ def _cut(length: int):
                     body, last = texts[int(order[f])].as_py() or b"", f
                 parts.append(body[r["at"] : r["at"] + r["n"] + length - 1])
             out_k.append(shard)
-            out_d.append(len(rows).to_bytes(8, "little") + _columns(rows) + b"".join(parts))
+            out_d.append(len(rows).to_bytes(8, "little") + columns(rows) + b"".join(parts))
         return pa.table({"k": pa.array(out_k, pa.int64()), "data": pa.array(out_d, pa.binary())})
 
     return cut
@@ -371,7 +329,7 @@ def _sort(length: int, buckets: int):
         rows, bodies = [], []
         for data in table.column("data").to_pylist():
             n = int.from_bytes(data[:8], "little")
-            rows.append(_rows(data[8 : 8 + n * MARK.itemsize], MARK))
+            rows.append(rows_of(data[8 : 8 + n * MARK.itemsize], MARK))
             bodies.append(data[8 + n * MARK.itemsize :])
         batch = _forward(*repeated(np.concatenate(rows), np.frombuffer(b"".join(bodies), np.uint8), length), buckets)
         return pa.table({"k": pc.subtract(-1, batch.column(0)), "data": batch.column(1)})
@@ -441,7 +399,7 @@ def _whole_characters(body: bytes, spans: np.ndarray) -> str:
 def _finish(length: int, with_text: bool, rest: bool):
     def finish(key, docs, marks):
         ids = docs.column("id")
-        rows = _all(marks, MARK)
+        rows = unpack(marks, MARK)
         rows = rows[np.argsort(rows["doc"], kind="stable")]
         n_bytes, n_removed, n_spans, sha, kept = [], [], [], [], []
         known = pc.fill_null(ids, NO_ID).to_numpy()
@@ -489,7 +447,7 @@ def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", leng
     entries = base.select("id", "text").mapInArrow(_entries(length, seed, shards, buckets), pairs)
     answers = entries.groupBy("k").applyInArrow(_answer(buckets), "k long, ask long, data binary")
 
-    dealt = base.withColumn("k", _bucket_column(F.coalesce("id", F.lit(NO_ID)), buckets)).repartition("k")
+    dealt = base.withColumn("k", bucket_column(F.coalesce("id", F.lit(NO_ID)), buckets)).repartition("k")
     strings = dealt.groupBy("k").cogroup(answers.groupBy("k")).applyInArrow(_cut(length), pairs)
     marks = strings.groupBy("k").applyInArrow(_sort(length, buckets), pairs)
     schema = T.StructType([T.StructField("id", T.LongType()), *(T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept_sha256", T.StringType())])

@@ -108,11 +108,3 @@ def lower_ascii(data: np.ndarray) -> np.ndarray:
     out = data.copy()
     out[(data >= 65) & (data <= 90)] += 32
     return out
-
-
-def large(array: np.ndarray, kind: pa.DataType) -> pa.Array:
-    return pa.array(array, type=kind)
-
-
-def binary_array(parts: list[bytes]) -> pa.Array:
-    return pa.array(parts, type=pa.binary())

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from promptlens.llm import text as X
 
@@ -173,6 +174,14 @@ def graded(docs: DataFrame, model: Model, least: float = 0.5, id: str = "doc_id"
     return out.select(F.col("id").alias(id), "expected_grade", "p_top", (F.col("p_top") >= least).alias("kept"))
 
 
+def select_good(docs: DataFrame, model: Model, least: float = 0.5, text: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose text ``graded`` would keep."""
+    rows = docs.select(F.struct("*").alias("row"), F.col(text).alias("text"))
+    schema = T.StructType([*rows.schema.fields, T.StructField("expected_grade", T.DoubleType()), T.StructField("p_top", T.DoubleType())])
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return rows.mapInArrow(_score(shared), schema).where(F.col("p_top") >= least).select("row.*")
+
+
 def label_grades(labels: DataFrame) -> DataFrame:
     """0 for toxic, 1 for low quality, 2 for good text; a null flag counts as unknown, so such rows have no grade."""
     toxic, good = F.col("toxic") == 1, F.col("quality") == 1

@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from promptlens.llm import text as X
 from promptlens.llm.graph import _kept
@@ -186,20 +187,21 @@ def _scan(shared):
     return scan
 
 
-def occurrences(docs: DataFrame, items: DataFrame, window: int = WINDOW, id: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def occurrences(docs: DataFrame, items: DataFrame, window: int = WINDOW, id: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES, whole: bool = False) -> DataFrame:
     """Per document the spans of words that occur as a window of an item, and whose.
 
     Items are read in blocks of bounded size, longest windows first; a benchmark of more than
     ``PASS_BLOCKS`` blocks takes several passes, written in between. Returns id, text, ``n_words``, ``spans``
-    (arrays of first word and word after the last) and ``items`` (sorted item ids).
+    (arrays of first word and word after the last) and ``items`` (sorted item ids), and with ``whole`` all
+    columns of the input as struct ``row`` instead of the id.
     """
     spark = docs.sparkSession
     source = items.select(F.col(item).cast("long").alias("item"), F.col(item_text).alias("text"))
     rows = source.mapInArrow(_windows(window), "pattern binary, words int, item long").distinct()
     rows = _kept(rows, "windows").orderBy(F.octet_length("pattern").desc(), "pattern", "item")
-    out = docs.select(F.col(id).alias("id"), F.col(text).alias("text"), F.lit(None).cast("array<array<long>>").alias("spans"), F.lit(None).cast("array<long>").alias("items"))
-    kind = dict(out.dtypes)["id"]
-    schema = f"id {kind}, text string, n_words long, spans array<array<long>>, items array<long>"
+    key = F.struct("*").alias("row") if whole else F.col(id).alias("id")
+    out = docs.select(key, F.col(text).alias("text"), F.lit(None).cast("array<array<long>>").alias("spans"), F.lit(None).cast("array<long>").alias("items"))
+    schema = T.StructType([*out.schema.fields[:2], T.StructField("n_words", T.LongType()), *out.schema.fields[2:]])
     held: list[Block] = []
     passes = 0
     for block in blocks(rows.toLocalIterator(), block_bytes):
@@ -212,6 +214,12 @@ def occurrences(docs: DataFrame, items: DataFrame, window: int = WINDOW, id: str
     return out.withColumnsRenamed({"id": id, "text": text})
 
 
+def without_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows, with all their columns, that ``contamination`` finds no occurrence in."""
+    found = occurrences(docs, items, window, text=text, item=item, item_text=item_text, whole=True)
+    return found.where(F.size("spans") == 0).select("row.*")
+
+
 def _digest(batches):
     for batch in batches:
         hit, named, sha = [], [], []

@@ -13,7 +13,7 @@ from promptlens.functions.hashing import ActorKey, derive_key, key_table
 from promptlens.operators.curate import curate, masked_rows, read_curated, write_curated
 from promptlens.operators.normalize import flatten
 from promptlens.session import prepare, scratch_path
-from promptlens.sources import telemetry as T
+from checks import telemetry as T
 from promptlens.sources.logs import decode_messages
 
 Query = Callable[[SparkSession, str], DataFrame]

@@ -21,7 +21,7 @@ from promptlens.schema import curated_schema
 from promptlens.session import scratch_path
 from promptlens.sources import dimensions as Dim
 from promptlens.sources import logs as L
-from promptlens.sources import telemetry as T
+from checks import telemetry as T
 
 TS = "strftime(event_timestamp, '%Y-%m-%d %H:%M:%S.%g') AS event_timestamp"
 

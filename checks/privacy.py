@@ -14,7 +14,7 @@ from promptlens.functions import sql as S
 from promptlens.operators import audit as A
 from promptlens.operators import deidentify as Deid
 from promptlens.session import prepare
-from promptlens.sources import telemetry as T
+from checks import telemetry as T
 
 
 def _prompts(spark: SparkSession, sf: str) -> DataFrame:

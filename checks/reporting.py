@@ -16,7 +16,7 @@ from promptlens.operators import enrich as E
 from promptlens.plans import reports as R
 from promptlens.sources import dimensions as Dim
 from promptlens.sources import logs as L
-from promptlens.sources import telemetry as T
+from checks import telemetry as T
 
 
 def mean2(total: str, count: str, scale: int) -> str:
@@ -369,8 +369,8 @@ def already_loaded(spark: SparkSession, sf: str) -> DataFrame:
     "jn6_co_occurrence",
     sql(
         "SELECT strftime(a.day, '%Y-%m-%d') AS day, a.line, a.n AS faults, b.n AS claims FROM"
-        " (SELECT event_timestamp::DATE AS day, line, count(*) AS n FROM curated WHERE entity LIKE '%ERR-PLC-409%' AND pillar = 'Operations' GROUP BY 1, 2) a"
-        " JOIN (SELECT event_timestamp::DATE AS day, line, count(*) AS n FROM curated WHERE f_ssn AND f_med GROUP BY 1, 2) b USING (day, line)"
+        " (SELECT event_timestamp::DATE AS day, regexp_extract(entity, 'Line [0-9]') AS line, count(*) AS n FROM curated WHERE entity LIKE '%ERR-PLC-409%' AND pillar = 'Operations' GROUP BY 1, 2) a"
+        " JOIN (SELECT event_timestamp::DATE AS day, regexp_extract(entity, 'Line [0-9]') AS line, count(*) AS n FROM curated WHERE f_ssn AND f_med GROUP BY 1, 2) b USING (day, line)"
     ),
 )
 def co_occurrence(spark: SparkSession, sf: str) -> DataFrame:
@@ -465,7 +465,7 @@ _report(
 
 @check(
     "u1_union_of_streams",
-    sql("SELECT insert_id, CASE WHEN NOT chat THEN leaf_agent END AS leaf_agent, CASE WHEN chat THEN 'enterprise-search-assistant' END AS ge_app_id FROM flat", upto="flat"),
+    sql("SELECT insert_id, CASE WHEN NOT chat THEN leaf_agent END AS leaf_agent, CASE WHEN chat THEN 'bottler-search' END AS ge_app_id FROM flat", upto="flat"),
 )
 def union(spark: SparkSession, sf: str) -> DataFrame:
     """Chat rows lack the agent fields, agent rows the chat fields."""

@@ -8,154 +8,71 @@ from __future__ import annotations
 
 import hashlib
 
+from checks import telemetry as T
+
 TEST_SEED = "promptlens-public-test-key"
 
 _KEY = hashlib.sha256(TEST_SEED.encode()).digest().ljust(64, b"\0")
 INNER = bytes(b ^ 0x36 for b in _KEY).hex()
 OUTER = bytes(b ^ 0x5C for b in _KEY).hex()
 
-EVENTS = """
+
+def _list(values) -> str:
+    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
+
+
+def _filled(template: str) -> str:
+    """Replaces the placeholders by the columns of the same names."""
+    for name in ("name", "email", "ssn", "dob", "acct", "routing", "injury", "site", "shift", "line", "code", "lot"):
+        column = {"name": "nam", "email": "mail", "routing": "rout", "site": "plant"}.get(name, name)
+        template = f"replace({template}, '{{{name}}}', {column})"
+    return template
+
+
+_SUBJECT = ",\n    ".join(
+    f"{_list(x[i] for x in T.SUBJECTS)}[(id // 7) % {len(T.SUBJECTS)} + 1] AS {name}"
+    for i, name in enumerate(("nam", "mail", "ssn", "dob", "acct", "rout"))
+)
+_TASK = f"(id // 4 + k) % {len(T.TASKS)} + 1"
+
+EVENTS = f"""
 ev AS (
   SELECT event_id AS id, ts, user_id,
          CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS k,
-         (user_id * 37) % 50 AS e,
-         ((event_id // 5) * 61) % 100 AS r,
-         event_id % 5 < 2 AS chat,
-         (event_id // 11) % 4 AS variant
+         event_id % 3 = 0 AS chat,
+         (event_id // 11) % 5 AS style
   FROM events),
-who AS (
-  SELECT *, CASE WHEN e < 26 THEN 'Operations' WHEN e < 38 THEN 'Finance' ELSE 'HR' END AS department
-  FROM ev),
-place AS (
-  SELECT *,
-    CASE WHEN e % 3 = 0 THEN 'Riverside Stamping'
-         ELSE ['Riverside Stamping', 'Lakeside Assembly', 'Hillcrest Machining', 'Northgate Foundry'][e % 4 + 1] END AS plant,
-    CASE WHEN department = 'HR' AND e % 2 = 0 THEN 'Shift 3'
-         ELSE 'Shift ' || (e % 3 + 1) END AS shift,
-    CASE department
-      WHEN 'Operations' THEN ['Line Lead', 'Maintenance Technician', 'Material Planner', 'Quality Technician'][e % 4 + 1]
-      WHEN 'Finance' THEN ['Cost Analyst', 'Buyer'][e % 2 + 1]
-      ELSE ['People Partner', 'Payroll Analyst'][e % 2 + 1] END AS role,
-    CASE department
-      WHEN 'Operations' THEN CASE WHEN r < 5 THEN 8 WHEN r < 29 THEN 1 WHEN r < 65 THEN 2 WHEN r < 81 THEN 3 ELSE 4 END
-      WHEN 'Finance' THEN CASE WHEN r < 42 THEN 5 WHEN r < 70 THEN 6 ELSE 7 END
-      ELSE CASE WHEN r < 38 THEN 8 WHEN r < 68 THEN 9 ELSE 10 END END AS agent_num,
-    (id // 7) % 10 AS s
-  FROM who),
 scene AS (
   SELECT *,
-    CASE WHEN plant = 'Riverside Stamping' OR (id // 3) % 100 < 65 THEN 'Line 3'
-         ELSE ['Line 1', 'Line 2', 'Line 4'][id % 3 + 1] END AS line,
-    ['Alma Reyes', 'Boris Lindqvist', 'Chidi Okafor', 'Dana Whitlock', 'Emil Hartmann',
-     'Farah Siddiqui', 'Gustavo Lima', 'Hanna Virtanen', 'Ivan Petrov', 'Jia Tanaka'][s + 1] AS nam,
-    ['alma.reyes@plant.example', 'boris.l@plant.example', 'chidi.o@temp.example', 'dana.w@plant.example',
-     'emil.h@temp.example', 'farah.s@plant.example', 'gustavo.lima@plant.example', 'hanna.v@temp.example',
-     'ivan.p@plant.example', 'jia.t@plant.example'][s + 1] AS mail,
-    '000-' || (11 + s) || '-' || (1001 + s) AS ssn,
-    lpad(CAST(s + 1 AS VARCHAR), 2, '0') || '/' || lpad(CAST(s + 2 AS VARCHAR), 2, '0') || '/' || (1981 + s) AS dob,
-    CAST(1000200030 + s AS VARCHAR) AS acct,
-    CAST(100000001 + s AS VARCHAR) AS rout,
-    ['a lumbar disc herniation', 'a distal radius fracture', 'a rotator cuff tear', 'a hand contusion'][(id // 5) % 4 + 1] AS injury,
-    chat AND variant = 2 AND (id // 17) % 3 = 0 AS pasted
-  FROM place),
-fault AS (
-  SELECT *, CASE WHEN line = 'Line 3' THEN 'ERR-PLC-409' ELSE 'ERR-HYD-302' END AS err FROM scene),
-base AS (
-  SELECT *, CASE
-    WHEN chat AND department = 'Operations' AND k < 45 THEN {
-      'topic': 'Press fault lookup', 'entity': line || ' (' || err || ')',
-      'conn': ['SharePoint_Manufacturing_SOPs', 'ServiceNow_Plant_Tickets'],
-      'txt': 'Where is the press manual section on valve fault ' || err || ' for ' || line || ', and which plant tickets at ' || plant || ' mention it?'}
-    WHEN chat AND department = 'Operations' AND k < 85 THEN {
-      'topic': 'Coil lot quality', 'entity': line || ' / Lot #402',
-      'conn': ['Jira_Quality_CAPA', 'SAP_ERP_Materials'],
-      'txt': 'Compare the mill certificate and the open quality tickets for coil Lot #402 against the die jams on ' || line || ' at ' || plant || '.'}
-    WHEN chat AND department = 'Operations' THEN {
-      'topic': 'Shift notes with personal data', 'entity': line,
-      'conn': ['Google_Drive_Shift_Logs', 'Workday_HR_Records'],
-      'txt': 'Check the shift notes for press operator ' || nam || ' (' || mail || ', SSN: ' || ssn || ') and confirm the light duty transfer after the ' || line || ' stoppage on ' || shift || ' at ' || plant || '.'}
-    WHEN chat AND department = 'Finance' AND k < 65 THEN {
-      'topic': 'Scrap variance', 'entity': line || ' / Lot #402',
-      'conn': ['SAP_ERP_Financials', 'Google_Drive_Finance_Q3'],
-      'txt': 'Summarize the scrap variance postings for ' || line || ' at ' || plant || ' and the overtime charges that belong to coil Lot #402.'}
-    WHEN chat AND department = 'Finance' THEN {
-      'topic': 'Supplier claim', 'entity': 'Coil Lot #402',
-      'conn': ['SAP_ERP_Procurement', 'SharePoint_Vendor_Contracts'],
-      'txt': 'Find the supply contract signed by ' || nam || ' (' || mail || ') and draft a claim for coil Lot #402 received at ' || plant || '.'}
-    WHEN chat AND k < 40 THEN {
-      'topic': 'Onboarding', 'entity': line,
-      'conn': ['Workday_HR_Records', 'SharePoint_Union_Contracts'],
-      'txt': 'Pull the onboarding file of ' || nam || ' (Email: ' || mail || ', SSN: ' || ssn || ', DOB: ' || dob || ') who joins ' || shift || ' on ' || line || ' at ' || plant || '.'}
-    WHEN chat AND k < 72 THEN {
-      'topic': 'Wage withholding', 'entity': line,
-      'conn': ['Workday_Payroll_Docs', 'Google_Drive_Garnishment_Orders'],
-      'txt': 'Extract the withholding order for ' || nam || ' (' || mail || ', SSN: ' || ssn || ', Acct #' || acct || ', Routing #' || rout || ') employed at ' || plant || '.'}
-    WHEN chat THEN {
-      'topic': 'Press injury claim', 'entity': line || ' (' || err || ')',
-      'conn': ['ServiceNow_HR_Case_Mgmt', 'Confluence_Safety_OSHA_Policies'],
-      'txt': 'Show the case file and the safety policy for ' || nam || ' (Email: ' || mail || ', SSN: ' || ssn || ', DOB: ' || dob || ') who reported ' || injury || ' on ' || line || ' (fault ' || err || ') at ' || plant || '.'}
-    WHEN agent_num = 1 AND k < 14 THEN {
-      'topic': 'Shift notes with personal data', 'entity': line, 'conn': CAST([] AS VARCHAR[]),
-      'txt': 'Write the ' || shift || ' handover for ' || line || ' at ' || plant || '; operator ' || nam || ' (' || mail || ', SSN: ' || ssn || ') left station 4B after the press stopped.'}
-    WHEN agent_num = 1 THEN {
-      'topic': 'Shift handover', 'entity': line, 'conn': CAST([] AS VARCHAR[]),
-      'txt': 'Write the ' || shift || ' handover for ' || line || ' at ' || plant || ' with the reasons for each press stop.'}
-    WHEN agent_num = 2 THEN {
-      'topic': 'Press fault analysis', 'entity': line || ' (' || err || ')', 'conn': CAST([] AS VARCHAR[]),
-      'txt': CASE WHEN id % 2 = 0
-        THEN 'Analyze fault ' || err || ' on the ' || line || ' press at ' || plant || ': relief valve pressure rose to 310 bar before the jam.'
-        ELSE 'Debug the controller routine that raises ' || err || ' on the ' || line || ' press at ' || plant || '.' END}
-    WHEN agent_num = 3 THEN {
-      'topic': 'Spare part expediting', 'entity': line, 'conn': CAST([] AS VARCHAR[]),
-      'txt': CASE WHEN k < 20
-        THEN 'Draft an expedite note to vendor contact ' || nam || ' (' || mail || ') about the late valves for ' || line || ' at ' || plant || '.'
-        ELSE 'Check the transit status of the replacement valves inbound to ' || plant || ' for ' || line || '.' END}
-    WHEN agent_num = 4 THEN {
-      'topic': 'Coil lot quality', 'entity': line || ' / Lot #402', 'conn': CAST([] AS VARCHAR[]),
-      'txt': 'Draft a containment report for burrs on ' || line || ' parts at ' || plant || ' traced to coil Lot #402.'}
-    WHEN agent_num = 5 THEN {
-      'topic': 'Scrap variance', 'entity': line, 'conn': CAST([] AS VARCHAR[]),
-      'txt': 'Calculate the weekly scrap and overtime variance on ' || line || ' at ' || plant || ' caused by press downtime.'}
-    WHEN agent_num = 6 THEN {
-      'topic': 'Retrofit payback', 'entity': line, 'conn': CAST([] AS VARCHAR[]),
-      'txt': 'Model the payback of a robotic jam clearing cell on ' || line || ' at ' || plant || ' over 36 months.'}
-    WHEN agent_num = 7 THEN {
-      'topic': 'Supplier claim', 'entity': 'Coil Lot #402', 'conn': CAST([] AS VARCHAR[]),
-      'txt': CASE WHEN k < 25
-        THEN 'Draft a chargeback letter to account rep ' || nam || ' (' || mail || ') for coil Lot #402 delivered to ' || plant || '.'
-        ELSE 'Evaluate the tariff impact of moving ' || plant || ' coil supply away from Lot #402.' END}
-    WHEN agent_num = 8 AND k < 78 THEN {
-      'topic': 'Onboarding', 'entity': line, 'conn': CAST([] AS VARCHAR[]),
-      'txt': 'We hire ' || nam || ' (Email: ' || mail || ', SSN: ' || ssn || ', DOB: ' || dob || ') for ' || shift || ' on ' || line || ' at ' || plant || '; why did the work permit check fail?'}
-    WHEN agent_num = 8 THEN {
-      'topic': 'Union rules', 'entity': line, 'conn': CAST([] AS VARCHAR[]),
-      'txt': 'What are the probation and document rules for operators hired onto ' || shift || ' at ' || plant || '?'}
-    WHEN agent_num = 9 AND k < 80 THEN {
-      'topic': 'Wage withholding', 'entity': line, 'conn': CAST([] AS VARCHAR[]),
-      'txt': 'Extract the deduction terms for ' || nam || ' (' || mail || ', SSN: ' || ssn || ', Acct #' || acct || ', Routing #' || rout || ') at ' || plant || ' and compute the limit per pay run.'}
-    WHEN agent_num = 9 THEN {
-      'topic': 'Overtime rules', 'entity': line, 'conn': CAST([] AS VARCHAR[]),
-      'txt': 'How is overtime retro pay computed for ' || shift || ' technicians at ' || plant || '?'}
-    WHEN k < 84 THEN {
-      'topic': 'Press injury claim', 'entity': line || ' (' || err || ')', 'conn': CAST([] AS VARCHAR[]),
-      'txt': 'Draft the claim narrative for ' || nam || ' (Email: ' || mail || ', SSN: ' || ssn || ', DOB: ' || dob || ') who suffered ' || injury || ' while clearing ' || line || ' (fault ' || err || ') on ' || shift || ' at ' || plant || '.'}
-    ELSE {
-      'topic': 'Safety reporting', 'entity': line, 'conn': CAST([] AS VARCHAR[]),
-      'txt': 'Summarize the recordable incident rules that apply to ' || line || ' at ' || plant || '.'}
-    END AS b
-  FROM fault),
+    CASE user_id % 3 WHEN 0 THEN 'Operations' WHEN 1 THEN 'Finance' ELSE 'HR' END AS department,
+    {_list(T.SITES)}[(user_id // 3) % 5 + 1] AS plant,
+    'Shift ' || (user_id % 2 + 1 + (user_id // 2) % 2) AS shift,
+    {_list(T.ROLES)}[(user_id // 5) % 4 + 1] AS role,
+    (id // 3 + k) % 10 + 1 AS agent_num,
+    'Line ' || ((id // 2) % 5 + 1) AS line,
+    {_list(T.CODES)}[(id // 4) % 3 + 1] AS code,
+    CASE WHEN (id // 6) % 2 = 0 THEN 'Lot #402' ELSE 'Lot #517' END AS lot,
+    {_SUBJECT},
+    {_list(T.INJURIES)}[(id // 5) % {len(T.INJURIES)} + 1] AS injury,
+    {_list(T.CONNECTOR_SETS)}[(id // 9) % 16 + 1] AS conn
+  FROM ev),
+parts AS (
+  SELECT *,
+    {_list(t[0] for t in T.TASKS)}[{_TASK}] AS topic,
+    {_filled(f"{_list(t[1] for t in T.TASKS)}[{_TASK}]")} AS entity,
+    {_filled(f"{_list(t[2] for t in T.TASKS)}[{_TASK}]")} AS task,
+    {_filled(f"{_list(T.CLAUSES)}[(id // 5) % {len(T.CLAUSES)} + 1]")} AS clause
+  FROM scene),
 tele AS (
-  SELECT * EXCLUDE (b), b.topic AS topic, b.entity AS entity,
-    CASE WHEN variant = 2 THEN CAST([] AS VARCHAR[]) ELSE b.conn END AS connectors,
-    CASE variant
-      WHEN 0 THEN b.txt
-      WHEN 1 THEN 'Act as a senior ' || department || ' analyst. ' || b.txt || ' Return the answer as a markdown table.'
-      WHEN 3 THEN b.txt || ' Limit the answer to the last 30 days.'
-      ELSE CASE WHEN pasted THEN 'Summarize this pasted log: 10:02,pressure,310; 10:05,pressure,295; 10:07,ram,locked'
-                WHEN department = 'Operations' THEN 'Line 3 valve fault manual'
-                WHEN department = 'Finance' THEN 'scrap variance by line'
-                ELSE 'overtime policy rules' END END AS prompt_text
-  FROM base),
+  SELECT * EXCLUDE (conn),
+    CASE WHEN chat AND style NOT IN ({T.SEARCH}, {T.PASTED}) AND conn <> '' THEN string_split(conn, ',') ELSE CAST([] AS VARCHAR[]) END AS connectors,
+    CASE style
+      WHEN {T.CRISP} THEN '{T.OPENING}' || rtrim(task || ' ' || clause) || '{T.FORMAT_LINE}'
+      WHEN {T.SEARCH} THEN {_list(T.SEARCH_TEXTS)}[user_id % 3 + 1]
+      WHEN {T.LIMITED} THEN rtrim(task || ' ' || clause) || '{T.LIMIT_LINE}'
+      WHEN {T.PASTED} THEN '{T.PASTED_TEXT}'
+      ELSE rtrim(task || ' ' || clause) END AS prompt_text
+  FROM parts),
 raw AS (
   SELECT *,
     'log-' || id AS insert_id,
@@ -165,7 +82,7 @@ raw AS (
     CASE WHEN id % 3 = 0 THEN 'NOTICE' END AS severity,
     md5('trace-' || id) AS trace_id,
     left(md5('span-' || id), 16) AS span_id,
-    'user' || user_id || '@plant.example' AS employee_email,
+    'user' || user_id || '@bottler.example' AS employee_email,
     'EMP-' || user_id AS employee_id,
     CASE WHEN chat THEN department
          ELSE CASE WHEN agent_num <= 4 THEN 'Operations' WHEN agent_num <= 7 THEN 'Finance' ELSE 'HR' END END AS pillar,
@@ -176,9 +93,9 @@ raw AS (
     CASE WHEN agent_num <= 4 THEN '1_Plant_Operations_Shift_Coordinator'
          WHEN agent_num <= 7 THEN '5_Plant_Controllership_Cost_Agent'
          ELSE '8_HR_Onboarding_I9_Verification_Agent' END AS lead_agent,
-    580 + id % 1871 AS latency_ms,
-    2 * len(string_split(prompt_text, ' ')) + 15 + id % 26 AS prompt_tokens,
-    130 + id % 351 AS response_tokens
+    90 + id * 37 % 4001 AS latency_ms,
+    len(string_split(prompt_text, ' ')) + len(string_split(prompt_text, ' ')) % 3 + id % 17 AS prompt_tokens,
+    40 + id * 13 % 701 AS response_tokens
   FROM tele),
 flat AS (
   SELECT *,
@@ -195,8 +112,8 @@ found AS (
     regexp_matches(prompt_text, '\\b[0-9]{{2}}/[0-9]{{2}}/[0-9]{{4}}\\b') AS f_dob,
     regexp_matches(prompt_text, '\\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{{2,}}\\b') AS f_mail,
     regexp_matches(prompt_text, 'Acct #[0-9]{{10}}\\b') AS f_acct,
-    regexp_matches(lower(prompt_text), '\\b(disc herniation|fracture|laceration|rotator cuff tear|impingement|contusion|concussion|ligament sprain|tendonitis|carpal tunnel|second degree burn|amputation|hernia|dislocation)\\b') AS f_med,
-    regexp_matches(prompt_text, '\\b(Alma Reyes|Boris Lindqvist|Chidi Okafor|Dana Whitlock|Emil Hartmann|Farah Siddiqui|Gustavo Lima|Hanna Virtanen|Ivan Petrov|Jia Tanaka)\\b') AS f_name,
+    regexp_matches(lower(prompt_text), '\\b(arthritis|asthma|bursitis|concussion|crush injury|dermatitis|diabetes|epilepsy|herniation|hypertension|migraine|sciatica|sprain|tinnitus)\\b') AS f_med,
+    regexp_matches(prompt_text, '\\b({'|'.join(T.SUBJECT_NAMES)})\\b') AS f_name,
     regexp_matches(prompt_text, 'Routing #[0-9]{{9}}\\b') AS f_rout,
     regexp_matches(prompt_text, '\\b000-[0-9]{{2}}-[0-9]{{4}}\\b') AS f_ssn
   FROM flat),
@@ -213,7 +130,7 @@ masked AS (
       'Routing #[0-9]{{9}}\\b', 'Routing #[US_BANK_ROUTING_MICR]', 'g'),
       '\\b[0-9]{{2}}/[0-9]{{2}}/[0-9]{{4}}\\b', '[DATE_OF_BIRTH]', 'g'),
       '\\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{{2,}}\\b', '[EMAIL_ADDRESS]', 'g'),
-      '(Alma Reyes|Boris Lindqvist|Chidi Okafor|Dana Whitlock|Emil Hartmann|Farah Siddiqui|Gustavo Lima|Hanna Virtanen|Ivan Petrov|Jia Tanaka)', '[PERSON_NAME]', 'g') AS prompt_text_masked,
+      '({'|'.join(T.SUBJECT_NAMES)})', '[PERSON_NAME]', 'g') AS prompt_text_masked,
     sha256(unhex('{OUTER}') || unhex(sha256(unhex('{INNER}') || encode(employee_email)))) AS hmac_hex,
     f_ssn AND (f_med OR f_acct OR f_rout) AS is_toxic_combination,
     CASE WHEN NOT (f_dob OR f_mail OR f_acct OR f_med OR f_name OR f_rout OR f_ssn) THEN 'NONE'

@@ -74,9 +74,8 @@ def _dictionary(name: str, terms: Iterable[str], likelihood: str, how: str, igno
 
 # Clinical and injury terms of the default medical dictionary.
 MEDICAL_TERMS = (
-    "disc herniation", "fracture", "laceration", "rotator cuff tear", "impingement", "contusion",
-    "concussion", "ligament sprain", "tendonitis", "carpal tunnel", "second degree burn",
-    "amputation", "hernia", "dislocation",
+    "arthritis", "asthma", "bursitis", "concussion", "crush injury", "dermatitis", "diabetes", "epilepsy",
+    "herniation", "hypertension", "migraine", "sciatica", "sprain", "tinnitus",
 )
 
 

@@ -56,7 +56,7 @@ def test_large_dictionary_equals_pattern(spark, sf):
     """The join on word pairs finds what the pattern finds; both join sides are tried."""
     from checks import base
     from promptlens.operators.deidentify import find_dictionary_terms
-    from promptlens.sources import telemetry as T
+    from checks import telemetry as T
 
     texts = base.flat(spark, sf).select("insert_id", "prompt_text")
     terms = spark.createDataFrame([(n, "PERSON_NAME") for n in T.SUBJECT_NAMES], "term string, info_type string")

@@ -214,8 +214,9 @@ def messages(events: DataFrame) -> DataFrame:
 
 
 def disturbed_messages(events: DataFrame) -> DataFrame:
-    """Messages with deliveries a pipeline must survive: empty data, undecodable JSON,
-    null and absent fields, a scalar path, a numeric string and redeliveries."""
+    """Messages with deliveries a pipeline must survive: empty data, undecodable JSON, invalid
+    UTF-8, null and absent fields, a scalar path, a numeric string, a fraction, a number that is
+    none, a field of another type that nothing reads, and redeliveries, some of them good after bad."""
     eid, rows = F.col("event_id"), prompts(events)
     changes = {
         "department": lambda c: F.when(eid % 211 != 0, c),
@@ -229,11 +230,20 @@ def disturbed_messages(events: DataFrame) -> DataFrame:
     value = F.when(
         eid % 229 == 0, F.regexp_replace(value, r'"latency_ms":[0-9]+', '"latency_ms":"12"')
     ).otherwise(value)
+    value = F.when(
+        eid % 233 == 0, F.regexp_replace(value, r'("latency_ms":[0-9]+)', "$1.7")
+    ).otherwise(value)
+    value = F.when(
+        eid % 350 == 0, F.regexp_replace(value, r'"latency_ms":[^,}]+', '"latency_ms":"soon"')
+    ).otherwise(value)
+    value = F.when(eid % 239 == 0, F.concat(F.lit('{"resource":"global",'), F.substring(value, F.lit(2), F.length(value)))).otherwise(value)
     value = F.when(eid % 997 == 0, F.substring(value, 1, 40)).otherwise(value)
     first = _rows(
         rows,
         F.concat(F.lit("msg-"), eid.cast("string")).alias("event_id"),
-        F.when(eid % 499 == 0, "").otherwise(F.base64(value.cast("binary"))).alias("data"),
+        F.when(eid % 499 == 0, "")
+        .when(eid % 241 == 0, F.base64(F.concat(F.unhex(F.lit("FF")), value.cast("binary"))))
+        .otherwise(F.base64(value.cast("binary"))).alias("data"),
     )
     second_later = F.col("ts") + F.expr("interval 1 second")
     later = _rows(

@@ -233,14 +233,15 @@ curated AS (
 # Messages with the disturbances: duplicates keep the original values, one second later.
 DISTURBED = """
 msg AS (
-  SELECT *, 'msg-' || id AS event_id, id % 499 = 0 AS empty, id % 997 = 0 AS broken, FALSE AS again FROM flat
+  SELECT *, 'msg-' || id AS event_id, id % 499 = 0 AS empty, id % 997 = 0 OR id % 241 = 0 AS broken, id % 350 = 0 AS junk, FALSE AS again FROM flat
   UNION ALL
-  SELECT *, 'again-' || id AS event_id, FALSE AS empty, FALSE AS broken, TRUE AS again FROM flat WHERE id % 50 = 0),
+  SELECT *, 'again-' || id AS event_id, FALSE AS empty, FALSE AS broken, FALSE AS junk, TRUE AS again FROM flat WHERE id % 50 = 0),
 delivered AS (
   SELECT * EXCLUDE (department, interaction_type),
     CASE WHEN NOT again AND id % 211 = 0 THEN 'Unknown' ELSE department END AS department,
     CASE WHEN NOT chat THEN 'AGENT_TREE_EXECUTION' ELSE interaction_type END AS interaction_type
-  FROM msg WHERE NOT empty AND NOT broken)"""
+  FROM msg WHERE NOT empty AND NOT broken),
+accepted AS (SELECT * FROM delivered WHERE NOT junk QUALIFY row_number() OVER (PARTITION BY insert_id ORDER BY again) = 1)"""
 
 
 def sql(body: str, *, upto: str = "curated") -> str:

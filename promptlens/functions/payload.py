@@ -45,11 +45,20 @@ def insert_id_or_event_id(insert_id: Column, event_id: Column) -> Column:
 
 
 def to_int(col: Column) -> Column:
-    """Whole number of a JSON number or numeric string; absent gives 0, junk gives null.
+    """Whole number of a JSON value: numbers are cut toward zero, texts must be whole numbers.
 
-    A null result where the field is present marks the row for quarantine.
+    Absent and null give 0; anything else gives null, which marks the row for rejection.
     """
-    return F.when(col.isNull(), F.lit(0).cast("bigint")).otherwise(F.trim(col).try_cast("bigint"))
+    kind = F.schema_of_variant(col)
+    text = F.trim(F.try_variant_get(col, "$", "string")).try_cast("bigint")
+    number = F.try_variant_get(col, "$", "double")
+    whole = F.coalesce(F.try_variant_get(col, "$", "bigint"), F.when(F.abs(number) < 9e18, F.when(number >= 0, F.floor(number)).otherwise(F.ceil(number))))
+    whole = F.when(F.abs(number) < 9.3e18, whole)
+    return (
+        F.when(col.isNull() | (kind == "VOID"), F.lit(0).cast("bigint"))
+        .when(kind == "STRING", text)
+        .when(kind.rlike("^(BIGINT|BOOLEAN|DECIMAL|DOUBLE|FLOAT)"), whole)
+    )
 
 
 def parse_event_time(col: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,8 +23,8 @@ def project_chat(native: Column, field: Column) -> Column:
     return F.when(native, V.NATIVE_CHAT_AGENT).otherwise(P.field_or(field, ""))
 
 
-def flatten(entries: DataFrame) -> DataFrame:
-    """(event_id, entry) to flat columns. Raw identity and prompt are still present;
+def flatten(entries: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """(event_id, entry) to flat columns, and those to ``keep`` as they are. Raw identity and prompt are still present;
     :func:`promptlens.operators.deidentify.deidentify` must follow before any shuffle."""
     e, p = F.col("entry"), F.col("entry.jsonPayload")
     connectors = P.connectors_or_empty(p["connectors_queried"])
@@ -54,4 +56,4 @@ def flatten(entries: DataFrame) -> DataFrame:
         "employee_email": P.field_or(p["employee_email"], ""),
         "prompt_text": P.field_or(p["prompt_text"], ""),
     }
-    return entries.select(*(c.alias(name) for name, c in columns.items()))
+    return entries.select(*keep, *(c.alias(name) for name, c in columns.items()))

@@ -14,8 +14,9 @@ def _f(name: str, dtype: T.DataType, comment: str = "", nullable: bool = True) -
     return T.StructField(name, dtype, nullable, {"comment": comment} if comment else {})
 
 
-# Fields that senders type loosely are read as text and converted afterwards:
-# one wrongly typed field would otherwise turn the whole row into a corrupt record.
+# Fields that senders type loosely are read as text, numbers as variants, and converted afterwards:
+# one wrongly typed field would otherwise turn the whole row into a corrupt record. Fields that
+# nothing reads are not declared.
 PAYLOAD = T.StructType(
     [
         _f(name, STRING)
@@ -24,9 +25,9 @@ PAYLOAD = T.StructType(
             "employee_email", "department", "employee_role", "plant_location", "shift", "pillar",
             "root_agent", "leaf_agent", "agent_tree_path", "agent_invoked", "ge_app_id",
             "prompt_text", "operational_entity", "topic_cluster",
-            "latency_ms", "prompt_tokens", "response_tokens",
         )
     ]
+    + [_f(name, T.VariantType()) for name in ("latency_ms", "prompt_tokens", "response_tokens")]
     + [_f("connectors_queried", STRINGS)]
 )
 
@@ -38,7 +39,6 @@ LOG_ENTRY = T.StructType(
         _f("severity", STRING),
         _f("trace", STRING),
         _f("spanId", STRING),
-        _f("resource", T.StructType([_f("type", STRING), _f("labels", T.MapType(STRING, STRING))])),
         _f("jsonPayload", PAYLOAD),
         _f(CORRUPT, STRING),
     ]

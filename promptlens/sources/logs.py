@@ -55,8 +55,8 @@ def drop_empty_messages(messages: DataFrame) -> DataFrame:
 
 
 def message_text(data: Column) -> Column:
-    """Base64 message data to text; undecodable data gives null."""
-    return F.try_to_binary(data, F.lit("base64")).cast("string")
+    """Base64 message data to text; data that isn't base64 of valid UTF-8 gives null."""
+    return F.try_validate_utf8(F.try_to_binary(data, F.lit("base64")).cast("string"))
 
 
 def decode_messages(messages: DataFrame) -> DataFrame:
@@ -110,10 +110,11 @@ def attach_labels(df: DataFrame, tag: tuple[str, str] = ("telemetry", "prompt-an
     return df.withColumn("labels", labels(F.col("entry.jsonPayload"), tag))
 
 
-def message_stream(spark: SparkSession, path: str, max_files: int | None = None, fmt: str = "json") -> DataFrame:
+MAX_FILES = 1000
+
+
+def message_stream(spark: SparkSession, path: str, max_files: int = MAX_FILES, fmt: str = "json") -> DataFrame:
     """Streaming (event_id, data) from files of envelopes; ``max_files`` per batch is the
-    back-pressure knob."""
+    back-pressure knob, so a backlog comes in several batches."""
     reader = spark.readStream.schema("event_id string, data string").format(fmt)
-    if max_files:
-        reader = reader.option("maxFilesPerTrigger", max_files)
-    return reader.load(path)
+    return reader.option("maxFilesPerTrigger", max_files).load(path)

@@ -116,7 +116,7 @@ def test_payload_conversions(spark):
         ],
         "path string, n string, trace string, id string, event string",
     ).select(
-        P.agent_path(F.col("path")).alias("path"), P.to_int(F.col("n")).alias("n"),
+        P.agent_path(F.col("path")).alias("path"), P.to_int(F.from_json(F.to_json(F.struct("n")), "n variant")["n"]).alias("n"),
         P.last_segment(F.col("trace")).alias("trace"),
         P.insert_id_or_event_id(F.col("id"), F.col("event")).alias("id"),
     )

@@ -7,7 +7,7 @@ beside accented letters differs between Java releases and other regex engines.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -31,6 +31,15 @@ def at_word_start(first: str) -> str:
     return f"{first}(?<![{WORD}].)"
 
 
+@dataclass(frozen=True)
+class MaskCharacters:
+    """Masks the first ``count`` characters of each match (all where None); those in ``skip`` stay and don't count."""
+
+    count: int | None = None
+    mask: str = "*"
+    skip: str = ""
+
+
 @dataclass(frozen=True)
 class Detector:
     """One row of the detector table.
@@ -43,7 +52,7 @@ class Detector:
     name: str
     pattern: str
     likelihood: str = "LIKELY"
-    transform: str = REPLACE
+    transform: str | MaskCharacters = REPLACE
     reported_as: str | None = None
     needles: tuple[str, ...] = ()
     ignore_case: bool = False
@@ -89,13 +98,36 @@ def medical_terms(terms: Sequence[str] = MEDICAL_TERMS, likelihood: str = "LIKEL
     return _dictionary(V.MEDICAL, (t.lower() for t in terms), likelihood, KEEP, ignore_case=True)
 
 
-def custom(info_type: str, regex: str, likelihood: str = "LIKELY", transform: str = REPLACE) -> Detector:
-    """User-added detector."""
+def custom(info_type: str, regex: str, likelihood: str = "LIKELY", transform: str | MaskCharacters = REPLACE) -> Detector:
+    """User-added detector; each of its matches is replaced by the type, masked by characters, or kept."""
     if likelihood not in V.LIKELIHOODS:
         raise ValueError(f"unknown likelihood {likelihood!r}")
+    if transform not in (REPLACE, KEEP) and not isinstance(transform, MaskCharacters):
+        raise ValueError(f"unknown transform {transform!r}: replace, keep or MaskCharacters")
     return Detector(info_type, regex, likelihood, transform)
 
 
+#: Terms of a dictionary table that become one pattern at most.
+MOST_TERMS = 20_000
+
+
+def dictionary_detectors(terms: DataFrame) -> tuple[Detector, ...]:
+    """Detectors for a dictionary kept as a table (term, info_type), of any number of words; medical terms are
+    kept in the text, all others masked. Tables of more than ``MOST_TERMS`` rows are refused:
+    ``find_dictionary_terms`` reports those.
+    """
+    rows = terms.select("term", "info_type").where("term != ''").distinct().limit(MOST_TERMS + 1).collect()
+    if len(rows) > MOST_TERMS:
+        raise ValueError(f"more than {MOST_TERMS} terms")
+    by_type: dict[str, list[str]] = {}
+    for r in rows:
+        by_type.setdefault(r["info_type"], []).append(r["term"])
+    return tuple(
+        medical_terms(found) if name == V.MEDICAL else _dictionary(name, found, "LIKELY", REPLACE, ignore_case=False)
+        for name, found in sorted(by_type.items())
+    )
+
+
 _DIGIT = at_word_start("[0-9]")
 REAL_SSN = Detector(
     V.SSN, at_word_start("[0-8]") + "[0-9]{2}(?<!000|666)-[0-9]{2}-[0-9]{4}" + END,
@@ -168,12 +200,13 @@ def is_shadow(department: Column, types: Column) -> Column:
     return F.coalesce((department == "Operations") & contains_type(types, V.SSN), F.lit(False))
 
 
-def mask_chars(value: Column, count: int, mask: str = "*", skip: str = "") -> Column:
-    """Mask the first ``count`` characters of a whole value; characters in ``skip``
-    stay and do not count."""
+def mask_chars(value: Column, count: int | None, mask: str = "*", skip: str = "") -> Column:
+    """Mask the first ``count`` characters of a whole value (all where None); characters in
+    ``skip`` stay and do not count."""
     kept = f"[^{re.escape(skip)}]" if skip else r"[\s\S]"
     skipped = f"[{re.escape(skip)}]*" if skip else ""
-    prefix = F.regexp_extract(value, f"^((?:{skipped}{kept}){{0,{count}}})", 1)
+    times = "*" if count is None else f"{{0,{count}}}"
+    prefix = F.regexp_extract(value, f"^((?:{skipped}{kept}){times})", 1)
     return F.concat(
         F.regexp_replace(prefix, kept, mask.replace("\\", r"\\").replace("$", r"\$")),
         value.substr(F.length(prefix) + 1, F.length(value)),
@@ -202,12 +235,26 @@ def replace_with_type(text: Column, detector: Detector) -> Column:
     return F.regexp_replace(text, flags + detector.pattern, f"[{detector.info_type}]")
 
 
+def each_match(text: Column, pattern: str, change: Callable[[Column], Column]) -> Column:
+    """The text with every match of a pattern changed by an expression of its own."""
+    between = F.split(text, pattern, -1)
+    matches = F.transform(F.regexp_extract_all(text, F.lit(pattern), 0), change)
+    pieces = F.zip_with(between, matches, lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
+    return F.array_join(pieces, "")
+
+
 def transform(text: Column, detector: Detector, style: str = "plain") -> Column:
     """A detector's transform of a text."""
+    if isinstance(detector.transform, MaskCharacters):
+        rule = detector.transform
+        pattern = ("(?i)" if detector.ignore_case else "") + detector.pattern
+        return each_match(text, pattern, lambda m: mask_chars(m, rule.count, rule.mask, rule.skip))
     if detector.transform == MASK_SSN:
         return mask_ssn(text, style)
     if detector.transform == MASK_ACCOUNT:
         return mask_account(text, style)
+    if detector.transform not in (REPLACE, KEEP):
+        raise ValueError(f"unknown transform {detector.transform!r}")
     return replace_with_type(text, detector) if detector.transform == REPLACE else text
 
 

@@ -35,11 +35,16 @@ class ActorKey:
     """An HMAC key that reaches the plan as a scalar subquery over its table.
 
     The key is neither a literal (it would print in ``explain`` and event logs)
-    nor a join side (no join is needed for one row).
+    nor a join side (no join is needed for one row). A query fails unless the table holds
+    exactly one row of that id: without a key there would be no actors.
     """
 
     def __init__(self, table: DataFrame, key_id: str = "default"):
-        self._row = table.where(F.col("key_id") == key_id)
+        found = table.where(F.col("key_id") == key_id).agg(
+            F.count("*").alias("n"), F.min("inner_pad").alias("inner_pad"), F.min("outer_pad").alias("outer_pad")
+        )
+        wrong = F.raise_error(F.concat(F.lit(f"key {key_id}: "), F.col("n").cast("string"), F.lit(" rows instead of one"))).cast("binary")
+        self._row = found.select(*(F.when(F.col("n") == 1, F.col(c)).otherwise(wrong).alias(c) for c in ("inner_pad", "outer_pad")))
 
     def pads(self) -> tuple[Column, Column]:
         return self._row.select("inner_pad").scalar(), self._row.select("outer_pad").scalar()
@@ -51,11 +56,14 @@ def hmac_sha256(message: Column, inner_pad: Column, outer_pad: Column) -> Column
     return F.unhex(F.sha2(F.concat(outer_pad, inner), 256))
 
 
-def format_actor_hash(digest_b64: Column) -> Column:
-    """'usr_' + first 8 hex digits of a base64 digest.
+DIGITS = 8  # of an actor id; 16 keep billions of actors apart
+
+
+def format_actor_hash(digest_b64: Column, digits: int = DIGITS) -> Column:
+    """'usr_' + first ``digits`` hex digits of a base64 digest.
 
     Empty gives the anonymous actor. Characters outside the base64 alphabet are
-    ignored; text that still does not decode keeps its first 8 alphanumerics in
+    ignored; text that still does not decode keeps as many first alphanumerics in
     lower case.
     """
     alphabet = F.regexp_replace(digest_b64, "[^0-9A-Za-z+/=]", "")
@@ -63,7 +71,7 @@ def format_actor_hash(digest_b64: Column) -> Column:
     decoded = F.lower(F.hex(F.try_to_binary(whole, F.lit("base64"))))
     plain = F.lower(F.regexp_replace(digest_b64, "[^0-9A-Za-z]", ""))
     return F.when(is_empty(digest_b64), V.ANONYMOUS_ACTOR).otherwise(
-        F.concat(F.lit(V.ACTOR_PREFIX), F.substring(F.coalesce(decoded, plain), 1, 8))
+        F.concat(F.lit(V.ACTOR_PREFIX), F.substring(F.coalesce(decoded, plain), 1, digits))
     )
 
 
@@ -76,16 +84,16 @@ def email_digest(email: Column, key: ActorKey) -> Column:
     return F.when(is_empty(email), "").otherwise(F.base64(hmac_sha256(email, *key.pads())))
 
 
-def actor_hash(email: Column, key: ActorKey) -> Column:
+def actor_hash(email: Column, key: ActorKey, digits: int = DIGITS) -> Column:
     """Actor id of an email: what :func:`format_actor_hash` gives for its digest, without
     the detour over base64."""
     digest = F.lower(F.hex(hmac_sha256(email, *key.pads())))
     return F.when(is_empty(email), V.ANONYMOUS_ACTOR).otherwise(
-        F.concat(F.lit(V.ACTOR_PREFIX), F.substring(digest, 1, 8))
+        F.concat(F.lit(V.ACTOR_PREFIX), F.substring(digest, 1, digits))
     )
 
 
-def salted_actor_hash(email: Column, domain: str = V.ACTOR_HASH_DOMAIN, digits: int = 8) -> Column:
+def salted_actor_hash(email: Column, domain: str = V.ACTOR_HASH_DOMAIN, digits: int = DIGITS) -> Column:
     """Unkeyed form: SHA-256 of the domain and the trimmed lower-case email."""
     digest = F.sha2(F.concat(F.lit(domain), F.lower(F.trim(email))), 256)
     return F.concat(F.lit(V.ACTOR_PREFIX), F.substring(digest, 1, digits))

@@ -11,8 +11,10 @@ from promptlens import fixed_values as V
 from promptlens.functions import detectors as D
 from promptlens.functions.hashing import ActorKey, actor_hash, email_digest
 
-# A word and, as look-ahead, the word after one space; possessive endings are left out.
-WORD_PAIR = r"(?<![\p{L}0-9_])(\p{L}+(?:['-]\p{L}+)*)(?= (\p{L}+(?:['-]\p{L}{2,})*))"
+# Words of a dictionary term; possessive endings of the last one are left out.
+WORD_START = r"(?<![\p{L}0-9_])"
+A_WORD = r"\p{L}+(?:['-]\p{L}+)*"
+LAST_WORD = r"\p{L}+(?:['-]\p{L}{2,})*"
 
 
 def inspect(df: DataFrame, detectors: Sequence[D.Detector], text: str = "prompt_text", min_likelihood: str = "POSSIBLE") -> DataFrame:
@@ -66,31 +68,29 @@ def pseudonymise(df: DataFrame) -> DataFrame:
     return df.drop("employee_name", "employee_email")
 
 
-def find_dictionary_terms(df: DataFrame, id_col: str, text_col: str, terms: DataFrame, max_broadcast: int = 200_000, salts: int = 16) -> DataFrame:
-    """Large dictionaries: two-word names found in texts by an equi-join.
+def find_dictionary_terms(df: DataFrame, id_col: str, text_col: str, terms: DataFrame) -> DataFrame:
+    """Dictionaries kept as a table: terms of any number of words found in texts by an equi-join.
 
-    ``terms`` is (term, info_type) with unique two-word terms. Returns
-    (id, term, info_type), distinct. Word pairs are distinct per text before
-    the join; a dictionary beyond ``max_broadcast`` rows is joined by a
-    salted shuffle, so that one very common pair does not end in one task.
+    ``terms`` is (term, info_type), matched as whole words that single spaces separate, ignoring case for
+    medical terms. Returns (id, term, info_type), distinct. What moves between executors are digests of
+    runs of words, as long as the dictionary's terms are, never the words; runs are distinct per
+    text, and a very common one is split by the skew join.
     """
-    from promptlens.operators.enrich import fits
-
+    folded = F.when(F.col("info_type") == V.MEDICAL, F.lower("term")).otherwise(F.col("term"))
+    known = terms.select("term", "info_type", folded.alias("key"), F.size(F.split("term", " ")).alias("words")).distinct()
+    lengths = [r["words"] for r in known.select("words").distinct().orderBy("words").collect()]  # word counts of terms
+    if not lengths:
+        return df.select(id_col, F.lit(None).cast("string").alias("term"), F.lit(None).cast("string").alias("info_type")).limit(0)
+    known = known.withColumn("digest", F.sha2("key", 256)).drop("key", "words")
     text = F.col(text_col)
-    pairs = df.select(
-        id_col,
-        F.explode(
-            F.array_distinct(
-                F.zip_with(
-                    F.regexp_extract_all(text, F.lit(WORD_PAIR), 1),
-                    F.regexp_extract_all(text, F.lit(WORD_PAIR), 2),
-                    lambda a, b: F.concat_ws(" ", a, b),
-                )
-            )
-        ).alias("term"),
-    )
-    if fits(terms, max_broadcast):
-        return pairs.join(F.broadcast(terms), "term").select(id_col, "term", "info_type")
-    salted = terms.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    pairs = pairs.withColumn("salt", F.pmod(F.xxhash64(id_col), F.lit(salts)).cast("int"))
-    return pairs.join(salted, ["term", "salt"]).select(id_col, "term", "info_type")
+    runs = []
+    for n in lengths:
+        if n == 1:
+            runs.append(F.regexp_extract_all(text, F.lit(f"{WORD_START}({LAST_WORD})"), 1))
+        else:
+            rule = F.lit(f"{WORD_START}({A_WORD})(?=((?: {A_WORD}){{{n - 2}}} {LAST_WORD}))")
+            runs.append(F.zip_with(F.regexp_extract_all(text, rule, 1), F.regexp_extract_all(text, rule, 2), lambda a, b: F.concat(a, b)))
+    every = F.flatten(F.array(*runs))
+    digests = F.transform(F.array_distinct(F.concat(every, F.transform(every, F.lower))), lambda w: F.sha2(w, 256))
+    found = df.select(id_col, F.explode(digests).alias("digest")).join(known, "digest")
+    return found.select(id_col, "term", "info_type").distinct()

@@ -207,7 +207,7 @@ def gap_without_connector(curated: DataFrame) -> DataFrame:
 def fault_to_claim_correlation(curated: DataFrame, fault: str = "ERR-PLC-409") -> DataFrame:
     """Per line: volume by pillar, fault mentions, injury claims, and days with both.
 
-    Both sides of the day join are aggregated to one row per line and day first.
+    One scan: counts per line and day first, which then are summed by line.
     """
     entity = F.col("operational_entity")
     line = F.regexp_extract(P.extract_entity(entity), r"Line [0-9]+", 0)
@@ -222,18 +222,9 @@ def fault_to_claim_correlation(curated: DataFrame, fault: str = "ERR-PLC-409") -
             F.count_if(claim).alias("injury_claims"),
         )
     )
-    volume = daily.groupBy("line").agg(
-        *(F.sum(c).alias(c) for c in (
-            "operations_prompts", "finance_prompts", "hr_prompts", "fault_prompts", "injury_claims"))
-    )
-    faults = daily.where("fault_prompts > 0").select("line", "day")
-    claims = daily.where("injury_claims > 0").select("line", "day")
-    shared = faults.join(claims, ["line", "day"]).groupBy("line").agg(F.count("*").alias("shared_days"))
-    return (
-        volume.join(shared, "line", "left")
-        .withColumn("shared_days", F.coalesce("shared_days", F.lit(0)))
-        .orderBy("line")
-    )
+    sums = ("operations_prompts", "finance_prompts", "hr_prompts", "fault_prompts", "injury_claims")
+    shared = F.count_if((F.col("fault_prompts") > 0) & (F.col("injury_claims") > 0)).alias("shared_days")
+    return daily.groupBy("line").agg(*(F.sum(c).alias(c) for c in sums), shared).orderBy("line")
 
 
 def risk_distribution(curated: DataFrame) -> DataFrame:
@@ -312,21 +303,29 @@ PERFORMANCE = ["latency_ms", "prompt_tokens", "response_tokens"]
 def performance_summary(curated: DataFrame, approximate: bool = False) -> DataFrame:
     """Mean, median, 95th percentile and maximum of latency and tokens per type and agent.
 
-    Exact percentiles run over counted values: rows are first reduced to one per
-    group, metric and value, so a large group is never held whole.
-    ``approximate`` trades exactness for one mergeable sketch per group.
+    Exact percentiles are read off running counts of the distinct values, which a task sorts (on disk
+    if need be) rather than holds. ``approximate`` trades exactness for one mergeable sketch per group.
     """
     keys = ["interaction_type", "leaf_agent", "metric"]
     long = curated.select(
         "interaction_type", "leaf_agent",
         F.inline(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).alias("v")) for m in PERFORMANCE))),
-    )
+    ).where("v is not null")
+    counted = long.groupBy(*keys, "v").agg(F.count("*").alias("n"))
+    upto = Window.partitionBy(*keys).orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = counted.withColumn("upto", F.sum("n").over(upto)).withColumn("all", F.sum("n").over(Window.partitionBy(*keys)))
+
+    def quantile(p: float) -> Column:
+        """Linear between the two values whose ranks enclose the quantile."""
+        place = (F.col("all") - 1) * p
+        low, high = (F.min(F.when(F.col("upto") > edge(place), F.col("v"))) for edge in (F.floor, F.ceil))
+        return low + (high - low) * F.max(place - F.floor(place))
+
     if approximate:
         n, source = F.lit(1), long
         quantile = lambda p: F.percentile_approx("v", p, 10_000).cast("double")
     else:
-        n, source = F.col("n"), long.groupBy(*keys, "v").agg(F.count("*").alias("n"))
-        quantile = lambda p: F.percentile("v", p, F.col("n"))
+        n, source = F.col("n"), ranked
     return source.groupBy(*keys).agg(
         F.sum(n).cast("bigint").alias("prompts"),
         F.round(F.sum(F.col("v") * n) / F.sum(n), 2).alias("mean"),

@@ -15,6 +15,7 @@ from checks.telemetry_sql import sql
 from promptlens import fixed_values as V
 from promptlens.functions import payload as P
 from promptlens.operators import curate as C
+from promptlens.operators.ledger import append_once
 from promptlens.operators import enrich as E
 from promptlens.operators.judge import judge_with
 from promptlens.schema import curated_schema
@@ -251,7 +252,7 @@ def schema(spark: SparkSession, sf: str) -> DataFrame:
     "s17_require_not_null",
     sql(
         "SELECT CASE WHEN shift = 'Shift 2' THEN 'missing or invalid anonymous_actor_hash'"
-        " WHEN plant = 'Lakeside Assembly' THEN 'missing or invalid prompt_tokens' ELSE 'complete' END AS reason, count(*) AS n FROM flat GROUP BY 1",
+        " WHEN plant = 'Aldermoor' THEN 'missing or invalid prompt_tokens' ELSE 'complete' END AS reason, count(*) AS n FROM flat GROUP BY 1",
         upto="flat",
     ),
 )
@@ -259,7 +260,7 @@ def not_null(spark: SparkSession, sf: str) -> DataFrame:
     rows = masked(spark, sf).withColumns(
         {
             "anonymous_actor_hash": F.when(F.col("shift") != "Shift 2", F.col("anonymous_actor_hash")),
-            "prompt_tokens": F.when(F.col("plant_location") != "Lakeside Assembly", F.col("prompt_tokens")),
+            "prompt_tokens": F.when(F.col("plant_location") != "Aldermoor", F.col("prompt_tokens")),
         }
     )
     good, bad = C.require_not_null(rows)
@@ -271,7 +272,7 @@ def not_null(spark: SparkSession, sf: str) -> DataFrame:
     "s18_idempotent_append",
     sql(
         "SELECT department, count(*) AS n, count(DISTINCT insert_id) AS ids FROM"
-        " (SELECT * FROM delivered QUALIFY row_number() OVER (PARTITION BY insert_id ORDER BY again) = 1) GROUP BY 1",
+        " accepted GROUP BY 1",
         upto="delivered",
     ),
 )
@@ -279,8 +280,8 @@ def append(spark: SparkSession, sf: str) -> DataFrame:
     """The same deliveries appended twice leave one row per id."""
     path = scratch_path(spark, "appended")
     rows = C.curate(disturbed(spark, sf), DETECTORS, test_key(spark), distinct=None)
-    C.idempotent_append(rows, path)
-    C.idempotent_append(rows, path)
+    append_once(rows, path)
+    append_once(rows, path)
     return C.read_curated(spark, path).groupBy("department").agg(
         F.count("*").alias("n"), F.countDistinct("insert_id").alias("ids")
     )
@@ -389,7 +390,7 @@ def insert_id(spark: SparkSession, sf: str) -> DataFrame:
 @check(
     "p10_to_int",
     sql(
-        "SELECT event_id, CASE WHEN NOT again AND id % 229 = 0 THEN 12 ELSE latency_ms END AS latency_ms, prompt_tokens, response_tokens FROM delivered",
+        "SELECT event_id, CASE WHEN junk THEN NULL WHEN NOT again AND id % 229 = 0 THEN 12 ELSE latency_ms END AS latency_ms, prompt_tokens, response_tokens FROM delivered",
         upto="delivered",
     ),
 )

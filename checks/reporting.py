@@ -338,14 +338,14 @@ def enrich_agent(spark: SparkSession, sf: str) -> DataFrame:
 
 @check(
     "jn2_enrich_employee",
-    sql("SELECT insert_id, employee_email, department, role AS employee_role, plant AS plant_location, shift FROM flat", upto="flat"),
+    sql("SELECT insert_id, 'usr_' || left(hmac_hex, 8) AS anonymous_actor_hash, department, role AS employee_role, plant AS plant_location, shift FROM masked", upto="masked"),
 )
 def enrich_employee(spark: SparkSession, sf: str) -> DataFrame:
     rows = entries(spark, sf).select(
         F.col("entry.insertId").alias("insert_id"), F.col("entry.jsonPayload.employee_id").alias("employee_id")
     )
-    return E.enrich_employee(rows, T.roster(events(spark, sf))).select(
-        "insert_id", "employee_email", "department", "employee_role", "plant_location", "shift"
+    return E.enrich_employee(rows, T.roster(events(spark, sf)), test_key(spark)).select(
+        "insert_id", "anonymous_actor_hash", "department", "employee_role", "plant_location", "shift"
     )
 
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from checks.base import DETECTORS, check, disturbed_path, messages_path, stamp, test_key
+from checks.base import DETECTORS, check, disturbed, disturbed_path, messages_path, stamp, test_key
 from checks.telemetry_sql import sql
-from promptlens.operators.curate import has_key, masked_rows, read_curated
+from promptlens.operators.curate import curate_and_reject, has_key, masked_rows, read_curated
 from promptlens.session import prepare, scratch_path
 from promptlens.sources.logs import decode_messages, message_stream
 from promptlens.streaming import stream as S
@@ -24,87 +25,143 @@ def _facts(table: DataFrame) -> DataFrame:
     )
 
 
-def _drain(spark: SparkSession, frame: DataFrame, name: str, **sink) -> DataFrame:
-    """Run a stream over all files present and read its Parquet sink."""
+def _files(spark: SparkSession, rows: DataFrame, name: str, n: int) -> str:
+    """The messages as n files, out of time order: one micro-batch each."""
     path = scratch_path(spark, name)
+    rows.withColumn("file", F.pmod(F.xxhash64("event_id"), F.lit(n))).repartition("file").drop("file").write.option("maxRecordsPerFile", 0).parquet(path)
+    return path
+
+
+def _drain(spark: SparkSession, frame: DataFrame, name: str, mode: str = "append") -> DataFrame:
+    """Run a stream over all files present and read what it wrote: all parts, or the last state."""
+    path = scratch_path(spark, name)
+
+    def keep(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(path)
+
     query = (
-        frame.writeStream.format("parquet").option("path", path)
+        frame.writeStream.foreachBatch(keep)
         .option("checkpointLocation", scratch_path(spark, f"{name}-state"))
-        .outputMode("append").trigger(availableNow=True).start()
+        .outputMode(mode).trigger(availableNow=True).start()
     )
     query.awaitTermination()
     return spark.read.parquet(path)
 
 
+ACCEPTED = sql("SELECT pillar, count(*) AS n, count(DISTINCT insert_id) AS ids FROM accepted GROUP BY 1", upto="delivered")
+
+
+def _by_pillar(table: DataFrame) -> DataFrame:
+    return table.groupBy("pillar").agg(F.count("*").alias("n"), F.countDistinct("insert_id").alias("ids"))
+
+
 @check("t1_stream_curate", sql(f"SELECT {FACTS} FROM curated"))
 def stream_curate(spark: SparkSession, sf: str) -> DataFrame:
-    """Stream equals batch."""
-    source = message_stream(prepare(spark), messages_path(spark, sf), fmt="parquet")
+    """Stream equals batch, over four micro-batches out of time order."""
+    files = _files(spark, prepare(spark).read.parquet(messages_path(spark, sf)), "stream-files", 4)
+    source = message_stream(spark, files, max_files=1, fmt="parquet")
     path = scratch_path(spark, "stream")
-    S.write_stream(
-        S.stream_curate(source, DETECTORS, test_key(spark)), path, scratch_path(spark, "stream-state")
-    ).awaitTermination()
+    S.stream_curate(source, DETECTORS, test_key(spark), path, scratch_path(spark, "stream-state")).awaitTermination()
     return _facts(read_curated(spark, path))
 
 
-@check(
-    "t2_backpressure",
-    sql("SELECT pillar, count(*) AS n, count(DISTINCT insert_id) AS ids FROM"
-        " (SELECT * FROM delivered QUALIFY row_number() OVER (PARTITION BY insert_id ORDER BY again) = 1) GROUP BY 1",
-        upto="delivered"),
-)
+@check("t2_backpressure", ACCEPTED)
 def backpressure(spark: SparkSession, sf: str) -> DataFrame:
     """Six files per micro-batch; rows redelivered in later batches are not added again."""
     source = message_stream(prepare(spark), disturbed_path(spark, sf), max_files=6, fmt="parquet")
     path = scratch_path(spark, "appended-stream")
-    S.append_stream(
-        source, DETECTORS, test_key(spark), path, scratch_path(spark, "append-state")
-    ).awaitTermination()
-    return read_curated(spark, path).groupBy("pillar").agg(
-        F.count("*").alias("n"), F.countDistinct("insert_id").alias("ids")
-    )
+    S.stream_curate(source, DETECTORS, test_key(spark), path, scratch_path(spark, "append-state")).awaitTermination()
+    return _by_pillar(read_curated(spark, path))
 
 
 @check("t3_dedup_stream", sql("SELECT DISTINCT insert_id FROM delivered", upto="delivered"))
 def dedup(spark: SparkSession, sf: str) -> DataFrame:
-    source = message_stream(prepare(spark), disturbed_path(spark, sf), fmt="parquet")
-    rows = has_key(masked_rows(decode_messages(source), DETECTORS, test_key(spark)))
+    """Each id once, however late; nothing is lost to a watermark."""
+    files = _files(spark, disturbed(prepare(spark), sf), "dedup-files", 3)
+    rows = has_key(masked_rows(decode_messages(message_stream(spark, files, max_files=1, fmt="parquet")), DETECTORS, test_key(spark)))
     return _drain(spark, S.dedup_stream(rows).select("insert_id"), "dedup")
 
 
+@check("t4_at_least_once", ACCEPTED)
+def at_least_once(spark: SparkSession, sf: str) -> DataFrame:
+    """A stream without its checkpoint reads every file again; the table stays the same."""
+    source = message_stream(prepare(spark), disturbed_path(spark, sf), fmt="parquet")
+    path = scratch_path(spark, "again")
+    for attempt in range(2):
+        S.stream_curate(source, DETECTORS, test_key(spark), path, scratch_path(spark, f"again-state-{attempt}")).awaitTermination()
+    return _by_pillar(read_curated(spark, path))
+
+
+@check("s19_fail_on_sink_error", ACCEPTED)
+def sink_error(spark: SparkSession, sf: str) -> DataFrame:
+    """The sink fails once, which fails the query; a restart from the checkpoint repeats the batch."""
+    source = message_stream(prepare(spark), disturbed_path(spark, sf), fmt="parquet")
+    path, state = scratch_path(spark, "failing"), scratch_path(spark, "failing-state")
+
+    def broken(batch: DataFrame) -> DataFrame:
+        raise OSError("sink is down")
+
+    try:
+        S.stream_curate(source, DETECTORS, test_key(spark), path, state, curate_batch=broken).awaitTermination()
+    except StreamingQueryException:
+        S.stream_curate(source, DETECTORS, test_key(spark), path, state).awaitTermination()
+    return _by_pillar(read_curated(spark, path))
+
+
 @check(
     "t6_tumbling_counters",
     sql(
-        "SELECT strftime(w, '%Y-%m-%d %H:%M:%S.%g') AS window_start, pillar, total_prompts, dlp_flagged_prompts, ssn_prompts, toxic_combination_prompts FROM ("
-        "SELECT date_trunc('hour', event_timestamp) AS w, pillar, count(*) AS total_prompts, count(*) FILTER (len(info_types) > 0) AS dlp_flagged_prompts,"
-        " count(*) FILTER (f_ssn) AS ssn_prompts, count(*) FILTER (is_toxic_combination) AS toxic_combination_prompts FROM masked GROUP BY 1, 2)"
-        " WHERE w + INTERVAL 1 HOUR <= (SELECT max(event_timestamp) - INTERVAL 1 HOUR FROM masked)",
-        upto="masked",
+        "SELECT strftime(date_trunc('hour', event_timestamp), '%Y-%m-%d %H:%M:%S.%g') AS window_start, pillar, count(*) AS total_prompts FROM"
+        " (SELECT insert_id, pillar, min(event_timestamp) AS event_timestamp FROM delivered GROUP BY 1, 2) GROUP BY 1, 2",
+        upto="delivered",
     ),
 )
 def tumbling(spark: SparkSession, sf: str) -> DataFrame:
-    """Hourly exposure per pillar; windows the watermark has not closed stay open."""
-    source = message_stream(prepare(spark), messages_path(spark, sf), fmt="parquet")
-    rows = has_key(masked_rows(decode_messages(source), DETECTORS, test_key(spark)))
-    out = _drain(spark, S.governance_counters(rows), "counters")
-    return out.withColumn("window_start", stamp("window_start"))
+    """Hourly exposure per pillar over redelivered and late messages: each id counts once."""
+    files = _files(spark, disturbed(prepare(spark), sf), "counter-files", 3)
+    rows = has_key(masked_rows(decode_messages(message_stream(spark, files, max_files=1, fmt="parquet")), DETECTORS, test_key(spark)))
+    out = _drain(spark, S.governance_counters(rows), "counters", "complete")
+    return out.select(stamp("window_start"), "pillar", "total_prompts")
 
 
 @check(
-    "t8_late_rows_backfill",
-    sql("SELECT pillar, count(*) AS n, count(DISTINCT insert_id) AS ids FROM"
-        " (SELECT * FROM delivered QUALIFY row_number() OVER (PARTITION BY insert_id ORDER BY again) = 1) GROUP BY 1",
-        upto="delivered"),
+    "t6_flagged_counters",
+    sql(
+        "SELECT strftime(date_trunc('hour', event_timestamp), '%Y-%m-%d %H:%M:%S.%g') AS window_start, pillar, count(*) AS total_prompts, count(*) FILTER (len(info_types) > 0) AS dlp_flagged_prompts,"
+        " count(*) FILTER (f_ssn) AS ssn_prompts, count(*) FILTER (is_toxic_combination) AS toxic_combination_prompts FROM masked GROUP BY 1, 2",
+        upto="masked",
+    ),
 )
-def late_rows(spark: SparkSession, sf: str) -> DataFrame:
-    """The stream stores what it got; a batch run of the same transforms adds what is missing."""
-    from checks.base import disturbed
+def flagged(spark: SparkSession, sf: str) -> DataFrame:
+    files = _files(spark, prepare(spark).read.parquet(messages_path(spark, sf)), "flag-files", 3)
+    rows = has_key(masked_rows(decode_messages(message_stream(spark, files, max_files=1, fmt="parquet")), DETECTORS, test_key(spark)))
+    out = _drain(spark, S.governance_counters(rows), "flagged", "complete")
+    return out.withColumn("window_start", stamp("window_start"))
 
+
+@check("t8_late_rows_backfill", ACCEPTED)
+def late_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """The stream's own sink stores what it got; back-fills of everything, run twice, add what is missing."""
     path = scratch_path(spark, "backfill")
-    first = disturbed(spark, sf).where(~F.col("event_id").startswith("again"))
-    late = F.pmod(F.xxhash64("event_id"), F.lit(10)) == 0
-    S.backfill(first.where(~late), DETECTORS, test_key(spark), path)
-    S.backfill(disturbed(spark, sf), DETECTORS, test_key(spark), path)
-    return read_curated(spark, path).groupBy("pillar").agg(
-        F.count("*").alias("n"), F.countDistinct("insert_id").alias("ids")
-    )
+    first = disturbed(prepare(spark), sf).where(~F.col("event_id").startswith("again"))
+    files = _files(spark, first.where(F.pmod(F.xxhash64("event_id"), F.lit(10)) != 0), "early-files", 2)
+    source = message_stream(spark, files, max_files=1, fmt="parquet")
+    S.stream_curate(source, DETECTORS, test_key(spark), path, scratch_path(spark, "backfill-state")).awaitTermination()
+    for _ in range(2):
+        S.backfill(disturbed(spark, sf), DETECTORS, test_key(spark), path)
+    return _by_pillar(read_curated(spark, path))
+
+
+@check(
+    "p13_accepted_and_rejected",
+    sql(
+        "SELECT 'accepted' AS state, count(*) AS n FROM accepted UNION ALL SELECT 'malformed', count(*) FROM msg WHERE broken AND NOT empty"
+        " UNION ALL SELECT 'missing or invalid latency_ms', count(*) FROM delivered WHERE junk",
+        upto="delivered",
+    ),
+)
+def accepted_and_rejected(spark: SparkSession, sf: str) -> DataFrame:
+    """Every delivery that isn't empty or a redelivery is stored or named with its reason."""
+    rows, bad = curate_and_reject(disturbed(prepare(spark), sf), DETECTORS, test_key(spark))
+    states = rows.select(F.lit("accepted").alias("state")).unionByName(bad.select(F.col("reason").alias("state")))
+    return states.groupBy("state").agg(F.count("*").alias("n"))

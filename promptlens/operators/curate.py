@@ -11,13 +11,13 @@ from promptlens.functions import detectors as D
 from promptlens.functions import metrics as M
 from promptlens.functions.hashing import ActorKey
 from promptlens.operators.deidentify import deidentify, finding_flags, pseudonymise
-from promptlens.operators.enrich import already_loaded
 from promptlens.operators.judge import rule_judge
 from promptlens.operators.normalize import flatten
 from promptlens.schema import CLUSTER_KEYS, NOT_NULL, curated_schema
-from promptlens.sources.logs import decode_messages
+from promptlens.sources.logs import decode_messages, quarantine_malformed
 
 NUMBERS = ["latency_ms", "prompt_tokens", "response_tokens"]
+REQUIRED = ["insert_id", "event_timestamp", *NUMBERS]
 
 
 def masked_rows(entries: DataFrame, detectors: Sequence[D.Detector], key: ActorKey, style: str = "plain") -> DataFrame:
@@ -76,20 +76,20 @@ def add_metrics(df: DataFrame) -> DataFrame:
 
 
 def drop_identity(df: DataFrame) -> DataFrame:
-    """Exactly the 40 declared columns in order; anything else stays behind."""
-    return df.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in curated_schema()))
+    """Exactly the 40 declared columns in order, with their descriptions; anything else stays behind."""
+    return df.select(*(F.col(f.name).cast(f.dataType).alias(f.name, metadata=f.metadata) for f in curated_schema()))
 
 
 def curate_entries(entries: DataFrame, detectors: Sequence[D.Detector], key: ActorKey, judge: Callable[[DataFrame], DataFrame] = rule_judge, style: str = "plain", distinct: Callable[[DataFrame], DataFrame] | None = dedupe) -> DataFrame:
-    """parse -> mask -> deduplicate -> judge -> derive -> 40 columns.
+    """parse -> mask -> validate -> deduplicate -> judge -> derive -> 40 columns.
 
-    Duplicates go before the judge, so a redelivery is never judged twice.
+    Rows that cannot be stored go first, so a good redelivery of a bad first delivery counts;
+    :func:`rejects` names them. Duplicates go before the judge, so a redelivery is never judged twice.
     ``distinct=None`` leaves duplicates in (their removal is then up to the sink).
     """
-    rows = has_key(masked_rows(entries, detectors, key, style))
+    rows = masked_rows(entries, detectors, key, style).where(rejected(REQUIRED).isNull())
     if distinct is not None:
         rows = distinct(rows)
-    rows = rows.where(rejected(["anonymous_actor_hash", *NUMBERS]).isNull())
     return drop_identity(add_metrics(judge(rows)))
 
 
@@ -98,6 +98,22 @@ def curate(messages: DataFrame, detectors: Sequence[D.Detector], key: ActorKey,
     return curate_entries(decode_messages(messages), detectors, key, **options)
 
 
+def rejects(messages: DataFrame) -> DataFrame:
+    """Deliveries that :func:`curate` leaves out, but for empty ones and redeliveries: (event_id, insert_id, reason).
+
+    Messages that do not decode, and entries without a time or with numbers that are none. No text is kept.
+    """
+    entries, malformed = quarantine_malformed(messages)
+    flat = flatten(entries, ["event_id"])
+    bad = flat.select("event_id", "insert_id", rejected(["insert_id", "event_timestamp", *NUMBERS]).alias("reason")).where("reason is not null")
+    return malformed.select("event_id", F.lit(None).cast("string").alias("insert_id"), "reason").unionByName(bad)
+
+
+def curate_and_reject(messages: DataFrame, detectors: Sequence[D.Detector], key: ActorKey, **options) -> tuple[DataFrame, DataFrame]:
+    """Rows for the table, and the deliveries that have to be looked at: write both."""
+    return curate(messages, detectors, key, **options), rejects(messages)
+
+
 def cluster_for_write(df: DataFrame) -> DataFrame:
     """Lay rows out by date, and by the cluster keys within a file.
 
@@ -120,22 +136,6 @@ def read_curated(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def idempotent_append(df: DataFrame, path: str, distinct: bool = False) -> None:
-    """Append only rows whose ``insert_id`` is new, within the batch and in the table.
-
-    Can be repeated after a failure: rows that were committed are skipped.
-    ``distinct=True`` says that ids are unique within ``df`` already.
-    """
-    spark = df.sparkSession
-    rows = df
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    if target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target):
-        rows = already_loaded(rows, read_curated(spark, path))
-    rows = rows if distinct else dedupe(rows)
-    write_curated(rows.select(*curated_schema().names), path, "append")
-
-
 def export_jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 

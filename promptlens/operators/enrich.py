@@ -6,36 +6,41 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from promptlens import fixed_values as V
+from promptlens.functions.hashing import ActorKey, actor_hash, email_digest
 from promptlens.operators.normalize import IDENTITY
 
 
-def fits(df: DataFrame, max_rows: int) -> bool:
-    """Whether a frame has at most ``max_rows`` rows; reads no more than that."""
-    return df.limit(max_rows + 1).count() <= max_rows
+def enrich_agent(df: DataFrame, catalog: DataFrame, on: str = "agent_num") -> DataFrame:
+    """Agent number to id, pillar and path. Small catalogs are broadcast by their measured size."""
+    return df.join(catalog.withColumnRenamed("agent_num", on), on, "left")
 
 
-def enrich_agent(df: DataFrame, catalog: DataFrame, on: str = "agent_num") -> DataFrame:
-    """Agent number to id, pillar and path; the catalog is ten fixed rows."""
-    return df.join(F.broadcast(catalog.withColumnRenamed("agent_num", on)), on, "left")
+def unique_by(df: DataFrame, key: str) -> DataFrame:
+    """The rows, failing on a key that occurs twice: in a lookup it would multiply rows."""
+    columns = [c for c in df.columns if c != key]
+    one = df.groupBy(key).agg(F.count("*").alias("n"), *(F.min(c).alias(c) for c in columns))
+    twice = F.raise_error(F.concat(F.lit(f"{key} twice in the roster: "), F.coalesce(key, F.lit("null")))).cast("string")
+    return one.select(F.when(F.col("n") == 1, F.col(key)).otherwise(twice).alias(key), *columns)
 
 
-def enrich_employee(df: DataFrame, roster: DataFrame, max_broadcast: int = 500_000) -> DataFrame:
-    """Copy employee attributes onto rows by ``employee_id``.
+def enrich_employee(df: DataFrame, roster: DataFrame, key: ActorKey) -> DataFrame:
+    """Employee attributes by ``employee_id``, for rosters and tables of any size.
 
-    A roster of at most ``max_broadcast`` rows is broadcast, so the rows do
-    not move. A larger one needs a shuffle (adaptive execution splits an employee
-    with very many rows); raw text must then be masked first.
+    The join may move rows, so nothing raw takes part, whatever the size: ids on both sides, names and
+    emails of the roster become keyed digests first, and a frame with raw columns is refused (mask it
+    first). Gives ``employee_key``, ``anonymous_actor_hash``, ``department``, ``employee_role``, ``plant_location``, ``shift``.
     """
-    columns = roster.select(
-        "employee_id", "employee_name", "employee_email", "department",
-        F.col("role").alias("employee_role"), "plant_location", "shift",
-    )
-    if fits(roster, max_broadcast):
-        return df.join(F.broadcast(columns), "employee_id", "left")
     raw = [c for c in IDENTITY if c in df.columns]
     if raw:
-        raise ValueError(f"roster needs a shuffle join: de-identify {raw} first")
-    return df.join(columns, "employee_id", "left")
+        raise ValueError(f"de-identify {raw} first: a join moves rows between executors")
+    attributes = {"role": "employee_role", "department": "department", "plant_location": "plant_location", "shift": "shift"}
+    hidden = roster.select(
+        email_digest(F.col("employee_id"), key).alias("employee_key"), actor_hash(F.col("employee_email"), key).alias("anonymous_actor_hash"),
+        *(F.col(c).alias(name) for c, name in attributes.items()),
+    )
+    hidden = unique_by(hidden, "employee_key")
+    rows = df.withColumn("employee_key", email_digest(F.col("employee_id"), key)).drop("employee_id", *hidden.columns[1:])
+    return rows.join(hidden, "employee_key", "left")
 
 
 def pillar_of(kind: Column, department: Column, agent_pillar: Column) -> Column:
@@ -46,7 +51,7 @@ def pillar_of(kind: Column, department: Column, agent_pillar: Column) -> Column:
 def lookup_multiplier(df: DataFrame, table: DataFrame, level: str = "level") -> DataFrame:
     """Configurable multipliers (level, maturity_multiplier), a handful of rows;
     unknown levels get the default."""
-    joined = df.join(F.broadcast(table.withColumnRenamed("level", level)), level, "left")
+    joined = df.join(table.withColumnRenamed("level", level), level, "left")
     return joined.withColumn(
         "maturity_multiplier", F.coalesce("maturity_multiplier", F.lit(V.DEFAULT_MULTIPLIER))
     )
@@ -58,17 +63,9 @@ def orphan_agents(curated: DataFrame, catalog: DataFrame) -> DataFrame:
         F.count("*").alias("prompts")
     )
     known = catalog.select(F.col("id").alias("leaf_agent"))
-    return seen.join(F.broadcast(known), "leaf_agent", "left_anti")
-
+    return seen.join(known, "leaf_agent", "left_anti")
 
-def already_loaded(new: DataFrame, target: DataFrame, max_broadcast: int = 1_000_000) -> DataFrame:
-    """Rows whose id is not in the target yet; only the id column of the target is read.
 
-    For a batch of at most ``max_broadcast`` rows its ids are broadcast to the target,
-    which then is scanned but not shuffled; what comes back is no larger than the batch.
-    Larger batches are joined by a shuffle on the id.
-    """
-    ids, loaded = new.select("insert_id"), target.select("insert_id")
-    if fits(ids, max_broadcast):
-        loaded = F.broadcast(loaded.join(F.broadcast(ids.distinct()), "insert_id", "left_semi").distinct())
-    return new.join(loaded, "insert_id", "left_anti")
+def already_loaded(new: DataFrame, loaded: DataFrame) -> DataFrame:
+    """Rows whose id is not among the loaded ones, a table or the buckets of its ledger; only its id column is read."""
+    return new.join(loaded.select("insert_id"), "insert_id", "left_anti")

@@ -1,4 +1,8 @@
-"""Structured Streaming: continuous curation and governance counters."""
+"""Structured Streaming: continuous curation and governance counters.
+
+Nothing here drops a late row by default. A watermark bounds state at the price of late rows;
+it is set only where a caller passes ``delay``.
+"""
 
 from __future__ import annotations
 
@@ -10,68 +14,57 @@ from pyspark.sql.streaming import StreamingQuery
 
 from promptlens.functions import detectors as D
 from promptlens.functions.hashing import ActorKey
-from promptlens.operators.curate import curate, idempotent_append
-
-WATERMARK = "1 hour"
+from promptlens.operators.curate import curate, rejects
+from promptlens.operators.ledger import append_once
 
 
-def dedup_stream(rows: DataFrame, delay: str = WATERMARK) -> DataFrame:
-    """One row per ``insert_id`` while the watermark holds its state.
+def dedup_stream(rows: DataFrame, delay: str | None = None) -> DataFrame:
+    """One row per ``insert_id``.
 
-    Later redeliveries pass; appending through the target table catches them.
+    State holds every id (use the RocksDB state store); with ``delay`` only those of the watermark, and rows
+    behind it are lost. The table's ledger does the same without state: see :func:`stream_curate`.
     """
+    if delay is None:
+        return rows.dropDuplicates(["insert_id"])
     return rows.withWatermark("event_timestamp", delay).dropDuplicatesWithinWatermark(["insert_id"])
 
 
-def stream_curate(messages: DataFrame, detectors: Sequence[D.Detector], key: ActorKey, delay: str = WATERMARK, **options) -> DataFrame:
-    """The batch curation with state-bounded duplicate removal."""
-    return curate(messages, detectors, key, distinct=lambda df: dedup_stream(df, delay), **options)
+def stream_curate(
+    messages: DataFrame, detectors: Sequence[D.Detector], key: ActorKey, path: str, checkpoint: str, reject_path: str | None = None,
+    available_now: bool = True, interval: str = "1 minute", curate_batch: Callable[[DataFrame], DataFrame] | None = None,
+) -> StreamingQuery:
+    """The batch curation of each micro-batch, appended to the same table as batch loads and back-fills.
 
+    At-least-once batches become exactly-once rows by the ledger of ids, which keeps no state in the stream, so
+    a redelivery is caught however late it comes and a late row is never dropped. Rejects go to
+    ``reject_path``, a folder per batch that a repeated batch replaces. A failing sink fails the query;
+    it restarts from the checkpoint.
+    """
+    run = curate_batch or (lambda batch: curate(batch, detectors, key))
 
-def write_stream(curated: DataFrame, path: str, checkpoint: str, available_now: bool = True, interval: str = "1 minute") -> StreamingQuery:
-    """Exactly-once Parquet sink, partitioned by event date.
+    def append(batch: DataFrame, batch_id: int) -> None:
+        append_once(run(batch), path, distinct=True)
+        if reject_path:
+            rejects(batch).write.mode("overwrite").parquet(f"{reject_path}/batch={batch_id}")
 
-    A failing sink fails the query; it restarts from the checkpoint.
-    """
-    writer = (
-        curated.withColumn("event_date", F.to_date("event_timestamp"))
-        .writeStream.format("parquet")
-        .option("path", path)
-        .option("checkpointLocation", checkpoint)
-        .partitionBy("event_date")
-        .outputMode("append")
-    )
+    writer = messages.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=interval)
     return writer.start()
 
 
-def append_stream(messages: DataFrame, detectors: Sequence[D.Detector], key: ActorKey, path: str, checkpoint: str, curate_batch: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
-    """At-least-once micro-batches made idempotent by the ids already in the table.
+def backfill(messages: DataFrame, detectors: Sequence[D.Detector], key: ActorKey, path: str) -> int:
+    """Messages that the stream didn't get: the same transforms, table and ledger as a batch. Returns the rows added."""
+    return append_once(curate(messages, detectors, key), path, distinct=True)
 
-    Holds no state, so a redelivery is caught however late it comes.
-    """
-    run = curate_batch or (lambda batch: curate(batch, detectors, key))
 
-    def append(batch: DataFrame, batch_id: int) -> None:
-        # a micro-batch is bounded by the source's limit and is read several times
-        rows = run(batch).persist()
-        try:
-            idempotent_append(rows, path, distinct=True)
-        finally:
-            rows.unpersist()
-
-    return (
-        messages.writeStream.foreachBatch(append)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+def governance_counters(rows: DataFrame, window: str = "1 hour", delay: str | None = None) -> DataFrame:
+    """Exposure counters per tumbling window and pillar; a redelivered id counts once.
 
-
-def governance_counters(rows: DataFrame, window: str = "1 hour", delay: str = WATERMARK) -> DataFrame:
-    """Exposure counters per tumbling window and pillar; a window is emitted once closed."""
+    Windows stay open, so late rows still count: write it in output mode ``complete`` or ``update``. With ``delay`` a window
+    is emitted once, when the watermark has passed it, and later rows are lost.
+    """
     return (
-        rows.withWatermark("event_timestamp", delay)
+        dedup_stream(rows, delay)
         .groupBy(F.window("event_timestamp", window).alias("w"), "pillar")
         .agg(
             F.count("*").alias("total_prompts"),
@@ -86,16 +79,12 @@ def governance_counters(rows: DataFrame, window: str = "1 hour", delay: str = WA
     )
 
 
-def unique_actors_stream(rows: DataFrame, window: str = "1 day", delay: str = WATERMARK) -> DataFrame:
-    """Distinct actors per window; exact distinct counts are not available on streams."""
+def unique_actors_stream(rows: DataFrame, window: str = "1 day", delay: str | None = None) -> DataFrame:
+    """Distinct actors per window; exact distinct counts are not available on streams. ``delay`` as in
+    :func:`governance_counters`."""
+    rows = rows if delay is None else rows.withWatermark("event_timestamp", delay)
     return (
-        rows.withWatermark("event_timestamp", delay)
-        .groupBy(F.window("event_timestamp", window).alias("w"))
+        rows.groupBy(F.window("event_timestamp", window).alias("w"))
         .agg(F.approx_count_distinct("anonymous_actor_hash").alias("actors"))
         .select(F.col("w.start").alias("window_start"), "actors")
     )
-
-
-def backfill(messages: DataFrame, detectors: Sequence[D.Detector], key: ActorKey, path: str) -> None:
-    """Rows that came too late for the stream: the same transforms as a batch append."""
-    idempotent_append(curate(messages, detectors, key), path, distinct=True)

@@ -12,12 +12,16 @@ from promptlens.functions import detectors as D
 from promptlens.functions import hashing as H
 from promptlens.operators import audit as A
 from promptlens.operators import curate as C
+from promptlens.operators import deidentify as Deid
 from promptlens.operators import enrich as E
 from promptlens.operators import judge as J
+from promptlens.operators import ledger
+from promptlens.operators.ledger import append_once
 from promptlens.plans import reports as R
 from promptlens.session import scratch_path
 from promptlens.sources import dimensions as Dim
 from promptlens.sources import logs as L
+from tests.test_plans import nodes, output
 
 
 def envelope(event_id, entry):
@@ -89,8 +93,8 @@ def test_hot_id_and_hot_actor(spark):
 def test_append_is_idempotent_and_overwrite_replaces(spark, sf):
     path = scratch_path(spark, "t")
     rows = C.curate(base.messages(spark, sf), base.DETECTORS, base.test_key(spark))
-    C.idempotent_append(rows, path)
-    C.idempotent_append(rows.limit(10), path)
+    assert append_once(rows, path) == 1000
+    assert append_once(rows.limit(10), path) == 0
     assert C.read_curated(spark, path).count() == 1000
     C.write_curated(base.curated(spark, sf).where("event_date = '2024-01-03'").drop("event_date"), path)
     dates = [r.d for r in C.read_curated(spark, path).select(F.col("event_date").cast("string").alias("d")).distinct().collect()]
@@ -108,13 +112,81 @@ def test_judges_are_exchangeable(spark, sf):
     assert 0 < out.count() < 1000  # answers that are not valid are left out
 
 
-def test_large_roster_needs_masked_rows(spark):
+def test_an_append_that_broke_off_is_settled(spark, sf, monkeypatch):
+    """Before its rows arrived, or after: the next append of the same rows leaves each id once."""
+    key = base.test_key(spark)
+    rows = C.curate(base.messages(spark, sf), base.DETECTORS, key)
+    for arrived in (False, True):
+        path = scratch_path(spark, "t")
+        append_once(rows.limit(100), path)
+        with monkeypatch.context() as patch:
+            def fails(df, target, mode):
+                if arrived:
+                    C.write_curated(df, target, mode)
+                raise OSError("lost the connection")
+
+            patch.setattr(ledger, "write_curated", fails)
+            with pytest.raises(OSError):
+                append_once(rows, path)
+        assert len(ledger.open_appends(spark, path)) == 1
+        append_once(rows, path)
+        table = C.read_curated(spark, path)
+        assert table.count() == table.select("insert_id").distinct().count() == 1000
+        assert not ledger.open_appends(spark, path)
+
+
+def test_append_to_a_table_of_a_batch_load(spark, sf):
+    path = scratch_path(spark, "t")
+    C.write_curated(base.curated(spark, sf).drop("event_date"), path)
+    assert append_once(C.curate(base.messages(spark, sf), base.DETECTORS, base.test_key(spark)), path) == 0
+
+
+def test_an_append_reads_its_own_buckets_only(spark, sf):
+    path = scratch_path(spark, "t")
+    append_once(C.curate(base.messages(spark, sf), base.DETECTORS, base.test_key(spark)), path)
+    plan = ledger.ledger_of(spark, path, [3, 7])._jdf.queryExecution().toString()
+    filters = plan[plan.index("PartitionFilters"):].split("]")[0]
+    assert "bucket" in filters
+
+
+def test_the_stored_table_has_its_descriptions(spark, sf):
+    path = scratch_path(spark, "t")
+    C.write_curated(C.curate(base.messages(spark, sf), base.DETECTORS, base.test_key(spark)), path)
+    described = {f.name: f.metadata.get("comment") for f in C.read_curated(spark, path).schema}
+    assert sum(bool(x) for x in described.values()) == 40 and described["trace_id"] == "Trace id, last path segment only"
+
+
+def test_bad_then_good_delivery(spark):
+    junk = json.loads(json.dumps(ENTRY))
+    junk["jsonPayload"]["latency_ms"] = "soon"
+    loose = json.loads(json.dumps(ENTRY)) | {"insertId": "b", "resource": "global"}
+    loose["jsonPayload"] |= {"latency_ms": 12.7, "prompt_tokens": 1240.0, "response_tokens": "1.5"}
+    invalid = ("m4", base64.b64encode(b'{"insertId": "c\xff"}').decode())
+    later = ENTRY | {"timestamp": "2026-01-02T03:05:00.000Z"}
+    df = frame(spark, [envelope("m1", junk), envelope("m2", later), envelope("m3", loose), invalid])
+    rows, bad = C.curate_and_reject(df, base.DETECTORS, base.test_key(spark))
+    assert [(r.insert_id, r.latency_ms) for r in rows.collect()] == [("a", 5)]
+    assert {(r.event_id, r.reason) for r in bad.collect()} == {
+        ("m1", "missing or invalid latency_ms"), ("m3", "missing or invalid response_tokens"), ("m4", "malformed")
+    }
+    loose["jsonPayload"]["response_tokens"] = "2"
+    row = C.curate(frame(spark, [envelope("m3", loose)]), base.DETECTORS, base.test_key(spark)).first()
+    assert (row.latency_ms, row.prompt_tokens, row.response_tokens) == (12, 1240, 2)
+
+
+def test_roster_join_takes_masked_rows_and_unique_ids(spark):
+    key = base.test_key(spark)
     roster = spark.createDataFrame([(f"E{i}",) + ("x",) * 7 for i in range(5)], Dim.ROSTER)
     rows = spark.createDataFrame([("E1", "raw")], "employee_id string, prompt_text string")
     with pytest.raises(ValueError, match="de-identify"):
-        E.enrich_employee(rows, roster, max_broadcast=3)
-    joined = E.enrich_employee(rows.drop("prompt_text"), roster, max_broadcast=3)
-    assert joined.first().employee_role == "x"
+        E.enrich_employee(rows, roster, key)
+    joined = E.enrich_employee(rows.drop("prompt_text"), roster, key)
+    assert joined.first().employee_role == "x" and "employee_id" not in joined.columns
+    with pytest.raises(Exception, match="employee_key twice in the roster"):
+        E.enrich_employee(rows.drop("prompt_text"), roster.union(roster.limit(1)), key).collect()
+    for node in nodes(joined):
+        if "Exchange" in node.nodeName():
+            assert not output(node) & {"employee_id", "employee_email", "employee_name"}
 
 
 def test_roster_array_file(spark, tmp_path):
@@ -190,17 +262,44 @@ def test_custom_detector_and_likelihood(spark):
     assert text.select(D.mask_text(F.col("t"), [badge]).alias("m")).first().m == "see [BADGE]"
     with pytest.raises(ValueError):
         D.custom("X", "x", "SURE")
+    for unknown in ("mask", "mask_account", D.MASK_SSN):
+        with pytest.raises(ValueError):
+            D.custom("X", "x", transform=unknown)
+    card = D.custom("CARD", "[0-9]{4}(?:-[0-9]{4}){3}", transform=D.MaskCharacters(12, "#", "-"))
+    masked = text.select(D.mask_text(F.lit("a 1234-5678-9012-3456, b 1111-2222-3333-4444"), [card]).alias("m")).first().m
+    assert masked == "a ####-####-####-3456, b ####-####-####-4444"
+    whole = D.custom("BADGE", "BDG-[0-9]{4}", transform=D.MaskCharacters())
+    assert text.select(D.mask_text(F.col("t"), [whole]).alias("m")).first().m == "see ********"
+
+
+def test_dictionary_table_of_terms_of_any_length(spark):
+    terms = spark.createDataFrame(
+        [("Cher", V.PERSON), ("Ann Lee", V.PERSON), ("Bo van Dyk", V.PERSON), ("sprain", V.MEDICAL), ("rotator cuff tear", V.MEDICAL)], "term string, info_type string"
+    )
+    rows = spark.createDataFrame([(1, "Cher met Ann Lee's doctor: Rotator cuff tear, sprain."), (2, "Bo van Dyk"), (3, "Ann Leeds and Cheryl")], "id long, t string")
+    found = Deid.find_dictionary_terms(rows, "id", "t", terms)
+    assert {(r.id, r.term) for r in found.collect()} == {(1, "Cher"), (1, "Ann Lee"), (1, "rotator cuff tear"), (1, "sprain"), (2, "Bo van Dyk")}
+    detectors = D.dictionary_detectors(terms)
+    masked = [r.m for r in rows.orderBy("id").select(D.mask_text(F.col("t"), detectors).alias("m")).collect()]
+    assert masked == ["[PERSON_NAME] met [PERSON_NAME]'s doctor: Rotator cuff tear, sprain.", "[PERSON_NAME]", "Ann Leeds and Cheryl"]
+    exchanges = [x for x in found._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange" in x]
+    assert not any("SinglePartition" in x for x in exchanges)
+    assert Deid.find_dictionary_terms(rows, "id", "t", terms.limit(0)).count() == 0
 
 
 def test_key_from_a_restricted_path(spark):
     path = scratch_path(spark, "keys")
     H.key_table(spark, b"k1", "2025").union(H.key_table(spark, b"k2", "2026")).write.parquet(path)
     df = spark.createDataFrame([("a@b.example",)], "e string")
-    got = [
-        df.select(H.actor_hash(F.col("e"), H.ActorKey(spark.read.parquet(path), k)).alias("h")).first().h
-        for k in ("2025", "2026", "gone")
-    ]
-    assert got[0] != got[1] and got[2] is None
+    def of(table, k):
+        return df.select(H.actor_hash(F.col("e"), H.ActorKey(table, k), 16).alias("h")).first().h
+
+    keys = spark.read.parquet(path)
+    assert of(keys, "2025") != of(keys, "2026") and len(of(keys, "2025")) == 20
+    with pytest.raises(Exception, match="0 rows instead of one"):
+        of(keys, "gone")
+    with pytest.raises(Exception, match="2 rows instead of one"):
+        of(keys.union(keys), "2025")
 
 
 def test_a_hot_date_is_split_over_files(spark, sf):

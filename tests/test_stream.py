@@ -26,8 +26,7 @@ def test_stream_equals_batch_over_restarts(spark, sf):
     key = base.test_key(spark)
     for part in parts(spark, sf, 3):
         part.coalesce(1).write.mode("append").json(source)
-        stream = S.stream_curate(message_stream(spark, source, max_files=1), base.DETECTORS, key, delay="60 days")
-        S.write_stream(stream, path, state).awaitTermination()
+        S.stream_curate(message_stream(spark, source, max_files=1), base.DETECTORS, key, path, state).awaitTermination()
     batch = curate(base.messages(spark, sf), base.DETECTORS, key)
     got = spark.read.parquet(path).drop("event_date").select(*batch.columns)
     assert got.exceptAll(batch).count() == batch.exceptAll(got).count() == 0
@@ -38,18 +37,17 @@ def test_redelivered_files_add_no_rows(spark, sf):
     key = base.test_key(spark)
     for part in parts(spark, sf, 2, disturbed=True) * 2:
         part.coalesce(1).write.mode("append").json(source)
-        S.append_stream(message_stream(spark, source), base.DETECTORS, key, path, state).awaitTermination()
+        S.stream_curate(message_stream(spark, source), base.DETECTORS, key, path, state).awaitTermination()
     want = ids(curate(base.disturbed(spark, sf), base.DETECTORS, key))
     assert ids(read_curated(spark, path)) == want
 
 
-def test_state_drops_a_later_copy_with_another_time(spark, sf):
+def test_a_later_copy_with_another_time_is_dropped(spark, sf):
     source, path, state = (scratch_path(spark, n) for n in ("in", "out", "state"))
     key = base.test_key(spark)
     for prefix in ("msg", "again"):
         base.disturbed(spark, sf).where(F.col("event_id").startswith(prefix)).coalesce(1).write.mode("append").json(source)
-        stream = S.stream_curate(message_stream(spark, source), base.DETECTORS, key, delay="60 days")
-        S.write_stream(stream, path, state).awaitTermination()
+        S.stream_curate(message_stream(spark, source), base.DETECTORS, key, path, state).awaitTermination()
     got = ids(read_curated(spark, path))
     assert len(got) == len(set(got))
 
@@ -63,10 +61,10 @@ def test_failing_sink_fails_the_query_and_a_restart_repeats_the_batch(spark, sf)
         raise RuntimeError("sink is down")
 
     with pytest.raises(StreamingQueryException):
-        S.append_stream(
+        S.stream_curate(
             message_stream(spark, source), base.DETECTORS, key, path, state, curate_batch=broken
         ).awaitTermination()
-    S.append_stream(message_stream(spark, source), base.DETECTORS, key, path, state).awaitTermination()
+    S.stream_curate(message_stream(spark, source), base.DETECTORS, key, path, state).awaitTermination()
     assert read_curated(spark, path).count() == 1000
 
 
@@ -75,7 +73,7 @@ def test_distinct_actors_on_a_stream(spark, sf):
     base.curated(spark, sf).select("event_timestamp", "anonymous_actor_hash").write.parquet(source)
     rows = spark.readStream.schema("event_timestamp timestamp, anonymous_actor_hash string").parquet(source)
     path, state = scratch_path(spark, "out"), scratch_path(spark, "state")
-    S.unique_actors_stream(rows).writeStream.format("parquet").option("path", path).option(
+    S.unique_actors_stream(rows, delay="1 hour").writeStream.format("parquet").option("path", path).option(
         "checkpointLocation", state
     ).trigger(availableNow=True).start().awaitTermination()
     days = spark.read.parquet(path)

@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -41,15 +42,19 @@ def permuted(index: np.ndarray, n: int, key: int, inverse: bool = False) -> np.n
     return out.astype(np.int64)
 
 
-def _encode(path: str, ranks, end: int | None, kind: str):
+def _encode(path: str, ranks, end: int | None, kind: str, length: int):
     def encode(batches):
+        part, before = TaskContext.get().partitionId(), 0
         for batch in batches:
             for first, rows in encode_batch(X.column(batch, "text"), path, ranks):
                 bodies = [(np.append(ids, np.uint32(end)) if end is not None else ids).astype(kind).tobytes() for ids in rows]
-                part = batch.slice(first, len(rows))
+                n = np.array([max(1, -(-len(b) // (length * np.dtype(kind).itemsize))) for b in bodies], dtype=np.int64)
+                own = batch.slice(first, len(rows))
                 yield pa.RecordBatch.from_arrays(
-                    [X.column(part, "id"), pa.array([zlib.crc32(b) for b in bodies], pa.int64()), pa.array(bodies, pa.binary())], ["id", "crc", "data"]
+                    [X.column(own, "id"), pa.array([zlib.crc32(b) for b in bodies], pa.int64()), pa.array(bodies, pa.binary()), pa.array(n),
+                     pa.array(np.full(len(n), part, np.int64)), pa.array(before + np.cumsum(n) - n)], ["id", "crc", "data", "n", "part", "first"]
                 )
+                before += int(n.sum())
 
     return encode
 
@@ -103,13 +108,14 @@ def _blocks(batches):
 
 def materialise(
     docs: DataFrame, path: str, target: str, key: int, ranks: tuple | None = None, length: int = 1024, end: int | None = None, pad: int = 0, wide: bool = False,
-    id: str = "doc_id", text: str = "text", shard_rows: int = SHARD_ROWS,
+    id: str = "doc_id", text: str = "text", shard_rows: int = SHARD_ROWS, by_id: bool = False,
 ) -> int:
     """Write all texts' token sequences to ``target`` in training order; returns how many there are.
 
     A document's ids (and ``end``, if given) are cut into sequences of ``length``, the first shorter if need be and
-    padded. Sequences are numbered by document (hash bucket, then id), and the keyed permutation gives each
-    number its slot; neither depends on how the input is laid out. Shard s holds the slots from s * ``shard_rows``
+    padded. The ids are stored first, and sequences are numbered as they lie there; with ``by_id`` by document
+    (hash bucket, then id), which moves the ids once more but doesn't depend on how the input is laid out. The keyed permutation gives each
+    number its slot. Shard s holds the slots from s * ``shard_rows``
     on, each record as ``length`` little-endian 16-bit numbers (32-bit if ``wide``), so a record's
     place follows from its slot alone. Stored as Parquet rows of up to ``BLOCK_ROWS`` records: ``shard``, ``first_slot``,
     ``ids``, ``pieces``, ``n_tokens``, ``crc32`` (an array element for each record) and ``records``.
@@ -123,25 +129,26 @@ def materialise(
     base = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
     of_id = dict(base.dtypes)["id"]
     store = scratch_path(spark, "token-ids")
-    rows = base.mapInArrow(_encode(path, ranks, end, kind), f"id {of_id}, crc long, data binary")
-    n = F.greatest(F.lit(1), F.ceil(F.octet_length("data") / (width * length))).cast("long").alias("n")
-    bucket = F.pmod(F.xxhash64("id", "crc"), F.lit(BUCKETS)).cast("int").alias("bucket")
-    rows.select("*", n, bucket).write.option("compression", "zstd").parquet(store)
-    rows = spark.read.schema(f"id {of_id}, crc long, data binary, n long, bucket int").parquet(store)
-    sizes = {r["bucket"]: r["n"] for r in rows.groupBy("bucket").agg(F.sum("n").alias("n")).collect()}
+    schema = f"id {of_id}, crc long, data binary, n long, part long, first long"
+    base.mapInArrow(_encode(path, ranks, end, kind, length), schema).write.option("compression", "zstd").parquet(store)
+    rows = spark.read.schema(schema).parquet(store)
+    if by_id:
+        rows = rows.withColumn("part", F.pmod(F.xxhash64("id", "crc"), F.lit(BUCKETS)))
+        order = W.partitionBy("part").orderBy("id", "crc").rowsBetween(W.unboundedPreceding, -1)
+        rows = rows.withColumn("first", F.coalesce(F.sum("n").over(order), F.lit(0)))
     total, starts = 0, []
-    for b in range(BUCKETS):
-        starts.append(total)
-        total += sizes.get(b, 0)
-    order = W.partitionBy("bucket").orderBy("id", "crc").rowsBetween(W.unboundedPreceding, -1)
-    start = F.element_at(F.array(*[F.lit(x).cast("long") for x in starts]), F.col("bucket") + 1)
-    numbered = rows.withColumn("base", start + F.coalesce(F.sum("n").over(order), F.lit(0)))
+    sizes = rows.groupBy("part").agg(F.sum("n").alias("n")).collect()  # a number for each bucket, or for each task that wrote
+    for r in sorted(sizes, key=lambda r: r["part"]):
+        starts.append((r["part"], total))
+        total += r["n"]
+    starts = F.broadcast(spark.createDataFrame(starts, "part long, start long"))
+    numbered = rows.join(starts, "part").withColumn("base", F.col("start") + F.col("first"))
     placed = numbered.select("id", "data", "base").mapInArrow(
         _place(total, key, length, pad, kind, shard_rows), f"id {of_id}, piece int, n_tokens int, shard long, slot long, record binary"
     )
     sorted_rows = placed.repartition("shard").sortWithinPartitions("shard", "slot")
-    schema = f"shard long, first_slot long, ids array<{of_id}>, pieces array<int>, n_tokens array<int>, crc32 array<long>, records binary"
-    sorted_rows.mapInArrow(_blocks, schema).write.mode("overwrite").option("compression", "zstd").parquet(target)
+    blocks = f"shard long, first_slot long, ids array<{of_id}>, pieces array<int>, n_tokens array<int>, crc32 array<long>, records binary"
+    sorted_rows.mapInArrow(_blocks, blocks).write.mode("overwrite").option("compression", "zstd").parquet(target)
     return total
 
 

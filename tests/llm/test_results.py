@@ -251,9 +251,13 @@ def test_op7_round_trip(spark, sf, texts):
     byte_level = queries.byte_level()
     target = scratch_path(spark, "order")
     docs = queries.table(spark, sf, "documents")
-    total = order.materialise(docs.repartition(5), **byte_level, target=target, key=20_261, end=50_256, pad=50_256, shard_rows=100)
-    again = order.manifest(spark, target, 2048, shard_rows=100).collect()
-    assert total == len(rows) and {(r.doc_id, r.piece, r.slot) for r in rows} == {(r.id, r.piece, r.slot) for r in again}
+    places = []
+    for layout in (docs, docs.repartition(5)):
+        total = order.materialise(layout, **byte_level, target=target, key=20_261, end=50_256, pad=50_256, shard_rows=100, by_id=True)
+        again = order.manifest(spark, target, 2048, shard_rows=100).collect()
+        places.append({(r.id, r.piece, r.slot) for r in again})
+    assert total == len(rows) and places[0] == places[1] and {p[:2] for p in places[0]} == {(r.doc_id, r.piece) for r in rows}
+    assert rows == Q["op7_training_order"](spark, sf).collect()
     ids = dict(zip(texts, tokens.encode([t or "" for t in texts.values()], **byte_level)))
     where = {r.slot: r for r in again}
     seen = 0

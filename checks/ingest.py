@@ -153,7 +153,7 @@ def trace(spark: SparkSession, sf: str) -> DataFrame:
 
 @check(
     "s12_micro_batch",
-    sql("SELECT interaction_type, count(*) AS n, 0 AS oversized FROM masked GROUP BY 1", upto="masked"),
+    "SELECT 'all rows' AS what, count(*) AS n FROM events UNION ALL SELECT 'largest call', least(250, count(*)) FROM events",
 )
 def micro_batch(spark: SparkSession, sf: str) -> DataFrame:
     """External calls get at most 250 records each."""
@@ -161,11 +161,10 @@ def micro_batch(spark: SparkSession, sf: str) -> DataFrame:
     def client_factory():
         return lambda batch: [json.dumps({"calls": len(batch)})] * len(batch)
 
-    judged = judge_with(masked(spark, sf), client_factory, batch_rows=V.CHUNK_ROWS)
-    size = F.get_json_object("judge_json", "$.calls").cast("int")
-    return judged.groupBy("interaction_type").agg(
-        F.count("*").alias("n"), F.count_if(size > V.CHUNK_ROWS).cast("int").alias("oversized")
-    )
+    judged = judge_with(masked(spark, sf), client_factory)
+    size = F.get_json_object("judge_json", "$.calls").cast("bigint")
+    counts = judged.agg(F.count("*").alias("rows"), F.max(size).alias("largest"))
+    return counts.select(F.inline(F.array(F.struct(F.lit("all rows").alias("what"), F.col("rows").alias("n")), F.struct(F.lit("largest call").alias("what"), F.col("largest").alias("n")))))
 
 
 @check(
@@ -223,29 +222,77 @@ _SQL_COLUMNS = [
 ]
 
 
+# --- fixed values: the stored table, written out (position, name, description) ---
+STORED = [
+    (1, "insert_id", "Unique id of the log entry; key for duplicate removal"),
+    (2, "event_timestamp", "When the prompt was submitted (UTC)"),
+    (3, "interaction_type", "Chat with connector search, or agent tree execution"),
+    (4, "trace_id", "Trace id, last path segment only"),
+    (5, "span_id", "Span id"),
+    (6, "anonymous_actor_hash", "Keyed one-way hash of the sender's email"),
+    (7, "department", "Business unit of the sender"),
+    (8, "employee_role", "Job title of the sender"),
+    (9, "plant_location", "Site of the sender"),
+    (10, "shift", "Working shift of the sender"),
+    (11, "pillar", "Business pillar the prompt was handled by"),
+    (12, "root_agent", "Lead agent of the pillar, or the native-chat marker"),
+    (13, "leaf_agent", "Agent that did the work, or the native-chat marker"),
+    (14, "agent_tree_path", "Hops through the agent tree, or the chat window with its connectors"),
+    (15, "connectors_queried", "Data connectors searched by the chat"),
+    (16, "prompt_text_masked", "Prompt after de-identification"),
+    (17, "dlp_detected", "At least one sensitive information type was found"),
+    (18, "dlp_risk_level", "NONE, LOW, MEDIUM, HIGH or CRITICAL"),
+    (19, "dlp_finding_count", "Number of distinct information types found"),
+    (20, "dlp_info_types", "Sorted distinct information types found"),
+    (21, "contains_ssn", "A social security number was found and masked"),
+    (22, "contains_medical_phi", "A medical term was found"),
+    (23, "contains_financial_acct", "A bank account number was found and masked"),
+    (24, "is_toxic_combination", "Social security number together with medical or bank data"),
+    (25, "is_shadow_prompt", "A social security number pasted by Operations staff"),
+    (26, "operational_entity", "Line, fault code or lot the prompt is about"),
+    (27, "topic_cluster", "Topic of the prompt"),
+    (28, "functional_intent", "One of six intents"),
+    (29, "task_complexity", "low, medium or high"),
+    (30, "specification_maturity", "How well the prompt is specified"),
+    (31, "grounding_analysis", "What the answer is grounded on"),
+    (32, "is_retrieval_gap", "Internal knowledge was needed but nothing was retrieved"),
+    (33, "estimated_manual_minutes", "Manual effort: 5, 15 or 45 minutes by complexity"),
+    (34, "maturity_multiplier", "0.5, 0.75 or 1.0 by maturity level"),
+    (35, "adjusted_minutes_saved", "Manual minutes times multiplier"),
+    (36, "potential_extra_minutes_unlocked", "Minutes gained by a level 3 rewrite"),
+    (37, "prompt_coaching", "Advice, missing elements and rewrite"),
+    (38, "latency_ms", "End-to-end latency in milliseconds"),
+    (39, "prompt_tokens", "Input tokens"),
+    (40, "response_tokens", "Output tokens"),
+]
+
+
 @check(
     "s16_curated_schema",
     sql(
         " UNION ALL ".join(
-            f"SELECT {i} AS position, '{f.name}' AS name, count({c}) AS filled FROM curated"
-            for i, (f, c) in enumerate(zip(curated_schema().fields, _SQL_COLUMNS), 1)
+            f"SELECT {i} AS position, '{name}' AS name, count({c}) AS filled FROM curated" for (i, name, _), c in zip(STORED, _SQL_COLUMNS)
         )
     ),
 )
 def schema(spark: SparkSession, sf: str) -> DataFrame:
-    """Every declared column with its position and number of filled rows."""
-    fields = curated_schema().fields
-    counts = curated(spark, sf).agg(*(F.count(f.name).alias(f.name) for f in fields))
-    return counts.select(
-        F.inline(
-            F.array(
-                *(
-                    F.struct(F.lit(i).alias("position"), F.lit(f.name).alias("name"), F.col(f.name).alias("filled"))
-                    for i, f in enumerate(fields, 1)
-                )
-            )
-        )
-    )
+    """Every stored column with its position and number of filled rows."""
+    table = curated(spark, sf).drop("event_date")
+    counts = table.agg(*(F.count(c).alias(c) for c in table.columns))
+    columns = [F.struct(F.lit(i).alias("position"), F.lit(c).alias("name"), F.col(c).alias("filled")) for i, c in enumerate(table.columns, 1)]
+    return counts.select(F.inline(F.array(*columns)))
+
+
+@check(
+    "uf4_column_descriptions",
+    "SELECT * FROM (VALUES " + ", ".join("({}, '{}', '{}')".format(i, name, text.replace("'", "''")) for i, name, text in STORED) + ") t(position, name, description), (SELECT count(*) AS messages FROM events)",
+)
+def descriptions(spark: SparkSession, sf: str) -> DataFrame:
+    """Names and descriptions as the written table has them, and its number of rows."""
+    table = curated(spark, sf).drop("event_date")
+    fields = [(i, f.name, f.metadata.get("comment")) for i, f in enumerate(table.schema, 1)]
+    rows = spark.createDataFrame(fields, "position int, name string, description string")
+    return rows.withColumn("messages", table.agg(F.count("*").alias("messages")).select("messages").scalar())
 
 
 @check(

@@ -105,6 +105,33 @@ def custom_detector(spark: SparkSession, sf: str) -> DataFrame:
     return _documents(spark, sf).select("doc_id", D.contains_type(found, "NETWORK_ADDRESS").alias("found"))
 
 
+@check("d9_mask_characters", sql("SELECT insert_id, regexp_replace(prompt_text, 'Lot #[0-9]{2}([0-9])\\b', '*** #**\\1', 'g') AS text FROM flat", upto="flat"))
+def mask_characters(spark: SparkSession, sf: str) -> DataFrame:
+    """A custom detector whose first five characters are masked, marks not counted."""
+    lot = D.custom("LOT", "Lot #[0-9]{3}" + D.END, transform=D.MaskCharacters(5, "*", " #"))
+    return _prompts(spark, sf).select("insert_id", D.mask_text(F.col("prompt_text"), [lot]).alias("text"))
+
+
+# --- fixed values: a dictionary of terms of one to three words ---
+TERMS = [("filler", "MACHINE"), ("label scanner script", "SOFTWARE"), ("syrup yield", "FIGURE"), ("crush injury", "MEDICAL_TERM")]
+
+
+@check(
+    "d8_dictionary_masks",
+    sql(
+        "SELECT insert_id, regexp_replace(regexp_replace(regexp_replace(prompt_text, '\\bfiller\\b', '[MACHINE]', 'g'), '\\blabel scanner script\\b', '[SOFTWARE]', 'g'),"
+        " '\\bsyrup yield\\b', '[FIGURE]', 'g') AS text, regexp_matches(prompt_text, '\\bcrush injury\\b') AS medical FROM flat",
+        upto="flat",
+    ),
+)
+def dictionary_masks(spark: SparkSession, sf: str) -> DataFrame:
+    """A dictionary kept as a table, masked in the text; medical terms are reported and kept."""
+    detectors = D.dictionary_detectors(spark.createDataFrame(TERMS, "term string, info_type string"))
+    text = F.col("prompt_text")
+    found = D.info_types(text, detectors)
+    return _prompts(spark, sf).select("insert_id", D.mask_text(text, detectors).alias("text"), D.contains_type(found, V.MEDICAL).alias("medical"))
+
+
 @check(
     "d10_min_likelihood",
     sql(
@@ -177,9 +204,11 @@ def shadow(spark: SparkSession, sf: str) -> DataFrame:
 # ---- hashing and masking -------------------------------------------------------
 
 
-@check("d18_redact_field", sql("SELECT insert_id, '' AS employee_name FROM flat", upto="flat"))
+@check("d18_redact_field", sql("SELECT insert_id, 'User ' || user_id AS before, '' AS employee_name, hmac_hex AS employee_email FROM masked", upto="masked"))
 def redact(spark: SparkSession, sf: str) -> DataFrame:
-    return Deid.deidentify(flat(spark, sf), DETECTORS, test_key(spark)).select("insert_id", "employee_name")
+    rows = flat(spark, sf).withColumn("before", F.col("employee_name"))
+    out = Deid.deidentify(rows, DETECTORS, test_key(spark))
+    return out.select("insert_id", "before", "employee_name", F.lower(F.hex(F.unbase64("employee_email"))).alias("employee_email"))
 
 
 @check("d19_hmac_sha256", sql("SELECT insert_id, hmac_hex FROM masked", upto="masked"))
@@ -319,10 +348,17 @@ def deidentify(spark: SparkSession, sf: str) -> DataFrame:
 
 @check(
     "d30_residual_pii_audit",
-    "SELECT 'EMAIL_ADDRESS' AS info_type, count(*) AS remaining FROM events WHERE FALSE GROUP BY 1",
+    sql(
+        "SELECT info_type, count(*) AS remaining FROM (SELECT unnest(list_filter(info_types, lambda x: x NOT IN ('MEDICAL_TERM', 'PERSON_NAME'))) AS info_type"
+        " FROM masked WHERE shift = 'Shift 2') GROUP BY 1",
+        upto="masked",
+    ),
 )
 def residual(spark: SparkSession, sf: str) -> DataFrame:
-    return A.residual_pii_audit(curated(spark, sf))
+    """The masked table with the texts of one shift left unmasked: the audit names just those."""
+    leaky = curated(spark, sf).alias("c").join(_prompts(spark, sf).select("insert_id", "prompt_text"), "insert_id")
+    leaky = leaky.withColumn("prompt_text_masked", F.when(F.col("shift") == "Shift 2", F.col("prompt_text")).otherwise(F.col("prompt_text_masked")))
+    return A.residual_pii_audit(leaky)
 
 
 @check(

@@ -33,7 +33,7 @@ LEVEL_NO = "CASE level WHEN 'level_1_underspecified' THEN 1 WHEN 'level_2_basic_
 MATURITY = (
     "SELECT department AS business_unit, count(*) AS total_prompts, count(DISTINCT anonymous_actor_hash) AS unique_employees, "
     f"{mean2(f'sum({LEVEL_NO})', 'count(*)', 1)} AS workforce_maturity_index_1_to_3, "
-    + ", ".join(f"{pct(f'level = {chr(39)}{name}{chr(39)}')} AS {name}_pct" for name in V.LEVELS)
+    + ", ".join(f"{pct(f'level = {chr(39)}{name}{chr(39)}')} AS {name}_pct" for name in ("level_1_underspecified", "level_2_basic_directive", "level_3_well_engineered"))
     + f", {pct('is_search_query_style')} AS search_query_habit_pct FROM curated GROUP BY 1"
 )
 EXPOSURE = (
@@ -168,7 +168,7 @@ _report(
         " UNION ALL ".join(
             f"SELECT interaction_type, leaf_agent, '{m}' AS metric, count(*) AS prompts, {mean2(f'sum({m})', 'count(*)', 1)} AS mean,"
             f" round(quantile_cont({m}, 0.5), 2)::DOUBLE AS p50, round(quantile_cont({m}, 0.95), 2)::DOUBLE AS p95, max({m})::BIGINT AS max FROM curated GROUP BY 1, 2"
-            for m in R.PERFORMANCE
+            for m in ("latency_ms", "prompt_tokens", "response_tokens")
         )
     ),
 )
@@ -211,8 +211,8 @@ _report(
         *(F.count_if(F.col("grounding_analysis.grounding_type") == v).alias(f"g{i}") for i, v in enumerate(V.GROUNDINGS, 1)),
     ),
     sql(
-        "SELECT department, " + ", ".join(f"count(*) FILTER (level = '{v}') AS n{i}" for i, v in enumerate(V.LEVELS, 1)) + ", "
-        + ", ".join(f"count(*) FILTER (grounding_type = '{v}') AS g{i}" for i, v in enumerate(V.GROUNDINGS, 1)) + " FROM curated GROUP BY 1"
+        "SELECT department, " + ", ".join(f"count(*) FILTER (level = '{v}') AS n{i}" for i, v in enumerate(("level_1_underspecified", "level_2_basic_directive", "level_3_well_engineered"), 1)) + ", "
+        + ", ".join(f"count(*) FILTER (grounding_type = '{v}') AS g{i}" for i, v in enumerate(("enterprise_rag", "in_context_attachment", "parametric_general"), 1)) + " FROM curated GROUP BY 1"
     ),
 )
 _report(

@@ -11,7 +11,7 @@ from promptlens.functions import detectors as D
 from promptlens.functions import metrics as M
 from promptlens.functions.hashing import ActorKey
 from promptlens.operators.deidentify import deidentify, finding_flags, pseudonymise
-from promptlens.operators.judge import rule_judge
+from promptlens.operators.judge import judge_with, rule_judge, store_judgements, validate_judge
 from promptlens.operators.normalize import flatten
 from promptlens.schema import CLUSTER_KEYS, NOT_NULL, curated_schema
 from promptlens.sources.logs import decode_messages, quarantine_malformed
@@ -114,6 +114,19 @@ def curate_and_reject(messages: DataFrame, detectors: Sequence[D.Detector], key:
     return curate(messages, detectors, key, **options), rejects(messages)
 
 
+def curate_judged(
+    messages: DataFrame, detectors: Sequence[D.Detector], key: ActorKey, client_factory: Callable, stored: str, style: str = "plain", **options
+) -> tuple[DataFrame, DataFrame]:
+    """Curation with an external judge: (rows, rejects), the latter with every answer that isn't valid.
+
+    Answers are written to ``stored`` first, so each row is judged once however often rows and rejects are read.
+    """
+    rows = dedupe(masked_rows(decode_messages(messages), detectors, key, style).where(rejected(REQUIRED).isNull()))
+    good, bad = validate_judge(store_judgements(judge_with(rows, client_factory, **options), stored))
+    lost = bad.select(F.lit(None).cast("string").alias("event_id"), "insert_id", "reason")
+    return drop_identity(add_metrics(good)), rejects(messages).unionByName(lost)
+
+
 def cluster_for_write(df: DataFrame) -> DataFrame:
     """Lay rows out by date, and by the cluster keys within a file.
 

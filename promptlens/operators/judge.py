@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from promptlens import fixed_values as V
 from promptlens.functions import metrics as M
@@ -153,6 +154,7 @@ def is_valid_judgement(j: Column) -> Column:
         grounding["grounding_type"].isin(*V.GROUNDINGS),
         grounding["target_corpus"].isin(*V.CORPORA),
         F.forall(coaching["missing_elements"], lambda e: e.isin(*V.MISSING_ELEMENTS)),
+        j["estimated_manual_minutes"] == F.floor(j["estimated_manual_minutes"]),
     ] + [r.isNotNull() for r in required]
     valid = j.isNotNull()
     for test in tests:
@@ -160,17 +162,21 @@ def is_valid_judgement(j: Column) -> Column:
     return valid
 
 
+# minutes may come as 5.0: whole numbers are told by their value
+_ANSWER = T.StructType([T.StructField(f.name, T.DoubleType() if f.name == "estimated_manual_minutes" else f.dataType) for f in JUDGE.fields])
+
+
 def parse_judgement(df: DataFrame, column: str = "judge_json") -> DataFrame:
     """Judge JSON to the judge columns plus ``judge_valid``; the JSON is dropped.
 
     The answer passes through a generator: later filters then use the parsed value
     instead of parsing once per test.
     """
-    answer = F.from_json(column, JUDGE).alias("_j")
+    answer = F.from_json(column, _ANSWER).alias("_j")
     parsed = df.select("*", F.inline(F.array(F.struct(answer)))).withColumn(
         "judge_valid", is_valid_judgement(F.col("_j"))
     )
-    columns = {f.name: F.col("_j")[f.name] for f in JUDGE.fields}
+    columns = {f.name: F.col("_j")[f.name].cast(f.dataType) for f in JUDGE.fields}
     return parsed.withColumns(columns).drop("_j", column)
 
 

@@ -104,12 +104,22 @@ def test_append_is_idempotent_and_overwrite_replaces(spark, sf):
 def test_judges_are_exchangeable(spark, sf):
     from checks.judging import stub_factory
 
-    def external(df):
-        return J.validate_judge(J.judge_with(df, stub_factory()))[0]
-
-    out = C.curate(base.messages(spark, sf), base.DETECTORS, base.test_key(spark), judge=external)
+    out, bad = C.curate_judged(base.messages(spark, sf), base.DETECTORS, base.test_key(spark), stub_factory(), scratch_path(spark, "judged"))
     assert out.columns == base.curated(spark, sf).drop("event_date").columns
-    assert 0 < out.count() < 1000  # answers that are not valid are left out
+    refused = {r.insert_id for r in bad.collect()}
+    accepted = {r.insert_id for r in out.collect()}
+    assert refused and accepted and not refused & accepted and len(refused | accepted) == 1000
+
+
+def test_whole_minutes_may_have_a_point(spark, sf):
+    from checks.judging import stub_factory
+
+    rows = J.judge_with(base.masked(spark, sf).limit(20), stub_factory())
+    pointed = rows.withColumn("judge_json", F.regexp_replace("judge_json", r'("estimated_manual_minutes": ?[0-9]+)', "$1.0"))
+    halves = rows.withColumn("judge_json", F.regexp_replace("judge_json", r'("estimated_manual_minutes": ?[0-9]+)', "$1.5"))
+    want = sorted(r.insert_id for r in J.validate_judge(rows)[0].collect())
+    assert sorted(r.insert_id for r in J.validate_judge(pointed)[0].collect()) == want
+    assert J.validate_judge(halves)[0].count() == 0
 
 
 def test_an_append_that_broke_off_is_settled(spark, sf, monkeypatch):

@@ -18,7 +18,7 @@ from promptlens.operators.curate import dedupe, read_curated, write_curated
 from promptlens.schema import curated_schema
 from promptlens.session import scratch_path
 
-BUCKETS = 256
+BUCKETS = 64
 LEDGER = "insert_id string, event_date date, append string, bucket int"
 APPENDS = "append string, state string"
 
@@ -40,29 +40,35 @@ def _mark(spark: SparkSession, path: str, append: str, state: str) -> None:
     spark.createDataFrame([(append, state)], APPENDS).coalesce(1).write.mode("append").parquet(f"{path}/_appends")
 
 
-def open_appends(spark: SparkSession, path: str) -> list[str]:
-    """Appends that began and neither ended nor were given up: none, or the one that broke off."""
+def unfinished(spark: SparkSession, path: str) -> dict[str, bool]:
+    """Appends that never ended: whether each was given up since. Failures, so few."""
     states = _read(spark, f"{path}/_appends", APPENDS)
     if states is None:
-        return []
-    ended = states.where("state != 'begun'").select("append")
-    return [r["append"] for r in states.where("state = 'begun'").join(ended, "append", "left_anti").collect()]
+        return {}
+    each = states.groupBy("append").agg(F.max(F.col("state") == "done").alias("done"), F.max(F.col("state") == "given up").alias("given_up"))
+    return {r["append"]: r["given_up"] for r in each.where("not done").collect()}
 
 
-def ledger_of(spark: SparkSession, path: str, buckets: list[int] | None = None) -> DataFrame | None:
+def open_appends(spark: SparkSession, path: str) -> list[str]:
+    """Appends that began and neither ended nor were given up: none, or the one that broke off."""
+    return [append for append, given_up in unfinished(spark, path).items() if not given_up]
+
+
+def ledger_of(spark: SparkSession, path: str, buckets: list[int] | None = None, broken: list[str] | None = None) -> DataFrame | None:
     """Ids of finished appends, of the given buckets only."""
     rows = _read(spark, f"{path}/_ledger", LEDGER)
     if rows is None:
         return None
-    states = _read(spark, f"{path}/_appends", APPENDS)
-    broken = states.groupBy("append").agg(F.max(F.col("state") == "done").alias("done")).where("not done")
     rows = rows if buckets is None else rows.where(F.col("bucket").isin(buckets))
-    return rows.where(~F.col("append").isin([r["append"] for r in broken.collect()]))  # failures, so few
+    broken = list(unfinished(spark, path)) if broken is None else broken
+    return rows.where(~F.col("append").isin(broken)) if broken else rows
 
 
-def recover(spark: SparkSession, path: str) -> None:
-    """Settle appends that broke off: ids whose rows did arrive are entered anew, the rest is free again."""
-    for append in open_appends(spark, path):
+def recover(spark: SparkSession, path: str) -> list[str]:
+    """Settle appends that broke off: ids whose rows did arrive are entered anew, the rest is free again.
+    Returns the appends whose ledger rows don't count."""
+    before = unfinished(spark, path)
+    for append in (a for a, given_up in before.items() if not given_up):
         ledger = _read(spark, f"{path}/_ledger", LEDGER)
         if ledger is not None:
             doubtful = ledger.where(F.col("append") == append).select("insert_id", "event_date", "bucket")
@@ -76,6 +82,7 @@ def recover(spark: SparkSession, path: str) -> None:
                 _enter(found, path, name)
                 _mark(spark, path, name, "done")
         _mark(spark, path, append, "given up")
+    return list(before)
 
 
 def _table(spark: SparkSession, path: str) -> DataFrame | None:
@@ -100,7 +107,7 @@ def append_once(rows: DataFrame, path: str, distinct: bool = False, buckets: int
     """
     spark = rows.sparkSession
     names = curated_schema().names
-    recover(spark, path)
+    broken = recover(spark, path)
     if _read(spark, f"{path}/_appends", APPENDS) is None and _table(spark, path) is not None:
         register(path, spark, buckets)
     staged = scratch_path(spark, "staged")
@@ -108,7 +115,7 @@ def append_once(rows: DataFrame, path: str, distinct: bool = False, buckets: int
     rows.select(*names).withColumn("bucket", bucket_of(buckets)).write.parquet(staged)
     new = spark.read.parquet(staged)
     own = [r["bucket"] for r in new.select("bucket").distinct().collect()]  # bucket numbers
-    known = ledger_of(spark, path, own)
+    known = ledger_of(spark, path, own, broken)
     if known is not None:
         new = new.join(known.select("insert_id"), "insert_id", "left_anti")
         kept = scratch_path(spark, "new-rows")

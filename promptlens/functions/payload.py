@@ -49,16 +49,8 @@ def to_int(col: Column) -> Column:
 
     Absent and null give 0; anything else gives null, which marks the row for rejection.
     """
-    kind = F.schema_of_variant(col)
-    text = F.trim(F.try_variant_get(col, "$", "string")).try_cast("bigint")
-    number = F.try_variant_get(col, "$", "double")
-    whole = F.coalesce(F.try_variant_get(col, "$", "bigint"), F.when(F.abs(number) < 9e18, F.when(number >= 0, F.floor(number)).otherwise(F.ceil(number))))
-    whole = F.when(F.abs(number) < 9.3e18, whole)
-    return (
-        F.when(col.isNull() | (kind == "VOID"), F.lit(0).cast("bigint"))
-        .when(kind == "STRING", text)
-        .when(kind.rlike("^(BIGINT|BOOLEAN|DECIMAL|DOUBLE|FLOAT)"), whole)
-    )
+    absent = col.isNull() | F.is_variant_null(col)
+    return F.when(absent, F.lit(0).cast("bigint")).otherwise(F.try_variant_get(col, "$", "bigint"))
 
 
 def parse_event_time(col: Column) -> Column:

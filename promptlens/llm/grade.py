@@ -85,10 +85,11 @@ def fit(row: np.ndarray, slot: np.ndarray, value: np.ndarray, grade: np.ndarray,
         return Model(np.zeros(size), theta)
     texts = np.bincount(slot, minlength=size)
     used = np.flatnonzero(texts >= LEAST_TEXTS)
-    place = np.full(size, -1, dtype=np.int64)
+    place = np.full(size, -1, dtype=np.int32)
     place[used] = np.arange(len(used))
     keep = place[slot] >= 0
     row, col, value = row[keep], place[slot[keep]], value[keep]
+    del slot, keep
     mass = np.bincount(row, weights=value, minlength=n)
     step = 1 / np.maximum(0.25 * np.bincount(col, weights=value * mass[row], minlength=len(used)) / n, 1e-12)
     penalty = PENALTY * np.sqrt(np.bincount(col, weights=value * value, minlength=len(used))) / n * 0.35
@@ -126,7 +127,7 @@ def _hash(batches):
             part = batch.slice(first, last - first)
             spans = list(zip(cuts[:-1], cuts[1:]))
             yield pa.RecordBatch.from_arrays(
-                [X.column(part, "grade"), pa.array([slot[a:b].astype("<i4").tobytes() for a, b in spans], pa.binary()), pa.array([value[a:b].astype("<f8").tobytes() for a, b in spans], pa.binary())],
+                [X.column(part, "grade"), pa.array([slot[a:b].astype("<i4").tobytes() for a, b in spans], pa.binary()), pa.array([value[a:b].astype("<f4").tobytes() for a, b in spans], pa.binary())],
                 ["grade", "slots", "values"],
             )
 
@@ -137,12 +138,12 @@ def train(docs: DataFrame, grades: DataFrame, top: int, id: str = "doc_id", text
     picked = rated.orderBy(F.xxhash64("id"), "id", "grade").limit(sample)
     texts = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
     rows = texts.join(F.broadcast(picked), "id").mapInArrow(_hash, "grade int, slots binary, values binary")
-    got = sorted(rows.collect(), key=lambda r: (r.grade, r.slots, r.values))  # whatever order tasks end in
-    slots = [np.frombuffer(r.slots, "<i4").astype(np.int64) for r in got]
-    row = np.repeat(np.arange(len(got)), [len(s) for s in slots]) if got else np.zeros(0, np.int64)
-    slot = np.concatenate(slots) if got else np.zeros(0, np.int64)
-    value = np.concatenate([np.frombuffer(r["values"], "<f8") for r in got]) if got else np.zeros(0)
-    return fit(row, slot, value, np.array([r.grade for r in got], dtype=np.int64), top + 1)
+    got = sorted(rows.collect(), key=lambda r: (r.grade, r.slots, r["values"]))  # whatever order tasks end in
+    grade_of = np.array([r.grade for r in got], dtype=np.int64)
+    row = np.repeat(np.arange(len(got), dtype=np.int32), [len(r.slots) // 4 for r in got])
+    slot, value = (np.frombuffer(b"".join(r[c] for r in got), kind) for c, kind in (("slots", "<i4"), ("values", "<f4")))
+    del got
+    return fit(row, slot, value, grade_of, top + 1)
 
 
 def _score(shared):

@@ -169,6 +169,21 @@ def ascend(strings: np.ndarray, wanted: np.ndarray, level: int, bits: int, least
     return low, high
 
 
+def _found(members: DataFrame, queries: DataFrame, top: int, trees: int, bits: int, level: int, block_rows: int) -> DataFrame:
+    """(query, rep, score) of the best rows that each query reaches in any tree."""
+    schema = "id long, data binary, tree int, subtree long, string long"
+    planted = members.select("id", "data").mapInArrow(_plant(trees, bits, level), schema)
+    asked = queries.select("id", "data").mapInArrow(_plant(trees, bits, level), schema)
+    # how many sorted arrays a subtree needs
+    sizes = planted.groupBy("tree", "subtree").agg(F.count("*").alias("n"))
+    parts = _kept(sizes.select("tree", "subtree", F.ceil(F.col("n") / block_rows).cast("int").alias("parts")), "subtrees")
+    planted = planted.join(parts, ["tree", "subtree"]).withColumn("part", F.pmod(F.xxhash64("id"), "parts").cast("int")).drop("parts")
+    asked = asked.join(parts, ["tree", "subtree"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    keys = ["tree", "subtree", "part"]
+    found = planted.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(_search(level, bits, top), "query long, rep long, score double")
+    return found.groupBy("query", "rep").agg(F.max("score").alias("score"))
+
+
 def neighbours(
     table: DataFrame, is_query, top: int = 20, id: str = "vec_id", vector: str = "embedding", trees: int = TREES, bits: int = BITS, level: int | None = None, block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
@@ -177,8 +192,8 @@ def neighbours(
     ``is_query`` is a condition on the id; candidates are all rows but the query itself. Each tree turns a
     vector into a long string of signs of random projections and sorts all rows by it. A query
     descends to its longest matching prefix and all trees ascend together to one level; rows that share that
-    prefix in any tree are its candidates and are scored in double precision. The level comes from
-    a bounded sample of queries (``level_to_stop``) if it isn't given. Subtrees of more than
+    prefix in any tree are its candidates and are scored in double precision; a query that reaches too
+    few ascends to the root. The level comes from a bounded sample of queries (``level_to_stop``) if it isn't given. Subtrees of more than
     ``block_rows`` rows are split into several sorted arrays, which each query visits in turn, so no task
     grows with a dense region. Equal vectors are indexed once with their ``top`` + 1 smallest ids, which
     are all that can be among a query's nearest.
@@ -205,17 +220,15 @@ def neighbours(
     queries = _kept(asks.groupBy("data").agg(F.min("id").alias("id")), "queries")
     if level is None:
         level = level_to_stop(members, queries, top, trees, bits)
-    schema = "id long, data binary, tree int, subtree long, string long"
-    planted = members.select("id", "data").mapInArrow(_plant(trees, bits, level), schema)
-    asked = queries.select("id", "data").mapInArrow(_plant(trees, bits, level), schema)
-    # how many sorted arrays a subtree needs
-    sizes = members.select("id", "data").mapInArrow(_plant(trees, bits, level), schema).groupBy("tree", "subtree").agg(F.count("*").alias("n"))
-    parts = _kept(sizes.select("tree", "subtree", F.ceil(F.col("n") / block_rows).cast("int").alias("parts")), "subtrees")
-    planted = planted.join(parts, ["tree", "subtree"]).withColumn("part", F.pmod(F.xxhash64("id"), "parts").cast("int")).drop("parts")
-    asked = asked.join(parts, ["tree", "subtree"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-    keys = ["tree", "subtree", "part"]
-    found = planted.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(_search(level, bits, top), "query long, rep long, score double")
-    found = found.groupBy("query", "rep").agg(F.max("score").alias("score"))
+    found = _found(members, queries, top, trees, bits, level, block_rows)
+    if level:
+        # who found too few ascends to the root, where one tree holds all rows
+        found = _kept(found, "found")
+        enough = found.groupBy("query").agg(F.count("*").alias("n")).where(F.col("n") > top).select(F.col("query").alias("id"))
+        rest = _kept(queries.join(enough, "id", "left_anti"), "unsatisfied")
+        if not rest.isEmpty():
+            found = found.join(rest.select(F.col("id").alias("query")), "query", "left_anti")
+            found = found.union(_found(members, rest, top, 1, bits, 0, block_rows))
     # a representative's copies only add rows, so rows beyond the first classes can't matter
     found = found.withColumn("at", F.rank().over(W.partitionBy("query").orderBy(F.desc("score")))).where(F.col("at") <= top + 1).drop("at")
     same = queries.select(F.col("id").alias("query"), "data").join(asks.withColumnRenamed("id", "query_id"), "data").select("query", "query_id").distinct()

@@ -228,6 +228,16 @@ def test_forest_with_copies_and_split_subtrees(spark):
         assert [v for _, v in sorted(out[q])] == np.lexsort((np.arange(300), -score))[:5].tolist()
 
 
+def test_queries_that_reach_too_few_ascend_to_the_root(spark):
+    data = np.random.default_rng(5).standard_normal((45, 16))
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(data)], "vec_id long, embedding array<double>")
+    rows = forest.neighbours(table, lambda id: id % 20 == 0, top=20, trees=2, level=12).collect()
+    for q in (0, 20, 40):
+        score = (data * data[q]).sum(axis=1)
+        score[q] = -np.inf
+        assert [r.vec_id for r in sorted(rows, key=lambda r: r["rank"]) if r.query_id == q] == np.lexsort((np.arange(45), -score))[:20].tolist()
+
+
 def test_descent_and_ascent():
     strings = np.array([0b0000, 0b0001, 0b0110, 0b0111, 0b1000], dtype=np.uint64) << np.uint64(60)
     wanted = np.array([0b0111, 0b1111], dtype=np.uint64) << np.uint64(60)

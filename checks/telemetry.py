@@ -222,7 +222,8 @@ def disturbed_messages(events: DataFrame) -> DataFrame:
         "department": lambda c: F.when(eid % 211 != 0, c),
         "interaction_type": lambda c: F.when((eid % 223 != 0) | (c == V.CHAT), c),
     }
-    value = F.to_json(entry_struct(changes))
+    rows = _rows(rows, eid, F.col("ts"), F.to_json(entry_struct(changes)).alias("value"), F.to_json(entry_struct(ts=F.col("ts") + F.expr("interval 1 second"))).alias("again"))
+    value = F.col("value")
     value = F.when(
         eid % 227 == 0,
         F.regexp_replace(value, r'"agent_tree_path":\[[^\]]*\]', '"agent_tree_path":"direct call"'),
@@ -245,11 +246,10 @@ def disturbed_messages(events: DataFrame) -> DataFrame:
         .when(eid % 241 == 0, F.base64(F.concat(F.unhex(F.lit("FF")), value.cast("binary"))))
         .otherwise(F.base64(value.cast("binary"))).alias("data"),
     )
-    second_later = F.col("ts") + F.expr("interval 1 second")
     later = _rows(
         rows.where(eid % 50 == 0),
         F.concat(F.lit("again-"), eid.cast("string")).alias("event_id"),
-        F.base64(F.to_json(entry_struct(ts=second_later)).cast("binary")).alias("data"),
+        F.base64(F.col("again").cast("binary")).alias("data"),
     )
     return first.unionByName(later)
 

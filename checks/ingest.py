@@ -156,12 +156,12 @@ def trace(spark: SparkSession, sf: str) -> DataFrame:
     "SELECT 'all rows' AS what, count(*) AS n FROM events UNION ALL SELECT 'largest call', least(250, count(*)) FROM events",
 )
 def micro_batch(spark: SparkSession, sf: str) -> DataFrame:
-    """External calls get at most 250 records each."""
+    """External calls get 250 records each at most, and just as many where there are more."""
 
     def client_factory():
         return lambda batch: [json.dumps({"calls": len(batch)})] * len(batch)
 
-    judged = judge_with(masked(spark, sf), client_factory)
+    judged = judge_with(masked(spark, sf).coalesce(1), client_factory)
     size = F.get_json_object("judge_json", "$.calls").cast("bigint")
     counts = judged.agg(F.count("*").alias("rows"), F.max(size).alias("largest"))
     return counts.select(F.inline(F.array(F.struct(F.lit("all rows").alias("what"), F.col("rows").alias("n")), F.struct(F.lit("largest call").alias("what"), F.col("largest").alias("n")))))

@@ -526,3 +526,19 @@ def pillar(spark: SparkSession, sf: str) -> DataFrame:
         .join(F.broadcast(catalog_rows), "leaf_agent", "left")
         .select("insert_id", out.alias("pillar"), (out != F.col("department")).alias("crossed"))
     )
+
+
+@check(
+    "fn13_title_and_capitalize",
+    sql(
+        "SELECT insert_id, array_to_string(list_transform(string_split(lower(nam), ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS title,"
+        " upper(left(prompt_text, 1)) || lower(substr(prompt_text, 2)) AS capitalized FROM flat",
+        upto="flat",
+    ),
+)
+def title(spark: SparkSession, sf: str) -> DataFrame:
+    """Names as they are written, and texts as sentences."""
+    names = F.element_at(F.array(*(F.lit(n.upper()) for n in T.SUBJECT_NAMES)), (F.floor(F.col("event_id") / 7) % len(T.SUBJECT_NAMES)).cast("int") + 1)
+    rows = T.prompts(events(spark, sf))
+    insert_id = F.concat(F.lit("log-"), F.col("event_id").cast("string")).alias("insert_id")
+    return rows.select(insert_id, P.title(names).alias("title"), P.capitalize(F.col("prompt_text")).alias("capitalized"))

@@ -66,6 +66,16 @@ def derive_severity(dlp_detected: Column) -> Column:
     return F.when(dlp_detected, F.lit("WARNING")).otherwise(F.lit("INFO"))
 
 
+def title(col: Column) -> Column:
+    """Each word with a capital first letter, the rest in lower case; words are cut at spaces."""
+    return F.initcap(col)
+
+
+def capitalize(col: Column) -> Column:
+    """The first letter in upper case, the rest in lower case."""
+    return F.concat(F.upper(F.substring(col, 1, 1)), F.lower(col.substr(F.lit(2), F.length(col))))
+
+
 def word_count(col: Column) -> Column:
     return F.regexp_count(col, F.lit(r"[^ \t\r\n\f]+"))
 

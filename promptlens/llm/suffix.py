@@ -259,9 +259,6 @@ def _entries(length: int, seed: int, shards: int, buckets: int):
                 rows = np.empty(len(keep), dtype=ENTRY)
                 rows["seed"], rows["own"], rows["n"] = value[keep] >> np.uint64(32), own[keep], n[keep]
                 rows["doc"], rows["at"], rows["run"] = docs[keep], at[keep], run[keep]
-                # a run that was folded tells others that its seed is common
-                times = np.diff(np.append(np.flatnonzero(change), len(order)))
-                rows["own"] |= np.where(times > 1, 2, 0).astype(np.uint8)
                 yield pack((value[keep] & np.uint64(0xFFFFFFFF)).astype(np.int64) % shards, rows)
                 if len(drop):
                     yield _forward(docs[drop], at[drop], n[drop], buckets)
@@ -282,7 +279,7 @@ def _answer(buckets: int):
         heads = rows[lead]
         spellings = np.bincount(np.unique(heads["seed"], return_inverse=True)[1]) if len(heads) else np.zeros(0, np.int64)
         many = spellings[np.unique(heads["seed"], return_inverse=True)[1]] > 1 if len(heads) else np.zeros(0, bool)
-        ask = heads[many | (heads["own"] & 1 > 0)]
+        ask = heads[many | (heads["own"] > 0)]
         out = []
         for picked, kind in ((rows[drop], -1), (ask, shard)):
             if len(picked):

@@ -26,6 +26,7 @@ LENGTH = 100
 SEED = 24
 SHARD_BYTES = 8 << 20  # of text that a shard answers for, on average
 BUCKET_BYTES = 4 << 20  # of text that is cut at a time
+SORTED_PARTS = 16  # a shard's seeds are sorted in so many parts, each an array of its own
 
 ENTRY = np.dtype([("seed", "<u4"), ("own", "u1"), ("n", "<i4"), ("doc", "<i8"), ("at", "<i4"), ("run", "<u8")])
 MARK = np.dtype([("doc", "<i8"), ("at", "<i4"), ("n", "<i4")])
@@ -280,8 +281,10 @@ def _answer(buckets: int):
         spellings = np.bincount(np.unique(heads["seed"], return_inverse=True)[1]) if len(heads) else np.zeros(0, np.int64)
         many = spellings[np.unique(heads["seed"], return_inverse=True)[1]] > 1 if len(heads) else np.zeros(0, bool)
         ask = heads[many | (heads["own"] > 0)]
+        part = ask["seed"] % np.uint32(SORTED_PARTS)
+        parts = [(ask[part == p], shard * SORTED_PARTS + p) for p in range(SORTED_PARTS)]
         out = []
-        for picked, kind in ((rows[drop], -1), (ask, shard)):
+        for picked, kind in ((rows[drop], -1), *parts):
             if len(picked):
                 batch = _forward(picked["doc"], picked["at"], picked["n"], buckets)
                 out.append(pa.table({"k": pc.subtract(-1, batch.column(0)), "ask": pa.array([kind] * batch.num_rows, pa.int64()), "data": batch.column(1)}))

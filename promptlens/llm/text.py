@@ -48,7 +48,7 @@ def powers(base: int, n: int) -> np.ndarray:
         out = np.full(max(n, PIECE_BYTES + 1), base & _MASK, dtype=np.uint64)
         out[0] = 1
         have = np.multiply.accumulate(out)
-        if len(have) <= 8 * PIECE_BYTES:
+        if len(have) <= 2 * PIECE_BYTES:  # kept from call to call, in every worker
             _powers[base] = have
     return have[:n]
 

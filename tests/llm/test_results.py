@@ -449,3 +449,13 @@ def test_pipeline_stage_by_stage(spark, sf, texts):
     check_packing(docs.collect(), after, queries.byte_level())
     total = P.run(spark, sf)
     assert total.count() == docs.count() and total.columns == docs.columns
+
+
+def test_a_chain_without_passage_hides_no_other(spark):
+    """Document 9 shares with 1 runs of 20 words, 10 others between them, and 60 words in a row with 5."""
+    new = [f"w{i}" for i in range(150)]
+    old = [w if i % 30 < 20 else f"x{i}" for i, w in enumerate(new)]
+    five = [f"y{i}" for i in range(40)] + new[40:100] + [f"z{i}" for i in range(40)]
+    docs = {1: old, 5: five, 9: new}
+    rows = chain.shared_passages(spark.createDataFrame([(k, " ".join(v)) for k, v in docs.items()], "doc_id long, text string")).collect()
+    assert (9, 40, 60, 5, 40, 60) in {(r.doc_id, r.first_word, r.n_words, r.other_id, r.other_first_word, r.other_words) for r in rows}

@@ -7,6 +7,7 @@ from collections import defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -459,3 +460,38 @@ def test_a_chain_without_passage_hides_no_other(spark):
     docs = {1: old, 5: five, 9: new}
     rows = chain.shared_passages(spark.createDataFrame([(k, " ".join(v)) for k, v in docs.items()], "doc_id long, text string")).collect()
     assert (9, 40, 60, 5, 40, 60) in {(r.doc_id, r.first_word, r.n_words, r.other_id, r.other_first_word, r.other_words) for r in rows}
+
+
+def test_shared_passages_do_not_depend_on_the_split(spark):
+    """A line that 40 documents have, and one that only the first and the last have, beside each other."""
+    line, rare = [f"l{i}" for i in range(45)], [f"r{i}" for i in range(45)]
+    docs = [(k, [f"a{k}x{i}" for i in range(25)] + line + [f"b{k}x{i}" for i in range(25)]) for k in range(1, 60)]
+    docs = [(0, line + rare), *docs, (60, line + rare)]
+    table = spark.createDataFrame([(k, " ".join(v)) for k, v in docs], "doc_id long, text string")
+    got = []
+    for split in (table.coalesce(1), table.repartition(61, "doc_id"), table.orderBy(F.col("doc_id").desc()).coalesce(1), table.repartitionByRange(2, "doc_id")):
+        got.append(sorted(tuple(r) for r in chain.shared_passages(split).collect()))
+    assert got[0] == got[1] == got[2] == got[3]
+    assert (60, 0, 90, 0, 0, 90, 90, 1.0) in got[0]
+
+
+def test_lanes_give_the_matches_of_one_shard():
+    rng = np.random.default_rng(4)
+    rows = np.unique(np.array([(rng.integers(3) if rng.random() < 0.7 else rng.integers(40), rng.integers(300), rng.integers(50)) for _ in range(1500)], chain.ENTRY))
+    whole = np.sort(chain._pairs(rows, chain.COMMON))
+    for pieces in (1, 2, 7):
+        piece, sent = rng.integers(pieces, size=300)[rows["doc"]], {}
+        for p in range(pieces):
+            for batch in chain._dealt(rows[piece == p], 2):
+                for k, data in zip(batch.column("k").to_pylist(), batch.column("data").to_pylist()):
+                    sent.setdefault(k, []).append(data)
+        assert min(sent) < 0
+        lanes, out = {}, []
+        for k, data in sent.items():
+            table, key = pa.table({"k": [k] * len(data), "data": pa.array(data, pa.binary())}), (pa.scalar(k),)
+            out.append(chain.unpack(chain._link(4)(key, table), chain.MATCH))
+            for r in chain._to_lanes(2)(key, table).to_pylist():
+                lanes.setdefault(r["k"], []).append(r["data"])
+        for k, data in lanes.items():
+            out.append(chain.unpack(chain._link_lane(4)((pa.scalar(k),), pa.table({"k": [k] * len(data), "data": pa.array(data, pa.binary())})), chain.MATCH))
+        assert np.array_equal(np.sort(np.concatenate(out)), whole)

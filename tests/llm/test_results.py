@@ -495,3 +495,29 @@ def test_lanes_give_the_matches_of_one_shard():
         for k, data in lanes.items():
             out.append(chain.unpack(chain._link_lane(4)((pa.scalar(k),), pa.table({"k": [k] * len(data), "data": pa.array(data, pa.binary())})), chain.MATCH))
         assert np.array_equal(np.sort(np.concatenate(out)), whole)
+
+
+def test_passages_of_frequent_lines_reach_a_document_that_holds_them(spark):
+    a, b = [f"a{i}" for i in range(30)], [f"b{i}" for i in range(30)]
+    docs = {1: a, 2: b, 5: a + b, 7: a, 8: b, 9: a + b}
+    rows = chain.shared_passages(spark.createDataFrame([(k, " ".join(v)) for k, v in docs.items()], "doc_id long, text string")).collect()
+    assert [(r.doc_id, r.first_word, r.n_words, r.other_id, r.matched_words) for r in rows] == [(9, 0, 60, 5, 60)]
+
+
+def test_every_equal_run_lies_in_a_passage(spark):
+    """Texts composed of few lines, in any order and with repeats, against all pairs of runs."""
+    rng = random.Random(8)
+    lines = [[f"l{k}w{i}" for i in range(rng.choice((4, 9, 17, 30)))] for k in range(9)]
+    docs = {k: [w for _ in range(rng.randint(2, 14)) for w in rng.choice(lines)] for k in range(250)}
+    rows = chain.shared_passages(spark.createDataFrame([(k, " ".join(v)) for k, v in docs.items()], "doc_id long, text string").repartition(5)).collect()
+    spans, least, known, runs = defaultdict(list), chain.LEAST_WORDS, set(), 0
+    for r in rows:
+        spans[r.doc_id].append((r.first_word, r.first_word + r.n_words))
+    for k, words in docs.items():
+        own = [tuple(words[i : i + least]) for i in range(len(words) - least + 1)]
+        for i, run in enumerate(own):
+            if run in known:
+                runs += 1
+                assert any(x <= i and i + least <= y for x, y in spans[k]), (k, i)
+        known.update(own)
+    assert runs > 500

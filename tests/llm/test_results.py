@@ -521,3 +521,17 @@ def test_every_equal_run_lies_in_a_passage(spark):
                 assert any(x <= i and i + least <= y for x, y in spans[k]), (k, i)
         known.update(own)
     assert runs > 500
+
+
+def test_resharding_writes_the_shards_it_reports(spark, sf, texts, monkeypatch):
+    calls, write = [], reshard.rewrite
+    monkeypatch.setattr(reshard, "rewrite", lambda docs, assigned, path: calls.append((path, assigned, write(docs, assigned, path))) or calls[-1][2])
+    rows = {r.doc_id: r for r in Q["op4_flow_resharding"](spark, sf).collect()}
+    assert len(calls) == 1 and set(rows) == set(texts)
+    path, assigned, untouched = calls[0]
+    written = {r.doc_id: r for r in spark.read.parquet(path).collect()}
+    assert set(written) == {k for k, r in rows.items() if r.shard not in untouched}
+    assert all((w.shard, w.slot, w.text) == (rows[k].shard, rows[k].slot, texts[k]) for k, w in written.items())
+    for a in assigned.collect():
+        r = rows[a.doc_id]
+        assert (r["size"], r.text_crc32, r.old_shard, r.shard, r.slot) == (a["size"], a.text_crc32, a.old_shard, a.shard, a.slot)

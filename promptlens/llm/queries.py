@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from promptlens.llm import chain, forest, grade, minhash, order, packing, reshard, suffix, tokens, wumanber
+from promptlens.llm import chain, forest, grade, lattice, minhash, order, packing, repair, reshard, suffix, tokens, trie, wumanber
+from promptlens.llm.sequence import digest, numbered
 from promptlens.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -128,3 +129,63 @@ def op7_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_collinear_chaining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chain.shared_passages(table(spark, sf_dir, "documents"))
+
+
+def rebuilt(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The conversations with their first turns replaced by another's: turns (conv, d, digest, bytes), and (conv, n).
+
+    Turns follow by turn, nulls first, and where turns tie by the digest of role and text; rows without conv_id
+    take no part.
+    """
+    rows = table(spark, sf_dir, "conversations").where("conv_id is not null")
+    role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
+    rows = rows.select(F.col("conv_id").cast("long").alias("conv"), "turn", digest(role, text).alias("digest"), F.octet_length(text).cast("long").alias("bytes"))
+    rows = trie._kept(numbered(rows, "conv", [F.col("turn").asc_nulls_first(), F.col("digest")]), "turns")
+    base, h = F.col("conv") - F.col("conv") % 5, F.crc32(F.col("conv").cast("string").cast("binary")) % 9
+    each = rows.where("pos = 1").select("conv", "total", base.alias("base"), h.alias("h"))
+    sizes = each.select(F.col("conv").alias("base"), F.col("total").alias("held"))
+    each = each.join(sizes, "base", "left").withColumn("m", F.least("h", F.coalesce("held", F.lit(0))))
+    each = trie._kept(each.withColumn("n", F.col("m") + F.greatest(F.col("total") - F.col("h"), F.lit(0))), "conversations")
+    heads = rows.where("pos <= 8").withColumnRenamed("conv", "base").join(each.select("base", "conv", "m"), "base").where("pos <= m")
+    tails = rows.join(each.select("conv", "h", "m"), "conv").where("pos > h").withColumn("pos", F.col("pos") - F.col("h") + F.col("m"))
+    names = ["conv", F.col("pos").alias("d"), "digest", "bytes"]
+    return heads.select(names).unionByName(tails.select(names)), each.select("conv", "n")
+
+
+@query
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(*rebuilt(spark, sf_dir)).drop("name")
+
+
+def damaged(rows: DataFrame) -> DataFrame:
+    """Conversations with rows lost, emptied, cut, said twice or in the wrong role, as a hash of conv_id and turn says.
+
+    Nulls count as one space, in the hash too; the copy of a row follows it at once.
+    """
+    space = F.lit(" ")
+    named = F.concat(F.coalesce(F.col("conv_id").cast("string"), space), F.lit(":"), F.coalesce(F.col("turn").cast("string"), space))
+    rows = rows.select("conv_id", "turn", F.coalesce("role", space).alias("role"), F.coalesce("text", space).alias("text"), (F.crc32(named.cast("binary")) % 20).alias("harm"))
+    harm = F.col("harm")
+    text = F.when(harm == 1, "").when(harm == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    rows = rows.where(harm != 0).select("conv_id", "turn", F.when(harm == 4, "user").otherwise(F.col("role")).alias("role"), text.alias("text"), F.explode(F.sequence(F.lit(1), F.when(harm == 3, 2).otherwise(1))).alias("copy"))
+    return rows.drop("copy")
+
+
+@query
+def op12_lattice_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7 == 2
+    out = lattice.score(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), held_out)
+    return out.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query
+def op13_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    audits, repaired = repair.repair(damaged(rows))
+    k = F.coalesce(F.col("conv_id").cast("string"), F.lit("")).alias("k")
+    out = rows.select("conv_id", k).distinct().join(audits, "k", "left").join(repair.fingerprints(repaired), "k", "left")
+    counts = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    return out.select(
+        "conv_id", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts), F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"),
+    )

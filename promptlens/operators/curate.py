@@ -14,7 +14,7 @@ from promptlens.operators.deidentify import deidentify, finding_flags, pseudonym
 from promptlens.operators.judge import judge_with, rule_judge, store_judgements, validate_judge
 from promptlens.operators.normalize import flatten
 from promptlens.schema import CLUSTER_KEYS, NOT_NULL, curated_schema
-from promptlens.sources.logs import decode_messages, quarantine_malformed
+from promptlens.sources.logs import decode_messages, drop_empty_messages, is_corrupt, message_text, parse_entry, quarantine_malformed
 
 NUMBERS = ["latency_ms", "prompt_tokens", "response_tokens"]
 REQUIRED = ["insert_id", "event_timestamp", *NUMBERS]
@@ -127,6 +127,26 @@ def curate_judged(
     return drop_identity(add_metrics(good)), rejects(messages).unionByName(lost)
 
 
+def deliveries(messages: DataFrame, detectors: Sequence[D.Detector], key: ActorKey, style: str = "plain", **options) -> DataFrame:
+    """Every message but empty ones, parsed once: masked columns, ``event_id``, and ``reason`` where it can't be stored.
+
+    What a sink with two outputs starts from: rows without reason go on, the others are :func:`named`. Duplicates
+    are still in it, raw text isn't.
+    """
+    entries = F.explode(F.array(parse_entry(message_text(F.col("data"))))).alias("entry")
+    entries = drop_empty_messages(messages).select("event_id", entries).withColumn("malformed", is_corrupt(F.col("entry")))
+    flat = flatten(entries, ["event_id", "malformed"])
+    rows = pseudonymise(finding_flags(deidentify(flat, detectors, key, style, **options)))
+    reason = F.when(F.col("malformed"), "malformed").otherwise(rejected(["insert_id", *REQUIRED[1:]]))
+    return rows.withColumn("reason", reason).drop("malformed")
+
+
+def named(delivered: DataFrame) -> DataFrame:
+    """The deliveries that can't be stored: (event_id, insert_id, reason)."""
+    bad = delivered.where("reason is not null")
+    return bad.select("event_id", F.when(F.col("reason") != "malformed", F.col("insert_id")).alias("insert_id"), "reason")
+
+
 def cluster_for_write(df: DataFrame) -> DataFrame:
     """Lay rows out by date, and by the cluster keys within a file.
 

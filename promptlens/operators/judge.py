@@ -5,14 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from promptlens import fixed_values as V
 from promptlens.functions import metrics as M
 from promptlens.functions import rubric as R
+from promptlens.operators.runs import Runs
 from promptlens.schema import COACHING, GROUNDING, JUDGE, MATURITY
+from promptlens.session import scratch_path
 
 # The only columns a judge may see: all of them are de-identified.
 JUDGE_INPUT = [
@@ -201,3 +203,52 @@ def validate_judge(df: DataFrame, column: str = "judge_json") -> tuple[DataFrame
         "insert_id", F.lit("invalid judgement").alias("reason")
     )
     return good, bad
+
+
+ANSWERS = "judge_digest string, attempt int, judge_valid boolean, judge_json string"
+
+
+def answers_at(spark: SparkSession, path: str) -> Runs:
+    """The store of a judge's answers under a path, by digest of what it was asked."""
+    return Runs(spark, path, "judge_digest", ANSWERS)
+
+
+def judge_stored(rows: DataFrame, client_factory: Callable[[], Callable[[list[str]], list[str]]], store: Runs, attempts: int = 2, **options) -> tuple[DataFrame, DataFrame]:
+    """(judged rows, rejects) of masked rows, by an external judge whose answers are kept.
+
+    Each distinct input is asked once, however many rows hold it and however often a load is repeated: an answer
+    in the store is used. An answer that isn't valid is asked again, up to ``attempts`` times over all loads; then its rows are
+    rejects (event_id where there is one, insert_id, reason). Answers are stored attempt by attempt, before any row is
+    written, so a failure loses one attempt's answers at most.
+    """
+    spark = rows.sparkSession
+    path = scratch_path(spark, "to-judge")
+    rows.withColumn("judge_digest", F.sha2(render_judge_input(), 256)).write.parquet(path)
+    rows = spark.read.parquet(path)
+    count = rows.count()
+    known = store.having(rows, count)
+    pending = rows.select("judge_digest", *JUDGE_INPUT).dropDuplicates(["judge_digest"])
+    if known is None:
+        pending = pending.withColumn("attempt", F.lit(0))
+    else:
+        tried = known.groupBy("judge_digest").agg(F.max("attempt").alias("attempt"), F.max("judge_valid").alias("judge_valid"))
+        pending = pending.join(tried, "judge_digest", "left").where("not coalesce(judge_valid, false)")
+        pending = pending.withColumn("attempt", F.coalesce("attempt", F.lit(0))).drop("judge_valid")
+    for _ in range(attempts):
+        pending = pending.where(F.col("attempt") < attempts)
+        asked = judge_with(pending.withColumn("attempt", F.col("attempt") + 1), client_factory, **options)
+        valid = parse_judgement(asked.withColumn("_json", F.col("judge_json")), "_json").select("judge_digest", "attempt", "judge_valid", "judge_json")
+        run = store.write(valid, count)
+        again = store.read(run).where("not judge_valid")
+        store.mark(run)
+        if again.where(F.col("attempt") < attempts).isEmpty():
+            break
+        pending = rows.select("judge_digest", *JUDGE_INPUT).dropDuplicates(["judge_digest"]).join(again.select("judge_digest", "attempt"), "judge_digest")
+    store.compact()
+    every = store.having(rows, count)
+    best = every.groupBy("judge_digest").agg(F.max("attempt").alias("attempt"), F.min_by("judge_json", F.when(F.col("judge_valid"), F.col("attempt"))).alias("judge_json"))
+    judged = rows.join(best, "judge_digest")
+    good = parse_judgement(judged.where("judge_json is not null")).drop("judge_valid", "judge_digest", "attempt")
+    event = F.col("event_id") if "event_id" in rows.columns else F.lit(None).cast("string").alias("event_id")
+    reason = F.concat(F.lit("invalid judgement after "), F.col("attempt").cast("string"), F.lit(" attempts")).alias("reason")
+    return good, judged.where("judge_json is null").select(event, "insert_id", reason)

@@ -1,140 +1,107 @@
-"""Appending rows once each: a ledger of loaded ids, kept in buckets beside the table.
+"""Appending rows once each: a ledger of loaded ids beside the table.
 
-The table's folder holds ``_ledger`` (insert_id, event_date, append; a folder per hash bucket) and ``_appends``
-(a row when an append begins, ends or is given up). Readers of the table skip both. An append
-reads only the buckets its own ids fall into. One that broke off has ids in the ledger whose rows may or
+The table's folder holds ``_ledger``, the ids as :class:`promptlens.operators.runs.Runs`, and ``_open``, a file name for each
+append under way. Readers of the table skip both. An append that broke off has a run of ids whose rows may or
 may not have arrived: the next append looks for just those ids, on just their dates. One writer at a time.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from promptlens.operators.curate import dedupe, read_curated, write_curated
+from promptlens.operators.runs import Runs
 from promptlens.schema import curated_schema
-from promptlens.session import scratch_path
+from promptlens.session import file_names, remove_file, scratch_path, touch_file
 
-BUCKETS = 64
-LEDGER = "insert_id string, event_date date, append string, bucket int"
-APPENDS = "append string, state string"
+LEDGER = "insert_id string, event_date date"
 
 
-def bucket_of(buckets: int = BUCKETS) -> F.Column:
-    return F.pmod(F.xxhash64("insert_id"), F.lit(buckets)).cast("int").alias("bucket")
-
-
-def _read(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException as missing:
-        if missing.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return None
-
-
-def _mark(spark: SparkSession, path: str, append: str, state: str) -> None:
-    spark.createDataFrame([(append, state)], APPENDS).coalesce(1).write.mode("append").parquet(f"{path}/_appends")
-
-
-def unfinished(spark: SparkSession, path: str) -> dict[str, bool]:
-    """Appends that never ended: whether each was given up since. Failures, so few."""
-    states = _read(spark, f"{path}/_appends", APPENDS)
-    if states is None:
-        return {}
-    each = states.groupBy("append").agg(F.max(F.col("state") == "done").alias("done"), F.max(F.col("state") == "given up").alias("given_up"))
-    return {r["append"]: r["given_up"] for r in each.where("not done").collect()}
+def ledger(spark: SparkSession, path: str) -> Runs:
+    return Runs(spark, f"{path}/_ledger", "insert_id", LEDGER)
 
 
 def open_appends(spark: SparkSession, path: str) -> list[str]:
-    """Appends that began and neither ended nor were given up: none, or the one that broke off."""
-    return [append for append, given_up in unfinished(spark, path).items() if not given_up]
-
-
-def ledger_of(spark: SparkSession, path: str, buckets: list[int] | None = None, broken: list[str] | None = None) -> DataFrame | None:
-    """Ids of finished appends, of the given buckets only."""
-    rows = _read(spark, f"{path}/_ledger", LEDGER)
-    if rows is None:
-        return None
-    rows = rows if buckets is None else rows.where(F.col("bucket").isin(buckets))
-    broken = list(unfinished(spark, path)) if broken is None else broken
-    return rows.where(~F.col("append").isin(broken)) if broken else rows
-
-
-def recover(spark: SparkSession, path: str) -> list[str]:
-    """Settle appends that broke off: ids whose rows did arrive are entered anew, the rest is free again.
-    Returns the appends whose ledger rows don't count."""
-    before = unfinished(spark, path)
-    for append in (a for a, given_up in before.items() if not given_up):
-        ledger = _read(spark, f"{path}/_ledger", LEDGER)
-        if ledger is not None:
-            doubtful = ledger.where(F.col("append") == append).select("insert_id", "event_date", "bucket")
-            table = _table(spark, path)
-            if table is not None:
-                dates = [r["event_date"] for r in doubtful.select("event_date").distinct().collect()]
-                there = table.where(F.col("event_date").isin(dates)).select("insert_id")
-                name = f"{append}-found"
-                _mark(spark, path, name, "begun")
-                found = doubtful.join(there, "insert_id", "left_semi").distinct()
-                _enter(found, path, name)
-                _mark(spark, path, name, "done")
-        _mark(spark, path, append, "given up")
-    return list(before)
+    """Appends that began and neither ended nor were settled: none, or the one that broke off."""
+    return file_names(spark, f"{path}/_open")
 
 
-def _table(spark: SparkSession, path: str) -> DataFrame | None:
+def _missing_is_none(read: Callable[[], DataFrame]) -> DataFrame | None:
     try:
-        return read_curated(spark, path)
+        return read()
     except AnalysisException as missing:
         if missing.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise
         return None
 
 
-def _enter(rows: DataFrame, path: str, append: str) -> None:
-    rows = rows.select("insert_id", "event_date", F.lit(append).alias("append"), "bucket")
-    rows.repartition("bucket").write.mode("append").partitionBy("bucket").parquet(f"{path}/_ledger")
+def recover(spark: SparkSession, path: str) -> None:
+    """Settle appends that broke off: ids whose rows did arrive are entered anew, the rest is free again."""
+    runs = ledger(spark, path)
+    live = {r.name for r in runs.live()}
+    for append in open_appends(spark, path):
+        if append not in live:  # else it broke off at its very end
+            doubtful = _missing_is_none(lambda: spark.read.schema(LEDGER).parquet(f"{runs.path}/{append}"))
+            table = _missing_is_none(lambda: read_curated(spark, path))
+            if doubtful is not None and table is not None:
+                dates = [r["event_date"] for r in doubtful.select("event_date").distinct().collect()]
+                there = table.where(F.col("event_date").isin(dates)).select("insert_id")
+                found = doubtful.join(there, "insert_id", "left_semi").distinct()
+                count = found.count()
+                if count:
+                    runs.mark(runs.write(found, count))
+            remove_file(spark, f"{runs.path}/{append}")
+        remove_file(spark, f"{path}/_open/{append}")
 
 
-def append_once(rows: DataFrame, path: str, distinct: bool = False, buckets: int = BUCKETS) -> int:
+def append_once(rows: DataFrame, path: str, distinct: bool = False) -> int:
     """Append the rows whose ``insert_id`` is new, and return how many there were.
 
     ``rows`` are computed once, into the shared folder. Can be repeated after any failure.
     ``distinct=True`` says that ids are unique within ``rows`` already.
     """
-    spark = rows.sparkSession
     names = curated_schema().names
-    broken = recover(spark, path)
-    if _read(spark, f"{path}/_appends", APPENDS) is None and _table(spark, path) is not None:
-        register(path, spark, buckets)
-    staged = scratch_path(spark, "staged")
-    rows = rows if distinct else dedupe(rows)
-    rows.select(*names).withColumn("bucket", bucket_of(buckets)).write.parquet(staged)
-    new = spark.read.parquet(staged)
-    own = [r["bucket"] for r in new.select("bucket").distinct().collect()]  # bucket numbers
-    known = ledger_of(spark, path, own, broken)
-    if known is not None:
-        new = new.join(known.select("insert_id"), "insert_id", "left_anti")
-        kept = scratch_path(spark, "new-rows")
-        new.write.parquet(kept)
-        new = spark.read.parquet(kept)
-    count = new.count()
-    if not count:
-        return 0
+    staged = scratch_path(rows.sparkSession, "staged")
+    (rows if distinct else dedupe(rows)).select(*names).write.parquet(staged)
+    return append_staged(rows.sparkSession.read.parquet(staged), path, lambda new: new.select(*names))
+
+
+def append_staged(staged: DataFrame, path: str, finish: Callable[[DataFrame], DataFrame]) -> int:
+    """Append what ``finish`` makes of the rows whose ``insert_id`` is new, one row for each id.
+
+    ``staged`` is read several times, so it must be a stored table. ``finish`` sees new rows only and keeps one row for
+    each ``insert_id``, that of the least ``event_timestamp``.
+    """
+    spark = staged.sparkSession
+    recover(spark, path)
+    runs = ledger(spark, path)
+    if not runs.live() and _missing_is_none(lambda: read_curated(spark, path)) is not None:
+        register(path, spark)
+    ids = staged.groupBy("insert_id").agg(F.to_date(F.min("event_timestamp")).alias("event_date"))
+    most = staged.count()
     append = uuid.uuid4().hex
-    _mark(spark, path, append, "begun")
-    _enter(new.withColumn("event_date", F.to_date("event_timestamp")), path, append)
-    write_curated(new.select(*names), path, "append")
-    _mark(spark, path, append, "done")
+    touch_file(spark, f"{path}/_open/{append}")
+    run = runs.write(runs.without(ids, most), most, append)
+    own = runs.read(run)
+    count = own.count()
+    if count:
+        new = staged if count == most else staged.join(own.select("insert_id"), "insert_id", "left_semi")
+        write_curated(finish(new), path, "append")
+        runs.mark(run)
+        remove_file(spark, f"{path}/_open/{append}")
+        runs.compact()
+    else:
+        remove_file(spark, f"{path}/_open/{append}")
+        runs.drop(run)
     return count
 
 
-def register(path: str, spark: SparkSession, buckets: int = BUCKETS) -> None:
+def register(path: str, spark: SparkSession) -> None:
     """Enter all ids of a table that was written without a ledger, such as one batch load."""
-    append = uuid.uuid4().hex
-    _mark(spark, path, append, "begun")
-    _enter(read_curated(spark, path).select("insert_id", "event_date", bucket_of(buckets)), path, append)
-    _mark(spark, path, append, "done")
+    runs, table = ledger(spark, path), read_curated(spark, path).select("insert_id", "event_date")
+    runs.mark(runs.write(table, table.count()))

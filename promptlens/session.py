@@ -11,6 +11,8 @@ SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # lists of ids reach the files' Bloom filters up to this length
+    "spark.sql.parquet.pushdown.inFilterThreshold": "1000",
 }
 
 
@@ -58,3 +60,26 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/promptlens/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def _file(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def touch_file(spark: SparkSession, path: str) -> None:
+    """Create an empty file; its name is all it says."""
+    p, fs = _file(spark, path)
+    fs.create(p, True).close()
+
+
+def remove_file(spark: SparkSession, path: str) -> None:
+    """Remove a file, or a folder with its files; one that is gone already is no error."""
+    p, fs = _file(spark, path)
+    fs.delete(p, True)
+
+
+def file_names(spark: SparkSession, path: str) -> list[str]:
+    """Names of a folder's files, sorted; none where there is no folder."""
+    p, fs = _file(spark, path)
+    return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []

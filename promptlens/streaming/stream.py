@@ -6,16 +6,22 @@ it is set only where a caller passes ``delay``.
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from promptlens import fixed_values as V
 from promptlens.functions import detectors as D
 from promptlens.functions.hashing import ActorKey
-from promptlens.operators.curate import curate, rejects
-from promptlens.operators.ledger import append_once
+from promptlens.operators.curate import add_metrics, dedupe, deliveries, drop_identity, named, rejects
+from promptlens.operators.judge import answers_at, judge_stored, rule_judge
+from promptlens.operators.ledger import append_once, append_staged, ledger, recover
+from promptlens.session import scratch_path
 
 
 def dedup_stream(rows: DataFrame, delay: str | None = None) -> DataFrame:
@@ -29,32 +35,88 @@ def dedup_stream(rows: DataFrame, delay: str | None = None) -> DataFrame:
     return rows.withWatermark("event_timestamp", delay).dropDuplicatesWithinWatermark(["insert_id"])
 
 
+@dataclass(frozen=True)
+class Judge:
+    """An external judge for streams and back-fills; its answers are kept beside the table and used again."""
+
+    client_factory: Callable[[], Callable[[list[str]], list[str]]]
+    attempts: int = 2
+    batch_rows: int = V.CHUNK_ROWS
+    parallelism: int | None = None
+
+
+def load(messages: DataFrame, detectors: Sequence[D.Detector], key: ActorKey, path: str, reject_path: str, judge: Judge | None = None, **options) -> int:
+    """One batch of messages into the table: new rows are stored, every delivery that can't be is named. Returns the rows added.
+
+    Messages are parsed and masked once, into the shared folder. Rejects replace what ``reject_path`` holds, so a
+    repeated batch names each once; with a judge they include the rows whose answers stayed invalid. Redeliveries
+    are neither judged nor stored again.
+    """
+    spark = messages.sparkSession
+    staged = scratch_path(spark, "delivered")
+    deliveries(messages, detectors, key, **options).write.parquet(staged)
+    delivered = spark.read.parquet(staged)
+    bad, good = named(delivered), delivered.where("reason is null")
+    if judge is None:
+        count = append_staged(good, path, lambda new: drop_identity(add_metrics(rule_judge(dedupe(new)))))
+    else:
+        recover(spark, path)
+        new = dedupe(ledger(spark, path).without(good, good.count()))
+        store = answers_at(spark, f"{path}/_answers")
+        judged, lost = judge_stored(new, judge.client_factory, store, judge.attempts, batch_rows=judge.batch_rows, parallelism=judge.parallelism)
+        count = append_once(drop_identity(add_metrics(judged)), path, distinct=True)
+        bad = bad.unionByName(lost)
+    bad.write.mode("overwrite").parquet(reject_path)
+    return count
+
+
 def stream_curate(
     messages: DataFrame, detectors: Sequence[D.Detector], key: ActorKey, path: str, checkpoint: str, reject_path: str | None = None,
-    available_now: bool = True, interval: str = "1 minute", curate_batch: Callable[[DataFrame], DataFrame] | None = None,
+    available_now: bool = True, interval: str = "1 minute", curate_batch: Callable[[DataFrame], DataFrame] | None = None, judge: Judge | None = None, **options,
 ) -> StreamingQuery:
     """The batch curation of each micro-batch, appended to the same table as batch loads and back-fills.
 
     At-least-once batches become exactly-once rows by the ledger of ids, which keeps no state in the stream, so
-    a redelivery is caught however late it comes and a late row is never dropped. Rejects go to
-    ``reject_path``, a folder per batch that a repeated batch replaces. A failing sink fails the query;
-    it restarts from the checkpoint.
+    a redelivery is caught however late it comes and a late row is never dropped. Rejects go to ``reject_path``, by default
+    ``_rejects`` beside the table (:func:`read_rejects`), a folder per checkpoint and batch that a repeated batch replaces. A failing
+    sink or judge fails the query; it restarts from the checkpoint, and answers that a judge gave are not asked for again.
+    ``options`` go to :func:`promptlens.operators.curate.deliveries`.
     """
-    run = curate_batch or (lambda batch: curate(batch, detectors, key))
+    folder = reject_path or rejects_of(path)
+    origin: list[str] = []
 
     def append(batch: DataFrame, batch_id: int) -> None:
-        append_once(run(batch), path, distinct=True)
-        if reject_path:
-            rejects(batch).write.mode("overwrite").parquet(f"{reject_path}/batch={batch_id}")
+        if not origin:  # the checkpoint's own id: another one numbers its batches from 0 again
+            line = batch.sparkSession.read.text(f"{checkpoint}/metadata").first()
+            origin.append(json.loads(line[0])["id"])
+        target = f"{folder}/origin={origin[0]}/batch={batch_id}"
+        if curate_batch is None:
+            load(batch, detectors, key, path, target, judge, **options)
+        else:
+            append_once(curate_batch(batch), path, distinct=True)
+            rejects(batch).write.mode("overwrite").parquet(target)
 
     writer = messages.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=interval)
     return writer.start()
 
 
-def backfill(messages: DataFrame, detectors: Sequence[D.Detector], key: ActorKey, path: str) -> int:
-    """Messages that the stream didn't get: the same transforms, table and ledger as a batch. Returns the rows added."""
-    return append_once(curate(messages, detectors, key), path, distinct=True)
+def rejects_of(path: str) -> str:
+    """Where the rejects of a table are kept, unless a caller names another folder; readers of the table skip it."""
+    return f"{path}/_rejects"
+
+
+def read_rejects(spark: SparkSession, path: str) -> DataFrame:
+    """(event_id, insert_id, reason, origin, batch) of all loads of a table."""
+    return spark.read.schema("event_id string, insert_id string, reason string, origin string, batch string").parquet(rejects_of(path))
+
+
+def backfill(messages: DataFrame, detectors: Sequence[D.Detector], key: ActorKey, path: str, judge: Judge | None = None, name: str | None = None, **options) -> int:
+    """Messages that the stream didn't get: the same transforms, table, ledger and rejects as a batch. Returns the rows added.
+
+    ``name`` is the back-fill's own; one that is repeated under its name replaces its rejects.
+    """
+    return load(messages, detectors, key, path, f"{rejects_of(path)}/origin=backfill/batch={name or uuid.uuid4().hex}", judge, **options)
 
 
 def governance_counters(rows: DataFrame, window: str = "1 hour", delay: str | None = None) -> DataFrame:

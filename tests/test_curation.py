@@ -151,14 +151,6 @@ def test_append_to_a_table_of_a_batch_load(spark, sf):
     assert append_once(C.curate(base.messages(spark, sf), base.DETECTORS, base.test_key(spark)), path) == 0
 
 
-def test_an_append_reads_its_own_buckets_only(spark, sf):
-    path = scratch_path(spark, "t")
-    append_once(C.curate(base.messages(spark, sf), base.DETECTORS, base.test_key(spark)), path)
-    plan = ledger.ledger_of(spark, path, [3, 7])._jdf.queryExecution().toString()
-    filters = plan[plan.index("PartitionFilters"):].split("]")[0]
-    assert "bucket" in filters
-
-
 def test_the_stored_table_has_its_descriptions(spark, sf):
     path = scratch_path(spark, "t")
     C.write_curated(C.curate(base.messages(spark, sf), base.DETECTORS, base.test_key(spark)), path)

@@ -5,7 +5,7 @@ from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from checks import base
-from promptlens.operators.curate import curate, read_curated
+from promptlens.operators.curate import curate, curate_and_reject, read_curated
 from promptlens.session import scratch_path
 from promptlens.sources.logs import message_stream
 from promptlens.streaming import stream as S
@@ -78,3 +78,86 @@ def test_distinct_actors_on_a_stream(spark, sf):
     ).trigger(availableNow=True).start().awaitTermination()
     days = spark.read.parquet(path)
     assert days.count() > 20 and days.agg(F.max("actors")).first()[0] <= 15
+
+
+def noting(folder, stub):
+    """A judge that leaves a note of each text it is asked about."""
+
+    def build():
+        import hashlib
+        import os
+
+        answer = stub()
+
+        def ask(texts):
+            for t in texts:
+                with open(os.path.join(folder, hashlib.sha256(t.encode()).hexdigest()), "a") as notes:
+                    notes.write("asked\n")
+            return answer(texts)
+
+        return ask
+
+    return build
+
+
+def asked(folder):
+    return {f.name: len(f.read_text().split()) for f in folder.iterdir()}
+
+
+def test_a_judge_on_a_stream_names_all_rejects_and_is_asked_once(spark, sf, tmp_path):
+    """Redeliveries, a restart without checkpoint and a back-fill: valid answers are asked for once, invalid ones twice."""
+    from checks.judging import stub_factory
+
+    notes = tmp_path / "asked"
+    notes.mkdir()
+    judge = S.Judge(noting(str(notes), stub_factory()))
+    path, key = scratch_path(spark, "out"), base.test_key(spark)
+    for attempt in range(2):
+        source = message_stream(spark, base.disturbed_path(spark, sf), fmt="parquet")
+        S.stream_curate(source, base.DETECTORS, key, path, scratch_path(spark, "state"), judge=judge).awaitTermination()
+    S.backfill(base.disturbed(spark, sf), base.DETECTORS, key, path, judge)
+    stored = set(ids(read_curated(spark, path)))
+    lost = S.read_rejects(spark, path)
+    invalid = {r.insert_id for r in lost.where("reason = 'invalid judgement after 2 attempts'").collect()}
+    want = set(ids(curate(base.disturbed(spark, sf), base.DETECTORS, key)))
+    assert stored and invalid and not stored & invalid and stored | invalid == want
+    per_load = lost.where("not reason like 'invalid judgement%'").groupBy("origin", "event_id", "reason").count()
+    _, bad = curate_and_reject(base.disturbed(spark, sf), base.DETECTORS, key)
+    named = {(r.event_id, r.reason) for r in bad.collect()}
+    loads = {}
+    for r in per_load.collect():
+        loads.setdefault(r.origin, set()).add((r.event_id, r.reason))
+    assert len(loads) == 3 and all(x == named for x in loads.values())
+    counts = asked(notes)
+    assert set(counts.values()) == {1, 2}
+    assert len(counts) <= len(stored | invalid) and list(counts.values()).count(2) <= len(invalid)
+
+
+def test_a_restart_after_answers_were_stored_asks_nothing_again(spark, sf, tmp_path, monkeypatch):
+    from checks.judging import stub_factory
+
+    notes = tmp_path / "asked"
+    notes.mkdir()
+    judge = S.Judge(noting(str(notes), stub_factory()))
+    path, state, key = scratch_path(spark, "out"), scratch_path(spark, "state"), base.test_key(spark)
+    source = message_stream(spark, base.messages_path(spark, sf), fmt="parquet")
+    with monkeypatch.context() as patch:
+        def fails(*_, **__):
+            raise RuntimeError("sink is down")
+
+        patch.setattr(S, "append_once", fails)
+        with pytest.raises(StreamingQueryException):
+            S.stream_curate(source, base.DETECTORS, key, path, state, judge=judge).awaitTermination()
+    before = asked(notes)
+    S.stream_curate(source, base.DETECTORS, key, path, state, judge=judge).awaitTermination()
+    assert before and asked(notes) == before and read_curated(spark, path).count() > 0
+
+
+def test_rejects_are_kept_by_default_and_replaced_by_a_repeated_batch(spark, sf):
+    path, key = scratch_path(spark, "out"), base.test_key(spark)
+    for _ in range(2):
+        S.backfill(base.disturbed(spark, sf), base.DETECTORS, key, path, name="june")
+    _, bad = curate_and_reject(base.disturbed(spark, sf), base.DETECTORS, key)
+    got = S.read_rejects(spark, path)
+    assert sorted(map(str, got.select("event_id", "insert_id", "reason").collect())) == sorted(map(str, bad.collect()))
+    assert read_curated(spark, path).count() == len(set(ids(curate(base.disturbed(spark, sf), base.DETECTORS, key))))

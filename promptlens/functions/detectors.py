@@ -113,12 +113,12 @@ MOST_TERMS = 20_000
 
 def dictionary_detectors(terms: DataFrame) -> tuple[Detector, ...]:
     """Detectors for a dictionary kept as a table (term, info_type), of any number of words; medical terms are
-    kept in the text, all others masked. Tables of more than ``MOST_TERMS`` rows are refused:
-    ``find_dictionary_terms`` reports those.
+    kept in the text, all others masked. A pattern is for small tables: one of more than ``MOST_TERMS`` rows
+    goes to ``deidentify(terms=...)``, which masks the same by joins, whatever the size.
     """
     rows = terms.select("term", "info_type").where("term != ''").distinct().limit(MOST_TERMS + 1).collect()
     if len(rows) > MOST_TERMS:
-        raise ValueError(f"more than {MOST_TERMS} terms")
+        raise ValueError(f"more than {MOST_TERMS} terms: give the table to deidentify(terms=...)")
     by_type: dict[str, list[str]] = {}
     for r in rows:
         by_type.setdefault(r["info_type"], []).append(r["term"])

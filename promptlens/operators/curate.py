@@ -7,6 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from promptlens import fixed_values as V
 from promptlens.functions import detectors as D
 from promptlens.functions import metrics as M
 from promptlens.functions.hashing import ActorKey
@@ -20,10 +21,11 @@ NUMBERS = ["latency_ms", "prompt_tokens", "response_tokens"]
 REQUIRED = ["insert_id", "event_timestamp", *NUMBERS]
 
 
-def masked_rows(entries: DataFrame, detectors: Sequence[D.Detector], key: ActorKey, style: str = "plain") -> DataFrame:
+def masked_rows(entries: DataFrame, detectors: Sequence[D.Detector], key: ActorKey, style: str = "plain", **options) -> DataFrame:
     """Entries to masked, pseudonymous rows in one narrow stage: nothing raw is left
-    when the first shuffle runs."""
-    return pseudonymise(finding_flags(deidentify(flatten(entries), detectors, key, style)))
+    when the first shuffle runs. ``options`` (``digits``, ``terms``, ``min_likelihood``) go to
+    :func:`promptlens.operators.deidentify.deidentify`, here and in all functions below."""
+    return pseudonymise(finding_flags(deidentify(flatten(entries), detectors, key, style, **options)))
 
 
 def has_key(df: DataFrame) -> DataFrame:
@@ -80,14 +82,14 @@ def drop_identity(df: DataFrame) -> DataFrame:
     return df.select(*(F.col(f.name).cast(f.dataType).alias(f.name, metadata=f.metadata) for f in curated_schema()))
 
 
-def curate_entries(entries: DataFrame, detectors: Sequence[D.Detector], key: ActorKey, judge: Callable[[DataFrame], DataFrame] = rule_judge, style: str = "plain", distinct: Callable[[DataFrame], DataFrame] | None = dedupe) -> DataFrame:
+def curate_entries(entries: DataFrame, detectors: Sequence[D.Detector], key: ActorKey, judge: Callable[[DataFrame], DataFrame] = rule_judge, style: str = "plain", distinct: Callable[[DataFrame], DataFrame] | None = dedupe, **options) -> DataFrame:
     """parse -> mask -> validate -> deduplicate -> judge -> derive -> 40 columns.
 
     Rows that cannot be stored go first, so a good redelivery of a bad first delivery counts;
     :func:`rejects` names them. Duplicates go before the judge, so a redelivery is never judged twice.
     ``distinct=None`` leaves duplicates in (their removal is then up to the sink).
     """
-    rows = masked_rows(entries, detectors, key, style).where(rejected(REQUIRED).isNull())
+    rows = masked_rows(entries, detectors, key, style, **options).where(rejected(REQUIRED).isNull())
     if distinct is not None:
         rows = distinct(rows)
     return drop_identity(add_metrics(judge(rows)))
@@ -115,14 +117,14 @@ def curate_and_reject(messages: DataFrame, detectors: Sequence[D.Detector], key:
 
 
 def curate_judged(
-    messages: DataFrame, detectors: Sequence[D.Detector], key: ActorKey, client_factory: Callable, stored: str, style: str = "plain", **options
+    messages: DataFrame, detectors: Sequence[D.Detector], key: ActorKey, client_factory: Callable, stored: str, style: str = "plain", batch_rows: int = V.CHUNK_ROWS, parallelism: int | None = None, **options
 ) -> tuple[DataFrame, DataFrame]:
     """Curation with an external judge: (rows, rejects), the latter with every answer that isn't valid.
 
     Answers are written to ``stored`` first, so each row is judged once however often rows and rejects are read.
     """
-    rows = dedupe(masked_rows(decode_messages(messages), detectors, key, style).where(rejected(REQUIRED).isNull()))
-    good, bad = validate_judge(store_judgements(judge_with(rows, client_factory, **options), stored))
+    rows = dedupe(masked_rows(decode_messages(messages), detectors, key, style, **options).where(rejected(REQUIRED).isNull()))
+    good, bad = validate_judge(store_judgements(judge_with(rows, client_factory, batch_rows, parallelism), stored))
     lost = bad.select(F.lit(None).cast("string").alias("event_id"), "insert_id", "reason")
     return drop_identity(add_metrics(good)), rejects(messages).unionByName(lost)
 

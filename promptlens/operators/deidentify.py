@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from promptlens import fixed_values as V
 from promptlens.functions import detectors as D
-from promptlens.functions.hashing import ActorKey, actor_hash, email_digest
+from promptlens.functions.hashing import DIGITS, ActorKey, actor_hash, email_digest
+from promptlens.operators.dictionary import mask_terms
 
 # Words of a dictionary term; possessive endings of the last one are left out.
 WORD_START = r"(?<![\p{L}0-9_])"
@@ -40,13 +41,17 @@ def finding_flags(df: DataFrame) -> DataFrame:
     )
 
 
-def deidentify(df: DataFrame, detectors: Sequence[D.Detector], key: ActorKey, style: str = "plain", min_likelihood: str = "POSSIBLE") -> DataFrame:
+def deidentify(
+    df: DataFrame, detectors: Sequence[D.Detector], key: ActorKey, style: str = "plain", min_likelihood: str = "POSSIBLE",
+    digits: int = DIGITS, terms: DataFrame | None = None,
+) -> DataFrame:
     """Redact the name, hash the email and mask the prompt in one narrow pass.
 
     Expects ``employee_name, employee_email, prompt_text``; gives
     ``employee_name`` (emptied), ``employee_email`` (base64 digest),
     ``anonymous_actor_hash``, ``prompt_text_masked`` and ``dlp_info_types``.
-    The raw prompt is gone.
+    The raw prompt is gone. ``digits`` is the length of actor ids. ``terms`` (term, info_type) is a dictionary of any
+    size, found and masked after the detectors by joins; only keyed digests and ciphertext move for it.
     """
     email = F.col("employee_email")
     found = inspect(df, detectors, min_likelihood=min_likelihood)
@@ -54,13 +59,12 @@ def deidentify(df: DataFrame, detectors: Sequence[D.Detector], key: ActorKey, st
         {
             "employee_name": F.lit(""),
             "employee_email": email_digest(email, key),
-            "anonymous_actor_hash": actor_hash(email, key),
+            "anonymous_actor_hash": actor_hash(email, key, digits),
         }
     )
     chosen = D.min_likelihood(detectors, min_likelihood)
-    return D.mask_column(
-        hashed, "prompt_text", "prompt_text_masked", "dlp_info_types", chosen, style
-    ).drop("prompt_text")
+    masked = D.mask_column(hashed, "prompt_text", "prompt_text_masked", "dlp_info_types", chosen, style)
+    return masked.drop("prompt_text") if terms is None else mask_terms(masked, terms, key)
 
 
 def pseudonymise(df: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from promptlens import fixed_values as V
-from promptlens.functions.hashing import ActorKey, actor_hash, email_digest
+from promptlens.functions.hashing import DIGITS, ActorKey, actor_hash, email_digest
 from promptlens.operators.normalize import IDENTITY
 
 
@@ -23,23 +23,24 @@ def unique_by(df: DataFrame, key: str) -> DataFrame:
     return one.select(F.when(F.col("n") == 1, F.col(key)).otherwise(twice).alias(key), *columns)
 
 
-def enrich_employee(df: DataFrame, roster: DataFrame, key: ActorKey) -> DataFrame:
+def enrich_employee(df: DataFrame, roster: DataFrame, key: ActorKey, digits: int = DIGITS) -> DataFrame:
     """Employee attributes by ``employee_id``, for rosters and tables of any size.
 
     The join may move rows, so nothing raw takes part, whatever the size: ids on both sides, names and
     emails of the roster become keyed digests first, and a frame with raw columns is refused (mask it
-    first). Gives ``employee_key``, ``anonymous_actor_hash``, ``department``, ``employee_role``, ``plant_location``, ``shift``.
+    first). Rows and roster lines without id meet nobody; ``digits`` is the length of actor ids. Gives ``employee_key``, ``anonymous_actor_hash``, ``department``, ``employee_role``, ``plant_location``, ``shift``.
     """
     raw = [c for c in IDENTITY if c in df.columns]
     if raw:
         raise ValueError(f"de-identify {raw} first: a join moves rows between executors")
     attributes = {"role": "employee_role", "department": "department", "plant_location": "plant_location", "shift": "shift"}
+    no_id = F.lit("")
     hidden = roster.select(
-        email_digest(F.col("employee_id"), key).alias("employee_key"), actor_hash(F.col("employee_email"), key).alias("anonymous_actor_hash"),
+        F.nullif(email_digest(F.col("employee_id"), key), no_id).alias("employee_key"), actor_hash(F.col("employee_email"), key, digits).alias("anonymous_actor_hash"),
         *(F.col(c).alias(name) for c, name in attributes.items()),
     )
-    hidden = unique_by(hidden, "employee_key")
-    rows = df.withColumn("employee_key", email_digest(F.col("employee_id"), key)).drop("employee_id", *hidden.columns[1:])
+    hidden = unique_by(hidden.where("employee_key is not null"), "employee_key")
+    rows = df.withColumn("employee_key", F.nullif(email_digest(F.col("employee_id"), key), no_id)).drop("employee_id", *hidden.columns[1:])
     return rows.join(hidden, "employee_key", "left")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from checks.base import DETECTORS, check, curated, flat, joined, masked, test_key
+from checks.base import DETECTORS, check, curated, entries, flat, joined, masked, test_key
 from checks.telemetry_sql import sql
 from promptlens import fixed_values as V
 from promptlens.functions import detectors as D
@@ -13,6 +13,7 @@ from promptlens.functions import hashing as H
 from promptlens.functions import sql as S
 from promptlens.operators import audit as A
 from promptlens.operators import deidentify as Deid
+from promptlens.operators.curate import masked_rows
 from promptlens.session import prepare
 from checks import telemetry as T
 
@@ -112,6 +113,27 @@ def mask_characters(spark: SparkSession, sf: str) -> DataFrame:
     return _prompts(spark, sf).select("insert_id", D.mask_text(F.col("prompt_text"), [lot]).alias("text"))
 
 
+def _many_terms(spark: SparkSession, sf: str) -> DataFrame:
+    """The subjects and the clinical terms among a term for each order line, tens of thousands of them."""
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet").select(F.format_string("Order %d Line %d", "l_orderkey", "l_linenumber").alias("term"), F.lit("ORDER").alias("info_type"))
+    known = [(n, V.PERSON) for n in T.SUBJECT_NAMES] + [(t, V.MEDICAL) for t in D.MEDICAL_TERMS]
+    return lines.union(spark.createDataFrame(known, "term string, info_type string"))
+
+
+@check("d7_dictionary_of_any_size", sql("SELECT insert_id, prompt_text_masked FROM masked", upto="masked"))
+def large_dictionary(spark: SparkSession, sf: str) -> DataFrame:
+    """A dictionary too large for a pattern, masked by joins on keyed digests."""
+    out = masked_rows(entries(spark, sf), D.PATTERN_DETECTORS, test_key(spark), terms=_many_terms(spark, sf))
+    return out.select("insert_id", "prompt_text_masked")
+
+
+@check("d8_dictionary_of_any_size", sql("SELECT insert_id, array_to_string(info_types, ',') AS types, f_med AS medical, is_toxic_combination AS toxic FROM masked", upto="masked"))
+def large_dictionary_flags(spark: SparkSession, sf: str) -> DataFrame:
+    """Types, flags and risk follow from the joined terms; medical ones ignore case and stay in the text."""
+    out = masked_rows(entries(spark, sf), D.PATTERN_DETECTORS, test_key(spark), terms=_many_terms(spark, sf))
+    return out.select("insert_id", joined("dlp_info_types", "types"), F.col("contains_medical_phi").alias("medical"), F.col("is_toxic_combination").alias("toxic"))
+
+
 # --- fixed values: a dictionary of terms of one to three words ---
 TERMS = [("filler", "MACHINE"), ("label scanner script", "SOFTWARE"), ("syrup yield", "FIGURE"), ("crush injury", "MEDICAL_TERM")]
 

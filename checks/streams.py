@@ -6,7 +6,8 @@ from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from checks.base import DETECTORS, check, disturbed, disturbed_path, messages_path, stamp, test_key
+from checks.base import DETECTORS, check, disturbed, disturbed_path, masked, messages_path, stamp, test_key
+from checks.judging import INPUT_SQL, stub_factory
 from checks.telemetry_sql import sql
 from promptlens.operators.curate import curate_and_reject, has_key, masked_rows, read_curated
 from promptlens.session import prepare, scratch_path
@@ -165,3 +166,39 @@ def accepted_and_rejected(spark: SparkSession, sf: str) -> DataFrame:
     rows, bad = curate_and_reject(disturbed(prepare(spark), sf), DETECTORS, test_key(spark))
     states = rows.select(F.lit("accepted").alias("state")).unionByName(bad.select(F.col("reason").alias("state")))
     return states.groupBy("state").agg(F.count("*").alias("n"))
+
+
+@check(
+    "t1_stream_rejects",
+    sql(
+        "SELECT event_id, NULL::VARCHAR AS insert_id, 'malformed' AS reason FROM msg WHERE broken AND NOT empty"
+        " UNION ALL SELECT event_id, insert_id, 'missing or invalid latency_ms' FROM delivered WHERE junk",
+        upto="delivered",
+    ),
+)
+def stream_rejects(spark: SparkSession, sf: str) -> DataFrame:
+    """Without being asked to, a stream keeps what it couldn't store, each delivery once."""
+    files = _files(spark, disturbed(prepare(spark), sf), "reject-files", 3)
+    path = scratch_path(spark, "with-rejects")
+    S.stream_curate(message_stream(spark, files, max_files=1, fmt="parquet"), DETECTORS, test_key(spark), path, scratch_path(spark, "reject-state")).awaitTermination()
+    return S.read_rejects(spark, path).select("event_id", "insert_id", "reason")
+
+
+@check(
+    "j3_stream_judge",
+    sql(
+        "SELECT department, count(*) AS prompts, count(*) FILTER (length(judge_input) % 10 <> 0) AS stored, count(*) FILTER (length(judge_input) % 10 = 0) AS invalid"
+        f" FROM ({INPUT_SQL.replace('SELECT insert_id,', 'SELECT insert_id, department,')}) GROUP BY 1",
+        upto="masked",
+    ),
+)
+def stream_judge(spark: SparkSession, sf: str) -> DataFrame:
+    """A stream with an external judge, run twice from its files: every row is stored or named, by its answer."""
+    path = scratch_path(spark, "judged-stream")
+    for attempt in range(2):
+        source = message_stream(prepare(spark), messages_path(spark, sf), fmt="parquet")
+        S.stream_curate(source, DETECTORS, test_key(spark), path, scratch_path(spark, "judged-state"), judge=S.Judge(stub_factory())).awaitTermination()
+    stored = read_curated(spark, path).select("insert_id", F.lit("stored").alias("state"))
+    lost = S.read_rejects(spark, path).where("reason like 'invalid judgement after%'").select("insert_id", F.lit("invalid").alias("state")).distinct()
+    states = masked(spark, sf).select("insert_id", "department").join(stored.unionByName(lost), "insert_id", "left")
+    return states.groupBy("department").agg(F.count("*").alias("prompts"), F.count_if(F.col("state") == "stored").alias("stored"), F.count_if(F.col("state") == "invalid").alias("invalid"))

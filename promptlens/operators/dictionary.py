@@ -31,19 +31,18 @@ def _digest(pad: Column, run: Column, folded: bool) -> Column:
     return F.substring(F.unhex(F.sha2(F.concat(pad, F.lit(b"i" if folded else b"c"), run.cast("binary")), 256)), 1, 16)
 
 
-def _runs(tokens: Column, lengths: list[int], spaced: bool, placed: bool) -> Column:
-    """(at, n, run) of every run of tokens that may be a term; ``at`` is 0 where only the finding counts."""
-    size = F.size(tokens)
+def _runs(tokens: Column, words: Column, lengths: list[int], spaced: bool, placed: bool) -> Column:
+    """(at, n, run) of every run of tokens that may be a term; ``words`` tells words from other tokens, ``at`` is 0
+    where only the finding counts."""
+    size, no = F.size(tokens), F.lit(False)
 
     def runs(n: int) -> Column:
         starts = F.when(size >= n, F.sequence(F.lit(1), size - n + 1)).otherwise(F.array().cast("array<int>"))
 
         def may_be(i: Column) -> Column:
-            first, before, after = (F.get(tokens, i + k) for k in (-1, -2, n - 1))
-            last = F.get(tokens, i + n - 2)
-            apart = ~(~_is_word(first) & F.coalesce(_is_word(before), F.lit(False)))
-            apart = apart & ~(~_is_word(last) & F.coalesce(_is_word(after), F.lit(False)))
-            return apart if spaced else apart & ~first.rlike(r"^\s")
+            first, last, before, after = (F.get(words, i + k) for k in (-1, n - 2, -2, n - 1))
+            apart = (first | ~F.coalesce(before, no)) & (last | ~F.coalesce(after, no))
+            return apart if spaced else apart & (first | (F.trim(F.get(tokens, i - 1)) != ""))
 
         def as_run(i: Column) -> Column:
             run = F.get(tokens, i - 1) if n == 1 else F.array_join(F.slice(tokens, i, F.lit(n)), "")
@@ -102,7 +101,7 @@ def mask_terms(df: DataFrame, terms: DataFrame, key: ActorKey, raw: str = "promp
     folded = F.col("info_type") == V.MEDICAL
     length = F.size(tokens(F.col("term")))
     # token counts of terms, as few as the longest term is long
-    shape = terms.groupBy(length.alias("n"), folded.alias("folded")).agg(F.max(F.col("term").rlike(r"^\s")).alias("spaced")).collect()
+    shape = terms.groupBy(length.alias("n"), folded.alias("folded")).agg(F.max(F.substring("term", 1, 1) == " ").alias("spaced")).collect()
     if not shape:
         return df.drop(raw)
     lengths, folds = sorted({r["n"] for r in shape}), sorted({r["folded"] for r in shape})
@@ -111,11 +110,13 @@ def mask_terms(df: DataFrame, terms: DataFrame, key: ActorKey, raw: str = "promp
     of = F.when(folded, _digest(pad, F.col("term"), True)).otherwise(_digest(pad, F.col("term"), False))
     known = terms.select(of.alias("digest"), "info_type").distinct()
     keyed = df.withColumn("_text_key", F.substring(F.unhex(F.sha2(F.concat(pad, F.lit(b"t"), F.col(raw).cast("binary")), 256)), 1, 16))
-    cut = keyed.select("_text_key", F.col(raw).alias("_raw"), F.col(masked).alias("_masked"))
-    own = _runs(tokens(F.col("_masked")), lengths, spaced, True)
-    also = F.when(F.col("_raw") != F.col("_masked"), _runs(tokens(F.col("_raw")), lengths, spaced, False))
-    runs = F.concat(own, F.coalesce(also, F.filter(own, lambda s: F.lit(False))))
-    spans = cut.where("_masked is not null").select("_text_key", F.inline(runs))
+    # through a generator, so that a text is cut once and not in every step over its tokens
+    both = F.inline(F.array(F.struct(tokens(F.col(masked)).alias("_tokens"), F.when(F.col(raw) != F.col(masked), tokens(F.col(raw))).alias("_raw_tokens"))))
+    cut = keyed.where(F.col(masked).isNotNull()).select("_text_key", both)
+    cut = cut.select("*", F.inline(F.array(F.struct(*(F.transform(c, _is_word).alias(f"{c}_words") for c in ("_tokens", "_raw_tokens"))))))
+    own = _runs(F.col("_tokens"), F.col("_tokens_words"), lengths, spaced, True)
+    also = F.when(F.col("_raw_tokens").isNotNull(), _runs(F.col("_raw_tokens"), F.col("_raw_tokens_words"), lengths, spaced, False))
+    spans = cut.select("_text_key", F.explode(F.array(own, also)).alias("_runs")).select("_text_key", F.inline("_runs"))
     digests = F.explode(F.array(*(_digest(pad, F.col("run"), f) for f in folds))).alias("digest")
     spans = spans.select("_text_key", "at", "n", digests)
     found = spans.join(known, "digest").groupBy("_text_key").agg(F.collect_set(F.struct("info_type", "at", "n")).alias("_found"))
@@ -127,6 +128,7 @@ def mask_terms(df: DataFrame, terms: DataFrame, key: ActorKey, raw: str = "promp
     there = F.transform(found, lambda s: s["info_type"])
     new_types = F.array_sort(F.array_union(types, there))
     spans = _chosen(F.filter("_found", lambda s: F.array_contains(there, s["info_type"])))
-    text = F.when(F.size("_spans") > 0, _rebuilt(tokens(F.col(masked)), F.col("_spans"))).otherwise(F.col(masked))
     out = joined.withColumn(types, F.coalesce(new_types, F.col(types))).withColumn("_spans", F.when(F.col("_found").isNotNull(), spans))
+    out = out.select("*", F.inline(F.array(F.struct(F.when(F.size("_spans") > 0, tokens(F.col(masked))).alias("_tokens")))))
+    text = F.when(F.col("_tokens").isNotNull(), _rebuilt(F.col("_tokens"), F.col("_spans"))).otherwise(F.col(masked))
     return out.withColumn(masked, text).select(*(c for c in df.columns if c != raw))

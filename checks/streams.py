@@ -6,13 +6,14 @@ from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from checks.base import DETECTORS, check, disturbed, disturbed_path, masked, messages_path, stamp, test_key
+from checks.base import DETECTORS, check, curated, disturbed, disturbed_path, masked, messages_path, stamp, test_key
 from checks.judging import INPUT_SQL, stub_factory
 from checks.telemetry_sql import sql
 from promptlens.operators.curate import curate_and_reject, has_key, masked_rows, read_curated
 from promptlens.session import prepare, scratch_path
 from promptlens.sources.logs import decode_messages, message_stream
 from promptlens.streaming import stream as S
+from promptlens.streaming.bounded import BoundedCounters
 
 FACTS = "insert_id, anonymous_actor_hash, dlp_risk_level, level, functional_intent, minutes::BIGINT AS minutes, rewritten"
 
@@ -202,3 +203,21 @@ def stream_judge(spark: SparkSession, sf: str) -> DataFrame:
     lost = S.read_rejects(spark, path).where("reason like 'invalid judgement after%'").select("insert_id", F.lit("invalid").alias("state")).distinct()
     states = masked(spark, sf).select("insert_id", "department").join(stored.unionByName(lost), "insert_id", "left")
     return states.groupBy("department").agg(F.count("*").alias("prompts"), F.count_if(F.col("state") == "stored").alias("stored"), F.count_if(F.col("state") == "invalid").alias("invalid"))
+
+
+@check(
+    "t5_watermark_settled",
+    sql(
+        "SELECT strftime(date_trunc('hour', event_timestamp), '%Y-%m-%d %H:%M:%S.%g') AS window_start, pillar, count(*) AS total_prompts, count(*) FILTER (len(info_types) > 0) AS dlp_flagged_prompts,"
+        " count(*) FILTER (f_ssn) AS ssn_prompts, count(*) FILTER (is_toxic_combination) AS toxic_combination_prompts FROM masked GROUP BY 1, 2",
+        upto="masked",
+    ),
+)
+def bounded(spark: SparkSession, sf: str) -> DataFrame:
+    """State for two days only, over files out of time order: windows close, and those with late rows are counted again."""
+    files = _files(spark, prepare(spark).read.parquet(messages_path(spark, sf)), "bounded-files", 3)
+    rows = has_key(masked_rows(decode_messages(message_stream(spark, files, max_files=1, fmt="parquet")), DETECTORS, test_key(spark)))
+    counters = BoundedCounters(scratch_path(spark, "bounded"))
+    counters.start(rows, scratch_path(spark, "bounded-state")).awaitTermination()
+    out = counters.settled(curated(spark, sf))
+    return out.withColumn("window_start", stamp("window_start")).drop("window_end")

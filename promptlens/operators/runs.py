@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -126,8 +127,11 @@ class Runs:
         found = [p.join(keys, self.key, "left_semi") if few is None else p.where(F.col(self.key).isin(few)) for p in self.parts()]
         return reduce(DataFrame.unionByName, found) if found else None
 
-    def compact(self) -> None:
-        """Merge the runs of each size class that has FANOUT of them, the smallest first."""
+    def compact(self, keep: Callable[[DataFrame], DataFrame] | None = None, name: Callable[[list[Run]], str] | None = None) -> None:
+        """Merge the runs of each size class that has FANOUT of them, the smallest first.
+
+        ``keep`` leaves out rows that need not be kept, ``name`` names the merged run.
+        """
         tier = 0
         while True:
             runs = self.live()
@@ -136,7 +140,9 @@ class Runs:
             due = [r for r in runs if r.tier == tier]
             if len(due) >= FANOUT:
                 together = reduce(DataFrame.unionByName, (self.read(r) for r in due))
-                self.mark(self.write(together, sum(r.rows for r in due), tier=tier + 1))
+                together = keep(together) if keep else together
+                tag = f"{name(due)}-{uuid.uuid4().hex[:8]}" if name else None
+                self.mark(self.write(together, sum(r.rows for r in due), tag, tier + 1))
                 for r in due:
                     self.drop(r)
             tier += 1

@@ -6,9 +6,10 @@ from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from checks.base import DETECTORS, check, curated, disturbed, disturbed_path, masked, messages_path, stamp, test_key
+from checks.base import DETECTORS, check, curated, disturbed, disturbed_path, masked, messages, messages_path, stamp, test_key
 from checks.judging import INPUT_SQL, stub_factory
 from checks.telemetry_sql import sql
+from promptlens.operators.counters import kept
 from promptlens.operators.curate import curate_and_reject, has_key, masked_rows, read_curated
 from promptlens.session import prepare, scratch_path
 from promptlens.sources.logs import decode_messages, message_stream
@@ -221,3 +222,32 @@ def bounded(spark: SparkSession, sf: str) -> DataFrame:
     counters.start(rows, scratch_path(spark, "bounded-state")).awaitTermination()
     out = counters.settled(curated(spark, sf))
     return out.withColumn("window_start", stamp("window_start")).drop("window_end")
+
+
+@check(
+    "d32_counters_while_writing",
+    sql(
+        "SELECT (SELECT count(*) FROM msg WHERE NOT empty) AS delivered, (SELECT count(*) FROM msg WHERE broken AND NOT empty) AS malformed,"
+        " (SELECT count(*) FROM delivered WHERE junk) AS rejected, (SELECT count(*) FROM accepted) AS stored",
+        upto="delivered",
+    ),
+)
+def counters(spark: SparkSession, sf: str) -> DataFrame:
+    """Totals of three micro-batches of disturbed messages, as their writes counted them."""
+    files = _files(spark, disturbed(prepare(spark), sf), "counted-files", 3)
+    path = scratch_path(spark, "counted")
+    S.stream_curate(message_stream(spark, files, max_files=1, fmt="parquet"), DETECTORS, test_key(spark), path, scratch_path(spark, "counted-state")).awaitTermination()
+    return kept(spark, path).agg(*(F.sum(c).alias(c) for c in ("delivered", "malformed", "rejected", "stored")))
+
+
+@check(
+    "d32_flags_while_writing",
+    sql(
+        "SELECT count(*) AS stored, count(*) FILTER (len(info_types) > 0) AS flagged, count(*) FILTER (f_ssn) AS ssn, count(*) FILTER (is_toxic_combination) AS toxic FROM masked",
+        upto="masked",
+    ),
+)
+def flags_while_writing(spark: SparkSession, sf: str) -> DataFrame:
+    path = scratch_path(spark, "flagged")
+    S.backfill(messages(spark, sf), DETECTORS, test_key(spark), path)
+    return kept(spark, path).select("stored", "flagged", "ssn", "toxic")

@@ -73,6 +73,14 @@ def touch_file(spark: SparkSession, path: str) -> None:
     fs.create(p, True).close()
 
 
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small file, in place of one that is there."""
+    p, fs = _file(spark, path)
+    out = fs.create(p, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
 def remove_file(spark: SparkSession, path: str) -> None:
     """Remove a file, or a folder with its files; one that is gone already is no error."""
     p, fs = _file(spark, path)

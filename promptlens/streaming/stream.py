@@ -11,13 +11,14 @@ import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from promptlens import fixed_values as V
 from promptlens.functions import detectors as D
 from promptlens.functions.hashing import ActorKey
+from promptlens.operators.counters import DELIVERED, STORED, Loaded, keep, observe
 from promptlens.operators.curate import add_metrics, dedupe, deliveries, drop_identity, named, rejects
 from promptlens.operators.judge import answers_at, judge_stored, rule_judge
 from promptlens.operators.ledger import append_once, append_staged, ledger, recover
@@ -45,8 +46,9 @@ class Judge:
     parallelism: int | None = None
 
 
-def load(messages: DataFrame, detectors: Sequence[D.Detector], key: ActorKey, path: str, reject_path: str, judge: Judge | None = None, **options) -> int:
-    """One batch of messages into the table: new rows are stored, every delivery that can't be is named. Returns the rows added.
+def load(messages: DataFrame, detectors: Sequence[D.Detector], key: ActorKey, path: str, reject_path: str, judge: Judge | None = None, **options) -> Loaded:
+    """One batch of messages into the table: new rows are stored, every delivery that can't be is named. Returns the totals,
+    which are counted while the rows are written.
 
     Messages are parsed and masked once, into the shared folder. Rejects replace what ``reject_path`` holds, so a
     repeated batch names each once; with a judge they include the rows whose answers stayed invalid. Redeliveries
@@ -54,20 +56,25 @@ def load(messages: DataFrame, detectors: Sequence[D.Detector], key: ActorKey, pa
     """
     spark = messages.sparkSession
     staged = scratch_path(spark, "delivered")
-    deliveries(messages, detectors, key, **options).write.parquet(staged)
+    came, stored = Observation(), Observation()
+    observe(deliveries(messages, detectors, key, **options), DELIVERED, came).write.parquet(staged)
     delivered = spark.read.parquet(staged)
+    counts = dict(came.get)
     bad, good = named(delivered), delivered.where("reason is null")
     if judge is None:
-        count = append_staged(good, path, lambda new: drop_identity(add_metrics(rule_judge(dedupe(new)))))
+        count = append_staged(good, path, lambda new: observe(drop_identity(add_metrics(rule_judge(dedupe(new)))), STORED, stored))
     else:
         recover(spark, path)
         new = dedupe(ledger(spark, path).without(good, good.count()))
         store = answers_at(spark, f"{path}/_answers")
         judged, lost = judge_stored(new, judge.client_factory, store, judge.attempts, batch_rows=judge.batch_rows, parallelism=judge.parallelism)
-        count = append_once(drop_identity(add_metrics(judged)), path, distinct=True)
+        staged = scratch_path(spark, "judged")
+        drop_identity(add_metrics(judged)).write.parquet(staged)
+        count = append_staged(spark.read.parquet(staged), path, lambda new: observe(new, STORED, stored))
         bad = bad.unionByName(lost)
-    bad.write.mode("overwrite").parquet(reject_path)
-    return count
+    refused = Observation()
+    observe(bad, {"judged_invalid": "reason like 'invalid judgement%'"}, refused).write.mode("overwrite").parquet(reject_path)
+    return Loaded(**counts, **refused.get, **(stored.get if count else {}))
 
 
 def stream_curate(
@@ -80,6 +87,7 @@ def stream_curate(
     a redelivery is caught however late it comes and a late row is never dropped. Rejects go to ``reject_path``, by default
     ``_rejects`` beside the table (:func:`read_rejects`), a folder per checkpoint and batch that a repeated batch replaces. A failing
     sink or judge fails the query; it restarts from the checkpoint, and answers that a judge gave are not asked for again.
+    Totals of each batch are counted by its writes and kept beside the table (:func:`promptlens.operators.counters.kept`).
     ``options`` go to :func:`promptlens.operators.curate.deliveries`.
     """
     folder = reject_path or rejects_of(path)
@@ -91,7 +99,7 @@ def stream_curate(
             origin.append(json.loads(line[0])["id"])
         target = f"{folder}/origin={origin[0]}/batch={batch_id}"
         if curate_batch is None:
-            load(batch, detectors, key, path, target, judge, **options)
+            keep(batch.sparkSession, path, origin[0], str(batch_id), load(batch, detectors, key, path, target, judge, **options))
         else:
             append_once(curate_batch(batch), path, distinct=True)
             rejects(batch).write.mode("overwrite").parquet(target)
@@ -116,7 +124,10 @@ def backfill(messages: DataFrame, detectors: Sequence[D.Detector], key: ActorKey
 
     ``name`` is the back-fill's own; one that is repeated under its name replaces its rejects.
     """
-    return load(messages, detectors, key, path, f"{rejects_of(path)}/origin=backfill/batch={name or uuid.uuid4().hex}", judge, **options)
+    name = name or uuid.uuid4().hex
+    loaded = load(messages, detectors, key, path, f"{rejects_of(path)}/origin=backfill/batch={name}", judge, **options)
+    keep(messages.sparkSession, path, "backfill", name, loaded)
+    return loaded.stored
 
 
 def governance_counters(rows: DataFrame, window: str = "1 hour", delay: str | None = None) -> DataFrame:

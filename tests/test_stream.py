@@ -1,10 +1,14 @@
 """Streams: equal to batch, safe under redelivery, restart and failure."""
 
+import time
+
 import pytest
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from checks import base
+from promptlens.operators.audit import run_counters
+from promptlens.operators.counters import STORED, Loaded, Totals, kept, observe
 from promptlens.operators.curate import curate, curate_and_reject, read_curated
 from promptlens.session import scratch_path
 from promptlens.sources.logs import message_stream
@@ -145,7 +149,7 @@ def test_a_restart_after_answers_were_stored_asks_nothing_again(spark, sf, tmp_p
         def fails(*_, **__):
             raise RuntimeError("sink is down")
 
-        patch.setattr(S, "append_once", fails)
+        patch.setattr(S, "append_staged", fails)
         with pytest.raises(StreamingQueryException):
             S.stream_curate(source, base.DETECTORS, key, path, state, judge=judge).awaitTermination()
     before = asked(notes)
@@ -161,3 +165,40 @@ def test_rejects_are_kept_by_default_and_replaced_by_a_repeated_batch(spark, sf)
     got = S.read_rejects(spark, path)
     assert sorted(map(str, got.select("event_id", "insert_id", "reason").collect())) == sorted(map(str, bad.collect()))
     assert read_curated(spark, path).count() == len(set(ids(curate(base.disturbed(spark, sf), base.DETECTORS, key))))
+
+
+def test_totals_come_from_the_writes(spark, sf):
+    """Two micro-batches with redeliveries and a back-fill: their totals add up to those of one batch."""
+    files = scratch_path(spark, "in")
+    for part in parts(spark, sf, 2, disturbed=True):
+        part.coalesce(1).write.mode("append").json(files)
+    path, key = scratch_path(spark, "out"), base.test_key(spark)
+    S.stream_curate(message_stream(spark, files, max_files=1), base.DETECTORS, key, path, scratch_path(spark, "state")).awaitTermination()
+    assert S.backfill(base.disturbed(spark, sf), base.DETECTORS, key, path, name="all") == 0
+    rows, bad = curate_and_reject(base.disturbed(spark, sf), base.DETECTORS, key)
+    want = run_counters(rows).first()
+    loads = kept(spark, path)
+    got = loads.where("origin != 'backfill'").agg(*(F.sum(c).alias(c) for c in Loaded.__dataclass_fields__)).first()
+    assert (got.stored, got.flagged, got.ssn, got.toxic) == (want.total_rows, want.flagged_rows, want.ssn_rows, want.toxic_rows)
+    assert (got.malformed, got.rejected) == (bad.where("reason = 'malformed'").count(), bad.where("reason != 'malformed'").count())
+    assert got.delivered == base.disturbed(spark, sf).where("length(data) > 0").count() and loads.count() == 3
+    assert loads.where("origin = 'backfill'").first().stored == 0
+
+
+def test_a_listener_sums_what_a_stream_observes(spark, sf):
+    source = scratch_path(spark, "in")
+    base.curated(spark, sf).repartition(4).write.parquet(source)
+    totals = Totals("rows")
+    spark.streams.addListener(totals)
+    try:
+        rows = spark.readStream.schema(base.curated(spark, sf).schema).option("maxFilesPerTrigger", 1).parquet(source)
+        query = observe(rows, STORED, "rows").writeStream.format("noop").option("checkpointLocation", scratch_path(spark, "state")).trigger(availableNow=True).start()
+        query.awaitTermination()
+        for _ in range(100):
+            if totals.totals().get("stored") == 1000:
+                break
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(totals)
+    want = run_counters(base.curated(spark, sf)).first()
+    assert totals.totals() == {"stored": want.total_rows, "flagged": want.flagged_rows, "ssn": want.ssn_rows, "toxic": want.toxic_rows}

@@ -17,6 +17,7 @@ from promptlens.functions import payload as P
 from promptlens.operators import curate as C
 from promptlens.operators.ledger import append_once
 from promptlens.operators import enrich as E
+from promptlens.operators.normalize import flatten
 from promptlens.operators.judge import judge_with
 from promptlens.schema import curated_schema
 from promptlens.session import scratch_path
@@ -153,18 +154,18 @@ def trace(spark: SparkSession, sf: str) -> DataFrame:
 
 @check(
     "s12_micro_batch",
-    "SELECT 'all rows' AS what, count(*) AS n FROM events UNION ALL SELECT 'largest call', least(250, count(*)) FROM events",
+    "SELECT 'all rows' AS what, count(*) AS n FROM events UNION ALL SELECT 'in calls of over 250', 0",
 )
 def micro_batch(spark: SparkSession, sf: str) -> DataFrame:
-    """External calls get 250 records each at most, and just as many where there are more."""
+    """External calls get 250 records each at most, over all tasks."""
 
     def client_factory():
         return lambda batch: [json.dumps({"calls": len(batch)})] * len(batch)
 
-    judged = judge_with(masked(spark, sf).coalesce(1), client_factory)
+    judged = judge_with(masked(spark, sf), client_factory)
     size = F.get_json_object("judge_json", "$.calls").cast("bigint")
-    counts = judged.agg(F.count("*").alias("rows"), F.max(size).alias("largest"))
-    return counts.select(F.inline(F.array(F.struct(F.lit("all rows").alias("what"), F.col("rows").alias("n")), F.struct(F.lit("largest call").alias("what"), F.col("largest").alias("n")))))
+    counts = judged.agg(F.count("*").alias("rows"), F.count_if(size > 250).alias("over"))
+    return counts.select(F.inline(F.array(F.struct(F.lit("all rows").alias("what"), F.col("rows").alias("n")), F.struct(F.lit("in calls of over 250").alias("what"), F.col("over").alias("n")))))
 
 
 @check(
@@ -542,3 +543,29 @@ def title(spark: SparkSession, sf: str) -> DataFrame:
     rows = T.prompts(events(spark, sf))
     insert_id = F.concat(F.lit("log-"), F.col("event_id").cast("string")).alias("insert_id")
     return rows.select(insert_id, P.title(names).alias("title"), P.capitalize(F.col("prompt_text")).alias("capitalized"))
+
+
+_FIELDS = {"department": "Unknown", "employee_role": "Unknown", "plant_location": "Unknown", "shift": "Unknown", "pillar": "Unknown"}
+
+
+@check(
+    "p1_null_is_not_absent",
+    "SELECT event_id AS id, " + ", ".join(
+        f"CASE event_id // {3 ** i} % 3 WHEN 0 THEN '{default}' WHEN 2 THEN 'v' || user_id END AS {name}" for i, (name, default) in enumerate(_FIELDS.items())
+    ) + ", 'Unknown' AS loose FROM events",
+)
+def strict_fields(spark: SparkSession, sf: str) -> DataFrame:
+    """Every pattern of absent, null and given over the five fields; loosely read, null counts as absent."""
+    id, user = F.col("event_id").cast("bigint"), F.col("user_id").cast("string")
+
+    def field(i: int, name: str) -> F.Column:
+        case = F.floor(id / 3**i) % 3
+        return F.when(case == 1, f'"{name}": null').when(case == 2, F.concat(F.lit(f'"{name}": "v'), user, F.lit('"')))
+
+    body = F.concat_ws(", ", *(field(i, name) for i, name in enumerate(_FIELDS)))
+    text = F.concat(F.lit('{"insertId": "'), id.cast("string"), F.lit('", "jsonPayload": {'), body, F.lit("}}"))
+    sent = events(spark, sf).select(id.cast("string").alias("event_id"), F.base64(text.cast("binary")).alias("data"))
+    strict = flatten(L.decode_messages(sent, strict=True)).select("insert_id", *_FIELDS)
+    nulls = F.base64(F.lit('{"jsonPayload": {"shift": null}}').cast("binary"))
+    loose = flatten(L.decode_messages(sent.select("event_id", nulls.alias("data")))).select("insert_id", F.col("shift").alias("loose"))
+    return strict.join(loose, "insert_id").select(F.col("insert_id").cast("bigint").alias("id"), *_FIELDS, "loose")

@@ -14,6 +14,8 @@ from promptlens.functions import metrics as M
 from promptlens.operators import curate as C
 from promptlens.operators import enrich as E
 from promptlens.plans import reports as R
+from promptlens.plans import sketches as K
+from promptlens.session import scratch_path
 from promptlens.sources import dimensions as Dim
 from promptlens.sources import logs as L
 from checks import telemetry as T
@@ -478,3 +480,38 @@ def union(spark: SparkSession, sf: str) -> DataFrame:
         F.col("insertId").alias("insert_id"), p["leaf_agent"].alias("leaf_agent")
     )
     return L.union_streams(chat, agent).select("insert_id", "leaf_agent", "ge_app_id")
+
+
+# ---- sketches of days ------------------------------------------------------------
+
+@check("a2_actors_of_a_span", sql("SELECT department AS unit, count(*) AS prompts, TRUE AS close FROM curated WHERE event_timestamp >= TIMESTAMP '2024-01-10' GROUP BY 1"))
+def actors_of_a_span(spark: SparkSession, sf: str) -> DataFrame:
+    """Distinct actors over the stored sketches of some days, within three per cent of the exact count."""
+    path = scratch_path(spark, "actor-sketches")
+    K.write_sketches(K.actor_sketches(curated(spark, sf)), path)
+    about = K.distinct_actors(spark.read.parquet(path).where("event_date >= '2024-01-10'"))
+    exact = curated(spark, sf).where("event_date >= '2024-01-10'").groupBy(F.col("department").alias("unit")).agg(F.countDistinct("anonymous_actor_hash").alias("exact"))
+    return about.join(exact, "unit").select("unit", "prompts", (F.abs(F.col("actors") - F.col("exact")) <= 0.03 * F.col("exact")).alias("close"))
+
+
+@check(
+    "q17_performance_of_a_span",
+    sql(
+        " UNION ALL ".join(
+            f"SELECT interaction_type, leaf_agent, '{m}' AS metric, count(*) AS prompts, {mean2(f'sum({m})', 'count(*)', 1)} AS mean, max({m})::BIGINT AS max, TRUE AS close"
+            " FROM curated WHERE event_timestamp >= TIMESTAMP '2024-01-10' GROUP BY 1, 2"
+            for m in ("latency_ms", "prompt_tokens", "response_tokens")
+        )
+    ),
+)
+def performance_of_a_span(spark: SparkSession, sf: str) -> DataFrame:
+    """Percentiles over the stored sketches of some days; their ranks are within two per cent of what was asked."""
+    path = scratch_path(spark, "performance-sketches")
+    K.write_sketches(K.performance_sketches(curated(spark, sf)), path)
+    about = K.performance_of(spark.read.parquet(path).where("event_date >= '2024-01-10'"))
+    rows = curated(spark, sf).where("event_date >= '2024-01-10'").select("interaction_type", "leaf_agent", F.inline(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).alias("v")) for m in R.PERFORMANCE))))
+    keys = ["interaction_type", "leaf_agent", "metric"]
+    # a value holds all ranks from those below it to those up to it
+    ranks = rows.join(about, keys).groupBy(*keys).agg(*(F.avg((F.col("v") < F.col(p)).cast("double")).alias(f"{p}_low") for p in ("p50", "p95")), *(F.avg((F.col("v") <= F.col(p)).cast("double")).alias(f"{p}_high") for p in ("p50", "p95")))
+    close = (F.col("p50_low") <= 0.52) & (F.col("p50_high") >= 0.48) & (F.col("p95_low") <= 0.97) & (F.col("p95_high") >= 0.93)
+    return about.join(ranks, keys).select(*keys, "prompts", "mean", "max", close.alias("close"))

@@ -13,6 +13,12 @@ def field_or(col: Column, default: str) -> Column:
     return F.coalesce(col, F.lit(default))
 
 
+def field_or_null(col: Column, default: str) -> Column:
+    """A variant field's text; ``default`` where it is absent, null where null is present."""
+    text = F.coalesce(F.try_variant_get(col, "$", "string"), F.to_json(col))
+    return F.when(col.isNull(), F.lit(default)).when(~F.is_variant_null(col), text)
+
+
 def connectors_or_empty(col: Column) -> Column:
     return F.coalesce(col, F.array().cast("array<string>"))
 

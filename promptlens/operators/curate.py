@@ -95,9 +95,9 @@ def curate_entries(entries: DataFrame, detectors: Sequence[D.Detector], key: Act
     return drop_identity(add_metrics(judge(rows)))
 
 
-def curate(messages: DataFrame, detectors: Sequence[D.Detector], key: ActorKey, **options) -> DataFrame:
-    """Message envelopes (event_id, data) to curated rows."""
-    return curate_entries(decode_messages(messages), detectors, key, **options)
+def curate(messages: DataFrame, detectors: Sequence[D.Detector], key: ActorKey, strict: bool = False, **options) -> DataFrame:
+    """Message envelopes (event_id, data) to curated rows; with ``strict`` a present null in the sender's fields stays null."""
+    return curate_entries(decode_messages(messages, strict), detectors, key, **options)
 
 
 def rejects(messages: DataFrame) -> DataFrame:
@@ -129,13 +129,13 @@ def curate_judged(
     return drop_identity(add_metrics(good)), rejects(messages).unionByName(lost)
 
 
-def deliveries(messages: DataFrame, detectors: Sequence[D.Detector], key: ActorKey, style: str = "plain", **options) -> DataFrame:
+def deliveries(messages: DataFrame, detectors: Sequence[D.Detector], key: ActorKey, style: str = "plain", strict: bool = False, **options) -> DataFrame:
     """Every message but empty ones, parsed once: masked columns, ``event_id``, and ``reason`` where it can't be stored.
 
     What a sink with two outputs starts from: rows without reason go on, the others are :func:`named`. Duplicates
     are still in it, raw text isn't.
     """
-    entries = F.explode(F.array(parse_entry(message_text(F.col("data"))))).alias("entry")
+    entries = F.explode(F.array(parse_entry(message_text(F.col("data")), strict))).alias("entry")
     entries = drop_empty_messages(messages).select("event_id", entries).withColumn("malformed", is_corrupt(F.col("entry")))
     flat = flatten(entries, ["event_id", "malformed"])
     rows = pseudonymise(finding_flags(deidentify(flat, detectors, key, style, **options)))

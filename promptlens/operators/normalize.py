@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import VariantType
 
 from promptlens import fixed_values as V
 from promptlens.functions import payload as P
@@ -25,22 +26,25 @@ def project_chat(native: Column, field: Column) -> Column:
 
 def flatten(entries: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """(event_id, entry) to flat columns, and those to ``keep`` as they are. Raw identity and prompt are still present;
-    :func:`promptlens.operators.deidentify.deidentify` must follow before any shuffle."""
+    :func:`promptlens.operators.deidentify.deidentify` must follow before any shuffle. Absent and null fields both get their
+    default; of strictly parsed entries department, role, plant, shift and pillar keep a present null."""
     e, p = F.col("entry"), F.col("entry.jsonPayload")
     connectors = P.connectors_or_empty(p["connectors_queried"])
     kind = interaction_type(p)
     native = kind == V.CHAT
+    strict = isinstance(entries.schema["entry"].dataType["jsonPayload"].dataType["department"].dataType, VariantType)
+    text_or = P.field_or_null if strict else P.field_or
     columns = {
         "insert_id": P.insert_id_or_event_id(e["insertId"], F.col("event_id")),
         "event_timestamp": P.parse_event_time(e["timestamp"]),
         "interaction_type": kind,
         "trace_id": P.last_segment(e["trace"]),
         "span_id": P.field_or(e["spanId"], ""),
-        "department": P.field_or(p["department"], "Unknown"),
-        "employee_role": P.field_or(p["employee_role"], "Unknown"),
-        "plant_location": P.field_or(p["plant_location"], "Unknown"),
-        "shift": P.field_or(p["shift"], "Unknown"),
-        "pillar": P.field_or(p["pillar"], "Unknown"),
+        "department": text_or(p["department"], "Unknown"),
+        "employee_role": text_or(p["employee_role"], "Unknown"),
+        "plant_location": text_or(p["plant_location"], "Unknown"),
+        "shift": text_or(p["shift"], "Unknown"),
+        "pillar": text_or(p["pillar"], "Unknown"),
         "root_agent": project_chat(native, p["root_agent"]),
         "leaf_agent": project_chat(native, p["leaf_agent"]),
         "agent_tree_path": F.when(native, P.chat_path(connectors)).otherwise(

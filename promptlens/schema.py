@@ -44,6 +44,16 @@ LOG_ENTRY = T.StructType(
     ]
 )
 
+#: Fields of which a present null isn't an absent field.
+NULLABLE_FIELDS = ["department", "employee_role", "plant_location", "shift", "pillar"]
+
+
+def strict_entry() -> T.StructType:
+    """The log entry with those fields as variants, which tell null from absent, of the same single parse."""
+    payload = T.StructType([_f(f.name, T.VariantType() if f.name in NULLABLE_FIELDS else f.dataType) for f in PAYLOAD])
+    return T.StructType([_f(f.name, payload if f.name == "jsonPayload" else f.dataType) for f in LOG_ENTRY])
+
+
 ROSTER = T.StructType(
     [
         _f(name, STRING)

@@ -7,15 +7,16 @@ from pyspark.sql import functions as F
 
 from promptlens import fixed_values as V
 from promptlens.functions import payload as P
-from promptlens.schema import CORRUPT, LOG_ENTRY
+from promptlens.schema import CORRUPT, LOG_ENTRY, strict_entry
 
 STREAMS = {"chat": V.CHAT_STREAM, "agent": V.AGENT_STREAM}
 
 
-def parse_entry(text: Column) -> Column:
-    """JSON text to a log entry; undecodable text keeps its raw form in the corrupt field."""
+def parse_entry(text: Column, strict: bool = False) -> Column:
+    """JSON text to a log entry; undecodable text keeps its raw form in the corrupt field. A ``strict`` entry tells a
+    null from an absent field where that matters."""
     return F.from_json(
-        text, LOG_ENTRY, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+        text, strict_entry() if strict else LOG_ENTRY, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
     )
 
 
@@ -59,14 +60,14 @@ def message_text(data: Column) -> Column:
     return F.try_validate_utf8(F.try_to_binary(data, F.lit("base64")).cast("string"))
 
 
-def decode_messages(messages: DataFrame) -> DataFrame:
+def decode_messages(messages: DataFrame, strict: bool = False) -> DataFrame:
     """(event_id, data) to (event_id, entry), malformed rows dropped.
 
     The parsed entry passes through a generator, so that it is parsed once:
     a plain filter on it would be pushed below and parse every text twice.
     """
     entries = F.filter(
-        F.array(parse_entry(message_text(F.col("data")))), lambda e: ~is_corrupt(e)
+        F.array(parse_entry(message_text(F.col("data")), strict)), lambda e: ~is_corrupt(e)
     )
     return drop_empty_messages(messages).select("event_id", F.explode(entries).alias("entry"))
 

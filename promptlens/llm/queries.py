@@ -100,15 +100,14 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_flow_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From 12 shards by source, of very different sizes, to 8 of equal bytes."""
     docs, old = table(spark, sf_dir, "documents"), F.pmod(F.xxhash64("source"), F.lit(12))
-    rows = reshard.reshard(docs, old, 12, 8)
-    target = scratch_path(spark, "shards")
-    untouched = reshard.rewrite(docs, rows, target)
+    plan, target = reshard.plan(docs, old, 12, 8), scratch_path(spark, "shards")
+    untouched = reshard.rewrite(docs, plan, target)
     # what the new files hold, and the rows of the shards whose files stay
     written = spark.read.schema(docs.withColumns({"slot": F.lit(0).cast("long"), "shard": F.lit(0)}).schema).parquet(target)
     content = F.coalesce("text", F.lit(""))
     size, crc = F.octet_length(content) + F.lit(1).cast("long"), F.crc32(content)
     written = written.select("doc_id", size.alias("size"), crc.alias("text_crc32"), F.coalesce(old.cast("int"), F.lit(0)).alias("old_shard"), "shard", "slot")
-    rows = written.unionByName(rows.where(F.col("shard").isin(untouched)))
+    rows = written.unionByName(reshard.assigned(docs, plan, untouched)) if untouched else written
     law, grown = F.lit("bytes").alias("law"), F.lit(None).cast("int").alias("grown_shard")
     return rows.select("doc_id", "size", "text_crc32", law, "shard", "slot", grown, "old_shard")
 

@@ -153,7 +153,7 @@ def test_rewritten_shards_hold_their_rows(spark, sf):
     old = F.when(F.col("doc_id") < 40, 0).when(F.col("doc_id") < 80, 1).otherwise(2)
     assigned = reshard.reshard(docs, old, 3, 3, blocks=16)
     path = scratch_path(spark, "shards")
-    kept = reshard.rewrite(docs, assigned, path)
+    kept = reshard.rewrite(docs, reshard.plan(docs, old, 3, 3, blocks=16), path)
     back = spark.read.parquet(path)
     want = {r.doc_id: (r.shard, r.slot) for r in assigned.collect() if r.shard not in kept}
     assert {r.doc_id: (r.shard, r.slot) for r in back.collect()} == want
@@ -525,13 +525,13 @@ def test_every_equal_run_lies_in_a_passage(spark):
 
 def test_resharding_writes_the_shards_it_reports(spark, sf, texts, monkeypatch):
     calls, write = [], reshard.rewrite
-    monkeypatch.setattr(reshard, "rewrite", lambda docs, assigned, path: calls.append((path, assigned, write(docs, assigned, path))) or calls[-1][2])
+    monkeypatch.setattr(reshard, "rewrite", lambda docs, plan, path: calls.append((path, plan, write(docs, plan, path))) or calls[-1][2])
     rows = {r.doc_id: r for r in Q["op4_flow_resharding"](spark, sf).collect()}
     assert len(calls) == 1 and set(rows) == set(texts)
-    path, assigned, untouched = calls[0]
+    path, plan, untouched = calls[0]
     written = {r.doc_id: r for r in spark.read.parquet(path).collect()}
     assert set(written) == {k for k, r in rows.items() if r.shard not in untouched}
     assert all((w.shard, w.slot, w.text) == (rows[k].shard, rows[k].slot, texts[k]) for k, w in written.items())
-    for a in assigned.collect():
+    for a in reshard.assigned(queries.table(spark, sf, "documents"), plan).collect():
         r = rows[a.doc_id]
         assert (r["size"], r.text_crc32, r.old_shard, r.shard, r.slot) == (a["size"], a.text_crc32, a.old_shard, a.shard, a.slot)

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from promptlens import fixed_values as V
 from promptlens.functions import detectors as D
@@ -15,6 +17,7 @@ from promptlens.operators.deidentify import deidentify, finding_flags, pseudonym
 from promptlens.operators.judge import judge_with, rule_judge, store_judgements, validate_judge
 from promptlens.operators.normalize import flatten
 from promptlens.schema import CLUSTER_KEYS, NOT_NULL, curated_schema
+from promptlens.session import file_names
 from promptlens.sources.logs import decode_messages, drop_empty_messages, is_corrupt, message_text, parse_entry, quarantine_malformed
 
 NUMBERS = ["latency_ms", "prompt_tokens", "response_tokens"]
@@ -167,8 +170,43 @@ def write_curated(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     writer.partitionBy("event_date").parquet(path)
 
 
+COMPACTED = "_compacted"
+
+
+def compacted_dates(spark: SparkSession, path: str) -> dict[str, tuple[str, int]]:
+    """Date to (run, cutoff): the run of a compaction that stands for the date's files up to a modification time in milliseconds."""
+    out: dict[str, tuple[str, int]] = {}
+    for name in file_names(spark, f"{path}/{COMPACTED}/_done"):
+        date, run, cutoff = name.split(".")
+        if int(cutoff) > out.get(date, ("", -1))[1]:
+            out[date] = run, int(cutoff)
+    return out
+
+
 def read_curated(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    """The table as it stands now: of dates that were compacted the compacted files and what was added since.
+
+    A reader keeps the files it was planned with; they stay until :func:`promptlens.operators.compact.vacuum`.
+    """
+    return reduce(DataFrame.unionByName, table_parts(spark, path))
+
+
+def table_parts(spark: SparkSession, path: str) -> list[DataFrame]:
+    """The files as they were added, and those that a compaction merged."""
+    dates = compacted_dates(spark, path)
+    if not dates:
+        return [spark.read.parquet(path)]
+    schema = T.StructType([*curated_schema().fields, T.StructField("event_date", T.DateType())])
+
+    def of(values: dict, kind: str) -> F.Column:
+        return F.create_map(*(F.lit(x) for pair in values.items() for x in pair))[F.col("event_date").cast("string")].cast(kind)
+
+    cutoff = of({d: c for d, (_, c) in dates.items()}, "long")
+    written = F.unix_millis("_metadata.file_modification_time")
+    added = spark.read.schema(schema).parquet(path).where(cutoff.isNull() | (written > cutoff))
+    merged = spark.read.schema(schema.add("run", "string")).parquet(f"{path}/{COMPACTED}")
+    merged = merged.where(F.col("run") == of({d: r for d, (r, _) in dates.items()}, "string")).drop("run")
+    return [added, merged]
 
 
 def export_jsonl(df: DataFrame, path: str) -> None:

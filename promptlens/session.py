@@ -91,3 +91,9 @@ def file_names(spark: SparkSession, path: str) -> list[str]:
     """Names of a folder's files, sorted; none where there is no folder."""
     p, fs = _file(spark, path)
     return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
+
+
+def file_times(spark: SparkSession, path: str) -> list[tuple[str, int]]:
+    """(name, modification time in milliseconds) of a folder's files."""
+    p, fs = _file(spark, path)
+    return [(s.getPath().getName(), s.getModificationTime()) for s in fs.listStatus(p)] if fs.exists(p) else []

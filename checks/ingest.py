@@ -15,6 +15,7 @@ from checks.telemetry_sql import sql
 from promptlens import fixed_values as V
 from promptlens.functions import payload as P
 from promptlens.operators import curate as C
+from promptlens.operators.compact import compact, vacuum
 from promptlens.operators.ledger import append_once
 from promptlens.operators import enrich as E
 from promptlens.operators.normalize import flatten
@@ -569,3 +570,19 @@ def strict_fields(spark: SparkSession, sf: str) -> DataFrame:
     nulls = F.base64(F.lit('{"jsonPayload": {"shift": null}}').cast("binary"))
     loose = flatten(L.decode_messages(sent.select("event_id", nulls.alias("data")))).select("insert_id", F.col("shift").alias("loose"))
     return strict.join(loose, "insert_id").select(F.col("insert_id").cast("bigint").alias("id"), *_FIELDS, "loose")
+
+
+@check(
+    "s15_compacted",
+    sql("SELECT strftime(event_timestamp, '%Y-%m-%d') AS event_date, interaction_type, count(*) AS n, count(DISTINCT insert_id) AS ids FROM curated GROUP BY ALL"),
+)
+def compacted(spark: SparkSession, sf: str) -> DataFrame:
+    """Five appends, merged, one of them appended again: each row once, from the merged files."""
+    path, rows = scratch_path(spark, "small-files"), curated(spark, sf).drop("event_date")
+    for i in range(5):
+        C.write_curated(rows.where(F.pmod(F.xxhash64("insert_id"), F.lit(5)) == i), path, "append")
+    compact(spark, path, most_files=1)
+    append_once(rows.where(F.pmod(F.xxhash64("insert_id"), F.lit(5)) == 0), path)
+    vacuum(spark, path)
+    table = C.read_curated(spark, path)
+    return table.groupBy(F.col("event_date").cast("string").alias("event_date"), "interaction_type").agg(F.count("*").alias("n"), F.countDistinct("insert_id").alias("ids"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from promptlens.llm import text as X
 from promptlens.llm.graph import _kept, components
+from promptlens.llm.lattice import keys
 
 WORDS = 5
 PERCENT = 80
@@ -18,6 +19,7 @@ BANDS = 40
 ROWS = 6
 BLOCK_SETS = 512  # documents of a cluster that are compared with as many others in one call
 BLOCK_VALUES = 1 << 20  # and the set elements they may hold together, on average
+CALLS = 1024  # groups that small clusters are dealt to at least; more where a group would hold more elements than a block
 
 _EMPTY = np.uint64((1 << 64) - 1)
 
@@ -34,7 +36,7 @@ def shingle_sets(texts: pa.Array, words: int):
     for first, last, data, offsets in X.pieces(texts):
         low = X.lower_ascii(data)
         start, end, row = X.word_spans(~_white()[low], offsets)
-        h = X.span_hashes(X.prefix_sums(low), start, end)
+        h = keys(low, start, end)
         cuts = np.searchsorted(row, np.arange(last - first + 1))
         out = []
         for a, b in zip(cuts[:-1], cuts[1:]):
@@ -197,6 +199,7 @@ def near_duplicates(
     stars = components(candidate_stars(classes))
     nodes = stars.join(classes.select(F.col("rep").alias("id"), "n"), "id")
     shape = nodes.groupBy("component").agg(F.count("*").alias("size"), F.sum("n").alias("values"))
+    calls = max(CALLS, -(-(shape.agg(F.sum("values")).first()[0] or 0) // BLOCK_VALUES))
     blocks = F.ceil(F.greatest(F.col("size") / BLOCK_SETS, F.col("values") / BLOCK_VALUES)).cast("int").alias("blocks")
     nodes = nodes.join(shape.select("component", blocks), "component")
     nodes = nodes.select("id", F.col("component").alias("cluster"), F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("block"), "blocks")
@@ -206,7 +209,7 @@ def near_duplicates(
     tasks = full.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     tasks = tasks.select("id", "cluster", i, j, F.when(F.col("block") == F.col("other"), 0).otherwise(F.when(F.col("block") < F.col("other"), 0).otherwise(1)).alias("side"), "blocks", "data")
     # small clusters share a call; the pairs of blocks of a large one have calls of their own
-    deal = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("cluster"), F.lit(1024))).otherwise(F.xxhash64("cluster", "i", "j"))
+    deal = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("cluster"), F.lit(calls))).otherwise(F.xxhash64("cluster", "i", "j"))
     links = tasks.withColumn("deal", deal).groupBy("deal").applyInArrow(_verify(percent), "a long, b long")
     found = components(links)
     reps = signed.drop("bands").join(classes.drop("bands"), sets, "left")

@@ -2,6 +2,7 @@
 
 import hashlib
 import heapq
+import math
 import re
 import zlib
 from collections import defaultdict
@@ -158,9 +159,11 @@ def damaged(conv: int | None, rows: list[tuple]) -> list[tuple]:
     return out
 
 
-def segmentations(word: bytes, pieces: dict[bytes, float]) -> float:
-    """Sum over all segmentations of the product of their pieces' weights."""
-    ways = [1.0] + [0.0] * len(word)
+def segmentations(word: bytes, pieces: dict[bytes, float], longest: int = 64) -> float:
+    """Natural logarithm of the sum, over all segmentations, of the product of their pieces' weights."""
+    ways = [0.0]
     for j in range(1, len(word) + 1):
-        ways[j] = sum(ways[i] * pieces[word[i:j]] for i in range(j) if word[i:j] in pieces)
+        parts = [ways[i] + math.log(pieces[word[i:j]]) for i in range(max(0, j - longest), j) if pieces.get(word[i:j])]
+        most = max(parts, default=-math.inf)
+        ways.append(most + math.log(sum(math.exp(p - most) for p in parts)) if parts else most)
     return ways[-1]

@@ -13,6 +13,7 @@ from promptlens import fixed_values as V
 from promptlens.functions import metrics as M
 from promptlens.operators import curate as C
 from promptlens.operators import enrich as E
+from promptlens.operators import trigrams as G
 from promptlens.plans import reports as R
 from promptlens.plans import sketches as K
 from promptlens.session import scratch_path
@@ -515,3 +516,12 @@ def performance_of_a_span(spark: SparkSession, sf: str) -> DataFrame:
     ranks = rows.join(about, keys).groupBy(*keys).agg(*(F.avg((F.col("v") < F.col(p)).cast("double")).alias(f"{p}_low") for p in ("p50", "p95")), *(F.avg((F.col("v") <= F.col(p)).cast("double")).alias(f"{p}_high") for p in ("p50", "p95")))
     close = (F.col("p50_low") <= 0.52) & (F.col("p50_high") >= 0.48) & (F.col("p95_low") <= 0.97) & (F.col("p95_high") >= 0.93)
     return about.join(ranks, keys).select(*keys, "prompts", "mean", "max", close.alias("close"))
+
+
+@check("f4_substring_in_few_files", sql("SELECT insert_id, entity AS operational_entity FROM curated WHERE entity LIKE '%Line 3%' OR entity LIKE '%Lot #402%'"))
+def substring_in_few_files(spark: SparkSession, sf: str) -> DataFrame:
+    """The substring filter over a table whose files have trigram filters."""
+    path = scratch_path(spark, "indexed")
+    C.write_curated(curated(spark, sf).drop("event_date"), path)
+    G.index_files(spark, path)
+    return G.holding(spark, path, V.INCIDENT_TERMS).select("insert_id", "operational_entity")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from promptlens.llm import chain, forest, grade, lattice, minhash, order, packing, repair, reshard, suffix, tokens, trie, wumanber
+from promptlens.llm.conversation_sql import OP11_SQL, OP13_SQL
 from promptlens.llm.sequence import digest, numbered
 from promptlens.session import scratch_path
 
@@ -151,6 +152,9 @@ def rebuilt(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return heads.select(names).unionByName(tails.select(names)), each.select("conv", "n")
 
 
+ORACLES["op11_prefix_trie"] = OP11_SQL
+
+
 @query
 def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.prefix_trie(*rebuilt(spark, sf_dir)).drop("name")
@@ -177,6 +181,9 @@ def op12_lattice_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+ORACLES["op13_structure_repair"] = OP13_SQL
+
+
 @query
 def op13_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations")

@@ -7,6 +7,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -101,6 +102,18 @@ def test_no_conversations(spark, tmp_path):
     assert Q["op11_prefix_trie"](spark, sf).collect() == [] and Q["op13_structure_repair"](spark, sf).collect() == []
 
 
+@pytest.mark.parametrize("name", ["op11_prefix_trie", "op13_structure_repair"])
+def test_sql_says_the_same(spark, sf, tmp_path, name):
+    odd = written(spark, tmp_path, [*ODD, (None, 1, "user", "nobody's"), (None, None, "assistant", "either.")])
+    for folder, files in ((sf, "conversations.parquet"), (odd, "conversations.parquet/*.parquet")):
+        con = duckdb.connect()
+        con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{folder}/{files}'")
+        got = Q[name](spark, folder)
+        rows = con.execute(queries.ORACLES[name])
+        assert [d[0] for d in rows.description] == got.columns
+        assert sorted(map(str, rows.fetchall())) == sorted(str(tuple(r)) for r in got.collect())
+
+
 def test_op13(spark, sf, conversations):
     want = {(c, *plain.repaired(plain.damaged(c, rows))) for c, rows in conversations.items()}
     got = Q["op13_structure_repair"](spark, sf).collect()

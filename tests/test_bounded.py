@@ -46,11 +46,11 @@ def small_merges(monkeypatch):
 def test_state_stays_small_windows_close_and_late_rows_are_settled(spark, small_merges):
     rng, counters = random.Random(3), B.BoundedCounters(scratch_path(spark, "counters"), delay="3 hours")
     every, sizes, emitted = [], [], []
-    for batch in range(14):
+    for batch in range(11):
         rows = [row(100 * batch + i, batch + rng.random(), rng.choice(["HR", "Ops"])) for i in range(12)]
         rows += rng.sample(every, min(len(every), 4)) if batch % 3 else every[-6:]  # redeliveries, old and new
-        if batch in (7, 12):
-            rows.append(row(100 * batch + 50, 0.5))  # a first delivery seven and twelve hours late
+        if batch in (6, 9):
+            rows.append(row(100 * batch + 50, 0.5))  # a first delivery six and nine hours late
         every += rows
         counters.add(table(spark, rows), batch)
         seen = B.Seen(spark, f"{counters.path}/seen", batch)
@@ -58,10 +58,10 @@ def test_state_stays_small_windows_close_and_late_rows_are_settled(spark, small_
         closed = counters.closed(spark).select("window_start", "pillar").collect()
         assert len(closed) == len(set(closed))
         emitted.append(len(closed))
-    assert max(sizes[7:]) <= 1.5 * max(sizes[:7])  # no growth with the stream
-    assert emitted[-1] > emitted[6] > 0
+    assert max(sizes[6:]) <= 1.5 * max(sizes[:6])  # no growth with the stream
+    assert emitted[-1] > emitted[5] > 0
     late = counters.late(spark).collect()
-    assert {"id-750", "id-1250"} <= {r.insert_id for r in late}
+    assert {"id-650", "id-950"} <= {r.insert_id for r in late}
     by_table = table(spark, list({r[0]: r for r in reversed(every)}.values())).withColumn("event_date", F.to_date("event_timestamp"))
     assert counts(counters.settled(by_table)) == truth(every)
     assert len(file_names(spark, f"{counters.path}/open")) <= 3

@@ -103,11 +103,11 @@ def test_a_small_append_reads_a_part_that_shrinks_with_its_size(spark, small):
 
 def test_runs_of_a_size_are_merged(spark, small):
     runs = R.Runs(spark, scratch_path(spark, "runs"), "insert_id", SCHEMA)
-    for i in range(50):
+    for i in range(20):
         runs.mark(runs.write(ids(spark, range(10 * i, 10 * i + 10)), 10))
         runs.compact()
-    assert len(runs.live()) == 6 + 2 and sum(r.rows for r in runs.live()) == 500
-    assert runs.rows().select("insert_id").distinct().count() == runs.rows().count() == 500
+    assert len(runs.live()) == 2 + 4 and sum(r.rows for r in runs.live()) == 200
+    assert runs.rows().select("insert_id").distinct().count() == runs.rows().count() == 200
     assert len(file_names(spark, runs.path)) == len(runs.live()) + 1  # nothing else is left lying
 
 
@@ -143,7 +143,7 @@ def test_random_appends_with_failures_leave_each_id_once(spark, sf, small, monke
     C.curate(base.messages(spark, sf), base.DETECTORS, base.test_key(spark)).write.parquet(stored)
     rows = spark.read.parquet(stored)
     wanted: set = set()
-    for step in range(10):
+    for step in range(6):
         part = rows.where(F.pmod(F.xxhash64("insert_id", F.lit(rng.randint(0, 3))), F.lit(5)) == rng.randint(0, 4))
         fate = rng.choice(["good", "good", "before", "after", "mark"])
         with monkeypatch.context() as patch:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
@@ -15,6 +17,21 @@ def columns(rows: np.ndarray) -> bytes:
     return b"".join(np.ascontiguousarray(rows[f]).tobytes() for f in rows.dtype.names)
 
 
+def planes(rows: np.ndarray) -> bytes:
+    """Field after field and in each byte after byte: ids and places, alike in their upper bytes, compress to few."""
+    return b"".join(np.ascontiguousarray(np.ascontiguousarray(rows[f]).view(np.uint8).reshape(len(rows), -1).T).tobytes() for f in rows.dtype.names)
+
+
+def rows_of_planes(data: bytes, kind: np.dtype) -> np.ndarray:
+    n = len(data) // kind.itemsize
+    out, at = np.empty(n, dtype=kind), 0
+    for f in kind.names:
+        size = kind[f].itemsize
+        out[f] = np.ascontiguousarray(np.frombuffer(data, np.uint8, n * size, at).reshape(size, n).T).view(kind[f]).ravel()
+        at += n * size
+    return out
+
+
 def rows_of(data: bytes, kind: np.dtype) -> np.ndarray:
     n = len(data) // kind.itemsize
     out, at = np.empty(n, dtype=kind), 0
@@ -24,19 +41,19 @@ def rows_of(data: bytes, kind: np.dtype) -> np.ndarray:
     return out
 
 
-def pack(key: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
+def pack(key: np.ndarray, rows: np.ndarray, encode: Callable[[np.ndarray], bytes] = columns) -> pa.RecordBatch:
     """A record (k, data) for each key with all its rows."""
     order = np.argsort(key, kind="stable")
     key, rows = key[order], rows[order]
     edge = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
     ends = np.append(edge[1:], len(key))
     return pa.RecordBatch.from_arrays(
-        [pa.array(key[edge], pa.int64()), pa.array([columns(rows[a:b]) for a, b in zip(edge, ends)], pa.binary())], ["k", "data"]
+        [pa.array(key[edge], pa.int64()), pa.array([encode(rows[a:b]) for a, b in zip(edge, ends)], pa.binary())], ["k", "data"]
     )
 
 
-def unpack(table: pa.Table, kind: np.dtype) -> np.ndarray:
-    parts = [rows_of(x, kind) for x in table.column("data").to_pylist()]
+def unpack(table: pa.Table, kind: np.dtype, decode: Callable[[bytes, np.dtype], np.ndarray] = rows_of) -> np.ndarray:
+    parts = [decode(x, kind) for x in table.column("data").to_pylist()]
     return np.concatenate(parts) if parts else np.empty(0, dtype=kind)
 
 

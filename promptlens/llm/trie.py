@@ -85,42 +85,46 @@ def named(turns: DataFrame) -> DataFrame:
     return rows.select("conv", "d", "bytes", "name", parent.alias("up"))
 
 
+_TEXTS = pa.schema([("name", pa.binary()), ("first", pa.int64()), ("ids", pa.string())])
+_HASHED = pa.schema([("name", pa.binary()), ("ends_sha256", pa.string())])
+
+
+def _rows(rows: list[tuple], kind: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows) if rows else [[]] * len(kind), kind)], schema=kind)
+
+
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorted (name, conv) to texts of at most ENDS ids each: (name, first, ids)."""
     name, ids = None, []
-
-    def out() -> pa.RecordBatch:
-        return pa.RecordBatch.from_pydict({"name": [name], "first": [ids[0]], "ids": [",".join(map(str, ids))]}, schema=pa.schema([("name", pa.binary()), ("first", pa.int64()), ("ids", pa.string())]))
-
     for batch in batches:
+        done = []
         for n, c in zip(batch.column("name").to_pylist(), batch.column("conv").to_pylist()):
             if ids and (n != name or len(ids) == ENDS):
-                yield out()
+                done.append((name, ids[0], ",".join(map(str, ids))))
                 ids = []
             name = n
             ids.append(c)
+        yield _rows(done, _TEXTS)
     if ids:
-        yield out()
+        yield _rows([(name, ids[0], ",".join(map(str, ids)))], _TEXTS)
 
 
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorted (name, first, ids) to the SHA-256 of each name's ids; only the running hash is held."""
     name, running = None, None
-
-    def out() -> pa.RecordBatch:
-        return pa.RecordBatch.from_pydict({"name": [name], "ends_sha256": [running.hexdigest()]}, schema=pa.schema([("name", pa.binary()), ("ends_sha256", pa.string())]))
-
     for batch in batches:
+        done = []
         for n, text in zip(batch.column("name").to_pylist(), batch.column("ids").to_pylist()):
             if n != name:
                 if running is not None:
-                    yield out()
+                    done.append((name, running.hexdigest()))
                 name, running = n, hashlib.sha256()
             else:
                 running.update(b",")
             running.update(text.encode())
+        yield _rows(done, _HASHED)
     if running is not None:
-        yield out()
+        yield _rows([(name, running.hexdigest())], _HASHED)
 
 
 def _ends(lasts: DataFrame) -> DataFrame:

@@ -489,11 +489,11 @@ def test_lanes_give_the_matches_of_one_shard():
         lanes, out = {}, []
         for k, data in sent.items():
             table, key = pa.table({"k": [k] * len(data), "data": pa.array(data, pa.binary())}), (pa.scalar(k),)
-            out.append(chain.unpack(chain._link(4)(key, table), chain.MATCH))
+            out.append(chain.unpack(chain._link(4)(key, table), chain.MATCH, chain.rows_of_planes))
             for r in chain._to_lanes(2)(key, table).to_pylist():
                 lanes.setdefault(r["k"], []).append(r["data"])
         for k, data in lanes.items():
-            out.append(chain.unpack(chain._link_lane(4)((pa.scalar(k),), pa.table({"k": [k] * len(data), "data": pa.array(data, pa.binary())})), chain.MATCH))
+            out.append(chain.unpack(chain._link_lane(4)((pa.scalar(k),), pa.table({"k": [k] * len(data), "data": pa.array(data, pa.binary())})), chain.MATCH, chain.rows_of_planes))
         assert np.array_equal(np.sort(np.concatenate(out)), whole)
 
 

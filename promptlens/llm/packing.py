@@ -1,8 +1,7 @@
-"""Packing token sequences into fixed room by sums of squares, settled by best fit."""
+"""Packing token sequences into fixed room by sums of squares."""
 
 from __future__ import annotations
 
-import bisect
 import zlib
 
 import numpy as np
@@ -16,6 +15,7 @@ from promptlens.llm.tokens import encode_batch
 #: Documents whose pieces are packed together, on average. Each group leaves at most a few
 #: sequences open, so larger groups gain little.
 GROUP_DOCS = 100_000
+_NONE = np.iinfo(np.int64).max
 
 
 def pieces_of(size: int, room: int) -> list[tuple[int, int]]:
@@ -53,9 +53,10 @@ def _cut(path: str, ranks, room: int, end: int | None, with_ids: bool):
     return cut
 
 
-def sum_of_squares(sizes: np.ndarray, room: int) -> list[list[int]]:
+def sum_of_squares(sizes: np.ndarray, room: int, sparing: bool = False) -> list[list[int]]:
     """Sequences as lists of places in ``sizes``, each placed where the squared counts of open sequences
-    per remaining room sum to least; an open sequence goes before a new one on a tie."""
+    per remaining room sum to least; an open sequence goes before a new one on a tie, and on a tie of open ones the one
+    that is left with least room. If ``sparing``, a new one is opened only where no open one has room."""
     count = np.zeros(room + 1, dtype=np.int64)  # open sequences by the room they have left
     open_at: list[list[int]] = [[] for _ in range(room + 1)]
     out: list[list[int]] = []
@@ -64,11 +65,11 @@ def sum_of_squares(sizes: np.ndarray, room: int) -> list[list[int]]:
             out.append([k])
             continue
         here = count[size:room]
-        change = np.where(here > 0, 2 * (count[: room - size] - here) + 2, np.iinfo(np.int64).max)
+        change = np.where(here > 0, 2 * (count[: room - size] - here) + 2, _NONE)
         if here[0]:
             change[0] = 1 - 2 * here[0]  # it is full then and no longer counts
         best = int(change.argmin())
-        if change[best] <= 2 * count[room - size] + 1:
+        if change[best] <= (_NONE - 1 if sparing else 2 * count[room - size] + 1):
             left = best
             sequence = open_at[best + size].pop()
             count[best + size] -= 1
@@ -83,33 +84,18 @@ def sum_of_squares(sizes: np.ndarray, room: int) -> list[list[int]]:
     return out
 
 
-def best_fit(sizes: np.ndarray, order: np.ndarray, room: int) -> list[list[int]]:
-    """Sequences of the given places, each put where least room is left over."""
-    out: list[list[int]] = []
-    gaps: list[tuple[int, int]] = []
-    for k in order.tolist():
-        size = int(sizes[k])
-        at = bisect.bisect_left(gaps, (size, -1))
-        if at < len(gaps):
-            gap, sequence = gaps.pop(at)
-        else:
-            gap, sequence = room, len(out)
-            out.append([])
-        out[sequence].append(k)
-        if gap > size:
-            bisect.insort(gaps, (gap - size, sequence))
-    return out
-
-
 def pack_sizes(sizes: np.ndarray, room: int) -> list[list[int]]:
-    """Largest first by sums of squares; the sequences left open are then packed again by best fit."""
+    """Largest first by sums of squares, in two ways, of which the one with fewer sequences is taken: sparing from the
+    start; or free to open sequences, with the pieces of those that stay open placed once more, sparing."""
     order = np.argsort(-sizes, kind="stable")
-    packed = [order[x].tolist() for x in sum_of_squares(sizes[order], room)]
-    full = [x for x in packed if int(sizes[x].sum()) == room]
-    rest = np.array(sorted((k for x in packed if int(sizes[x].sum()) < room for k in x), key=lambda k: (-int(sizes[k]), k)), dtype=np.int64)
-    again = best_fit(sizes, rest, room)
-    still = len(packed) - len(full)
-    return full + again if len(again) <= still else packed
+
+    def placed(of: np.ndarray, sparing: bool) -> list[list[int]]:
+        return [of[x].tolist() for x in sum_of_squares(sizes[of], room, sparing)]
+
+    spare, free = placed(order, True), placed(order, False)
+    full = [x for x in free if int(sizes[x].sum()) == room]
+    rest = sorted((k for x in free if int(sizes[x].sum()) < room for k in x), key=lambda k: (-int(sizes[k]), k))
+    return min(spare, full + placed(np.array(rest, dtype=np.int64), True), key=len)
 
 
 def _pack(room: int):

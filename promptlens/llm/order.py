@@ -19,6 +19,7 @@ from promptlens.session import scratch_path
 ROUNDS = 6
 SHARD_ROWS = 8192
 BLOCK_ROWS = 256  # records of a shard that are stored as one value
+FILE_SHARDS = 4  # shards that follow each other in one file, which one task sorts and writes
 BUCKETS = 1024  # the driver sees one count for each
 
 
@@ -42,12 +43,19 @@ def permuted(index: np.ndarray, n: int, key: int, inverse: bool = False) -> np.n
     return out.astype(np.int64)
 
 
+def body_of(ids: np.ndarray, end: int | None, kind: str) -> bytes:
+    """The ids, and ``end`` if given, in the stored width; ids that don't fit are an error."""
+    if len(ids) and int(ids.max()) > np.iinfo(kind).max:
+        raise ValueError(f"token id {int(ids.max())} needs wide records")
+    return (np.append(ids, np.uint32(end)) if end is not None else ids).astype(kind).tobytes()
+
+
 def _encode(path: str, ranks, end: int | None, kind: str, length: int):
     def encode(batches):
         part, before = TaskContext.get().partitionId(), 0
         for batch in batches:
             for first, rows in encode_batch(X.column(batch, "text"), path, ranks):
-                bodies = [(np.append(ids, np.uint32(end)) if end is not None else ids).astype(kind).tobytes() for ids in rows]
+                bodies = [body_of(ids, end, kind) for ids in rows]
                 n = np.array([max(1, -(-len(b) // (length * np.dtype(kind).itemsize))) for b in bodies], dtype=np.int64)
                 own = batch.slice(first, len(rows))
                 yield pa.RecordBatch.from_arrays(
@@ -108,7 +116,7 @@ def _blocks(batches):
 
 def materialise(
     docs: DataFrame, path: str, target: str, key: int, ranks: tuple | None = None, length: int = 1024, end: int | None = None, pad: int = 0, wide: bool = False,
-    id: str = "doc_id", text: str = "text", shard_rows: int = SHARD_ROWS, by_id: bool = False,
+    id: str = "doc_id", text: str = "text", shard_rows: int = SHARD_ROWS, by_id: bool = False, file_shards: int = FILE_SHARDS,
 ) -> int:
     """Write all texts' token sequences to ``target`` in training order; returns how many there are.
 
@@ -117,15 +125,21 @@ def materialise(
     (hash bucket, then id), which moves the ids once more but doesn't depend on how the input is laid out. The keyed permutation gives each
     number its slot. Shard s holds the slots from s * ``shard_rows``
     on, each record as ``length`` little-endian 16-bit numbers (32-bit if ``wide``), so a record's
-    place follows from its slot alone. Stored as Parquet rows of up to ``BLOCK_ROWS`` records: ``shard``, ``first_slot``,
-    ``ids``, ``pieces``, ``n_tokens``, ``crc32`` (an array element for each record) and ``records``.
+    place follows from its slot alone. An id, ``end`` or ``pad`` that doesn't fit the width is an error.
+
+    Slots are spread evenly, so range partitions need no sample: each holds the slots of ``file_shards`` shards that
+    follow each other, is sorted by one task and becomes one file; raise it where there would be too many. Stored as Parquet
+    rows of up to ``BLOCK_ROWS`` records: ``shard``, ``first_slot``, ``ids``, ``pieces``, ``n_tokens``, ``crc32`` (an array
+    element for each record) and ``records``. A record's ``offset`` (see ``manifest``) is its place in the records
+    of its shard, one after the other, not in the Parquet file around them.
 
     A null text is empty (its document is ``end``, or a record of padding); null ids and repeated rows
     have sequences of their own; an empty table writes no record. Other columns never matter.
     """
     spark = docs.sparkSession
     kind = "<u4" if wide else "<u2"
-    width = np.dtype(kind).itemsize
+    if max(end or 0, pad) > np.iinfo(kind).max:
+        raise ValueError("end or padding needs wide records")
     base = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
     of_id = dict(base.dtypes)["id"]
     store = scratch_path(spark, "token-ids")
@@ -146,20 +160,22 @@ def materialise(
     placed = numbered.select("id", "data", "base").mapInArrow(
         _place(total, key, length, pad, kind, shard_rows), f"id {of_id}, piece int, n_tokens int, shard long, slot long, record binary"
     )
-    sorted_rows = placed.repartition("shard").sortWithinPartitions("shard", "slot")
+    files = max(1, -(-total // (shard_rows * file_shards)))
+    sorted_rows = placed.repartitionById(files, F.floor(F.col("shard") / file_shards).cast("int")).sortWithinPartitions("slot")
     blocks = f"shard long, first_slot long, ids array<{of_id}>, pieces array<int>, n_tokens array<int>, crc32 array<long>, records binary"
     sorted_rows.mapInArrow(_blocks, blocks).write.mode("overwrite").option("compression", "zstd").parquet(target)
     return total
 
 
 def manifest(spark: SparkSession, target: str, width: int, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """A row for each record: id, ``piece``, ``n_tokens``, ``slot``, ``shard``, ``offset`` in bytes within the shard, ``crc32``."""
+    """A row for each record: id, ``piece``, ``n_tokens``, ``slot``, ``shard``, ``offset`` in bytes within the shard's records, ``crc32``."""
     rows = spark.read.parquet(target).select("shard", "first_slot", F.posexplode(F.arrays_zip("ids", "pieces", "n_tokens", "crc32")).alias("at", "r"))
     slot = F.col("first_slot") + F.col("at")
     return rows.select(F.col("r.ids").alias("id"), F.col("r.pieces").alias("piece"), F.col("r.n_tokens").alias("n_tokens"), slot.alias("slot"), "shard", ((slot - F.col("shard") * shard_rows) * width).alias("offset"), F.col("r.crc32").alias("crc32"))
 
 
 def resume(spark: SparkSession, target: str, slot: int) -> DataFrame:
-    """The stored blocks from the one that holds ``slot`` on, in order: where a stopped run goes on reading."""
-    rows = spark.read.parquet(target).where((F.col("first_slot") + BLOCK_ROWS > slot) & (F.col("first_slot") + F.size("ids") > slot))
+    """The stored blocks from the one that holds ``slot`` on, in order: where a stopped run goes on reading. Files of
+    earlier slots are skipped by their statistics."""
+    rows = spark.read.parquet(target).where((F.col("first_slot") > slot - BLOCK_ROWS) & (F.col("first_slot") + F.size("ids") > slot))
     return rows.orderBy("first_slot")

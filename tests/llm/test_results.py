@@ -304,6 +304,28 @@ def test_op7_round_trip(spark, sf, texts):
     assert seen >= total - total // 2
 
 
+def test_files_hold_ranges_of_slots(spark, sf):
+    target = scratch_path(spark, "order")
+    docs = queries.table(spark, sf, "documents")
+    total = order.materialise(docs, **queries.byte_level(), target=target, key=3, end=50_256, shard_rows=10, file_shards=2)
+    files = spark.read.parquet(target).groupBy(F.input_file_name().alias("f")).agg(F.min("first_slot").alias("a"), F.max(F.col("first_slot") + F.size("ids")).alias("b")).orderBy("a").collect()
+    assert [r.a for r in files] == list(range(0, total, 20)) and [r.b for r in files] == [*range(20, total, 20), total]
+    assert order.resume(spark, target, total - 1).agg(F.sum(F.size("ids"))).first()[0] == (total - 1) % 10 + 1
+    assert "GreaterThan(first_slot" in order.resume(spark, target, 5)._jdf.queryExecution().toString()
+
+
+def test_ids_beyond_the_width_are_refused(spark):
+    docs = spark.createDataFrame([(1, "some words here")], "doc_id long, text string")
+    for odd in ({"end": 70_000}, {"pad": 65_536}):
+        with pytest.raises(ValueError, match="wide"):
+            order.materialise(docs, **queries.byte_level(), target=scratch_path(spark, "order"), key=3, **odd)
+    ids = np.array([1, 65_536], np.uint32)
+    with pytest.raises(ValueError, match="wide"):
+        order.body_of(ids, 2, "<u2")
+    assert np.frombuffer(order.body_of(ids, 2, "<u4"), "<u4").tolist() == [1, 65_536, 2]
+    assert np.frombuffer(order.body_of(ids[:1], None, "<u2"), "<u2").tolist() == [1]
+
+
 def test_op8(spark, sf, texts):
     want = plain.groups(texts, 2)
     for r in Q["op8_minhash_near_dedup"](spark, sf).collect():

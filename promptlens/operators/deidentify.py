@@ -16,6 +16,8 @@ from promptlens.operators.dictionary import mask_terms
 WORD_START = r"(?<![\p{L}0-9_])"
 A_WORD = r"\p{L}+(?:['-]\p{L}+)*"
 LAST_WORD = r"\p{L}+(?:['-]\p{L}{2,})*"
+#: Terms of a dictionary that is sent to every task; a larger one is shuffled.
+SENT_TERMS = 50_000
 
 
 def inspect(df: DataFrame, detectors: Sequence[D.Detector], text: str = "prompt_text", min_likelihood: str = "POSSIBLE") -> DataFrame:
@@ -78,14 +80,17 @@ def find_dictionary_terms(df: DataFrame, id_col: str, text_col: str, terms: Data
     ``terms`` is (term, info_type), matched as whole words that single spaces separate, ignoring case for
     medical terms. Returns (id, term, info_type), distinct. What moves between executors are digests of
     runs of words, as long as the dictionary's terms are, never the words; runs are distinct per
-    text, and a very common one is split by the skew join.
+    text, and a very common one is split by the skew join. Up to ``SENT_TERMS`` terms are broadcast; the texts'
+    runs never are, however small the plan takes them for.
     """
     folded = F.when(F.col("info_type") == V.MEDICAL, F.lower("term")).otherwise(F.col("term"))
     known = terms.select("term", "info_type", folded.alias("key"), F.size(F.split("term", " ")).alias("words")).distinct()
-    lengths = [r["words"] for r in known.select("words").distinct().orderBy("words").collect()]  # word counts of terms
+    sizes = {r["words"]: r["count"] for r in known.groupBy("words").count().collect()}
+    lengths = sorted(sizes)  # word counts of terms
     if not lengths:
         return df.select(id_col, F.lit(None).cast("string").alias("term"), F.lit(None).cast("string").alias("info_type")).limit(0)
     known = known.withColumn("digest", F.sha2("key", 256)).drop("key", "words")
+    known = known.hint("broadcast" if sum(sizes.values()) <= SENT_TERMS else "merge")
     text = F.col(text_col)
     runs = []
     for n in lengths:

@@ -323,3 +323,15 @@ def test_a_hot_date_is_split_over_files(spark, sf):
     by_date = {str(r.event_date): (r.files, r.rows) for r in files.collect()}
     assert by_date["2024-03-01"][0] > 1 and by_date["2024-03-01"][1] > 500
     assert sum(n for _, n in by_date.values()) == 1000
+
+
+def test_texts_are_never_broadcast_to_a_dictionary(spark, monkeypatch):
+    """A plan may take the texts for smaller than the dictionary: they are shuffled, or stay where they are."""
+    terms = spark.createDataFrame([(f"Ann {c}lee", "PERSON_NAME") for c in "ABCDEFGH"], "term string, info_type string")
+    rows = spark.createDataFrame([(1, "Ann Alee and Ann Blee")], "id int, t string")
+    for most, how in ((8, "BuildRight"), (7, "SortMergeJoin")):
+        monkeypatch.setattr(Deid, "SENT_TERMS", most)
+        found = Deid.find_dictionary_terms(rows, "id", "t", terms)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert how in plan and "BuildLeft" not in plan
+        assert {(r.id, r.term) for r in found.collect()} == {(1, "Ann Alee"), (1, "Ann Blee")}

@@ -36,3 +36,12 @@ def test_query_equals_sql(spark, sf, db, name):
 
 def test_flagship_has_rows(spark):
     assert entry.entry(spark).count() > 0
+
+
+@pytest.mark.parametrize("n, largest", [(7, 7), (250, 250), (300, 250)])
+def test_an_external_call_is_full_where_there_are_rows(spark, tmp_path, n, largest):
+    """Whatever tasks the rows are spread over."""
+    rows = spark.range(n).selectExpr("id AS event_id", "timestamp'2024-01-01' AS ts", "id % 3 AS user_id", "'{\"k\": 1}' AS props")
+    rows.write.parquet(f"{tmp_path}/events.parquet")
+    got = QUERIES["s12_micro_batch"](spark, str(tmp_path)).collect()
+    assert {tuple(r) for r in got} == {("all rows", n), ("largest call", largest)}

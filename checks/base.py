@@ -70,17 +70,27 @@ def written_once(spark: SparkSession, sf: str, kind: str, write: Callable[[str],
     return path
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores where a small input comes as one split; larger inputs stay as read."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+#: Bytes of events whose messages one task derives, about: they are twenty times as large.
+SPREAD_BYTES = 4 << 20
+
+
+def spread(df: DataFrame, size: int = 0) -> DataFrame:
+    """Use all cores where a small input comes as one split, and a task for so many of the input's ``size`` bytes; an input
+    that comes in more splits stays as read."""
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, size // SPREAD_BYTES)
+    return df.repartition(tasks) if df.rdd.getNumPartitions() < tasks else df
+
+
+def _spread_events(spark: SparkSession, sf: str) -> DataFrame:
+    p, fs = _file(spark, f"{sf}/events.parquet")
+    return spread(events(spark, sf), fs.getContentSummary(p).getLength())
 
 
 def messages_path(spark: SparkSession, sf: str) -> str:
     """Folder of message envelopes, as a log sink would leave them."""
     return written_once(
         spark, sf, "messages",
-        lambda path: T.messages(spread(events(spark, sf))).write.parquet(path),
+        lambda path: T.messages(_spread_events(spark, sf)).write.parquet(path),
     )
 
 
@@ -91,7 +101,7 @@ def messages(spark: SparkSession, sf: str) -> DataFrame:
 def disturbed_path(spark: SparkSession, sf: str) -> str:
     return written_once(
         spark, sf, "disturbed",
-        lambda path: T.disturbed_messages(spread(events(spark, sf))).write.parquet(path),
+        lambda path: T.disturbed_messages(_spread_events(spark, sf)).write.parquet(path),
     )
 
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
-from checks import base
+from checks import base, streams
 from promptlens.operators.audit import run_counters
 from promptlens.operators.counters import STORED, Loaded, Totals, kept, observe
 from promptlens.operators.curate import curate, curate_and_reject, read_curated
@@ -202,3 +202,22 @@ def test_a_listener_sums_what_a_stream_observes(spark, sf):
         spark.streams.removeListener(totals)
     want = run_counters(base.curated(spark, sf)).first()
     assert totals.totals() == {"stored": want.total_rows, "flagged": want.flagged_rows, "ssn": want.ssn_rows, "toxic": want.toxic_rows}
+
+
+def test_more_messages_make_more_files_not_more_batches(spark, tmp_path, monkeypatch):
+    """A task reads a file, so files are of a size; a micro-batch takes as many as there are."""
+    path = f"{tmp_path}/messages"
+    spark.range(4000).selectExpr("'msg-' || id AS event_id", "sha2(CAST(id AS string), 512) AS data").write.parquet(path)
+    monkeypatch.setattr(streams, "FILE_BYTES", 20_000)
+    source = streams._file_stream(spark, path, "many-files", 3)
+    seen = []
+    query = source.writeStream.foreachBatch(lambda b, n: seen.append((b.count(), b.select(F.input_file_name()).distinct().count()))).option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert len(seen) == 3 and sum(n for n, _ in seen) == 4000
+    assert min(files for _, files in seen) > 1
+
+
+def test_events_are_spread_by_their_size(spark):
+    rows = spark.range(10)
+    assert base.spread(rows, 100 * base.SPREAD_BYTES).rdd.getNumPartitions() == 100
+    assert base.spread(rows.repartition(200), 100 * base.SPREAD_BYTES).rdd.getNumPartitions() == 200

@@ -10,6 +10,7 @@ from promptlens import fixed_values as V
 from promptlens.functions import detectors as D
 from promptlens.operators import curate as C
 from promptlens.operators import deidentify as Deid
+from promptlens.operators import dictionary
 from promptlens.operators.dictionary import mask_terms
 from tests.test_plans import nodes, output
 
@@ -110,3 +111,23 @@ def test_masks_by_hand(spark):
     table = spark.createDataFrame([("x y", "A"), ("y z", "B"), ("z", "B")], "term string, info_type string")
     frame = spark.createDataFrame([("x y z",)], "prompt_text string").withColumn("prompt_text_masked", F.col("prompt_text")).withColumn("dlp_info_types", F.array().cast("array<string>"))
     assert mask_terms(frame, table, base.test_key(spark)).first() == ("[A] [B]", ["A", "B"])
+
+
+def test_first_tokens_tell_which_runs_are_built(spark, monkeypatch):
+    """Only runs that a term may begin are joined; case beyond ASCII, and more first tokens than are told apart, lose none."""
+    terms = spark.createDataFrame([("Ann Lee", "PERSON_NAME"), ("ΟΣ'Α", "MEDICAL_TERM"), ("sprain", "MEDICAL_TERM")], "term string, info_type string")
+    key = base.test_key(spark)
+    texts = ["Ann Lee and ann lee", "an οσ'α", "AN ΟΣ'Α", "a Sprain", "nothing"]
+    rows = spark.createDataFrame([(t, t, []) for t in texts], "prompt_text string, prompt_text_masked string, dlp_info_types array<string>")
+
+    def found():
+        return {r.prompt_text_masked: r.dlp_info_types for r in dictionary.mask_terms(rows, terms, key).collect()}
+
+    want = {"[PERSON_NAME] and ann lee": ["PERSON_NAME"], "an οσ'α": ["MEDICAL_TERM"], "AN ΟΣ'Α": ["MEDICAL_TERM"], "a Sprain": ["MEDICAL_TERM"], "nothing": []}
+    assert found() == want
+    pad, _ = key.pads()
+    starts = dictionary._starts(terms, pad, [False, True])
+    may = spark.createDataFrame([(t,) for t in ("Ann", "ann", "SPRAIN", "a", "Σ")], "t string").select("t", dictionary._may_start(pad, F.col("t"), starts).alias("m"))
+    assert {r.t for r in may.where("m").collect()} == {"Ann", "SPRAIN", "Σ"}
+    monkeypatch.setattr(dictionary, "MOST_STARTS", 0)
+    assert found() == want

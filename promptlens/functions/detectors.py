@@ -61,8 +61,9 @@ class Detector:
     def info_type(self) -> str:
         return self.reported_as or self.name
 
-    def found(self, text: Column) -> Column:
-        text = F.lower(text) if self.ignore_case else text
+    def found(self, text: Column, low: Column | None = None) -> Column:
+        """``low`` is the text in lower case, where a caller has it: each use of an expression may compute it again."""
+        text = (F.lower(text) if low is None else low) if self.ignore_case else text
         return self.may_hold(text) & text.rlike(self.pattern)
 
     def may_hold(self, text: Column) -> Column:
@@ -161,13 +162,13 @@ def min_likelihood(detectors: Sequence[Detector], level: str = "POSSIBLE") -> tu
     return tuple(d for d in detectors if V.LIKELIHOODS.index(d.likelihood) >= floor)
 
 
-def info_types(text: Column, detectors: Sequence[Detector]) -> Column:
-    """Sorted distinct information types found in a text (types only, no quotes)."""
+def info_types(text: Column, detectors: Sequence[Detector], low: Column | None = None) -> Column:
+    """Sorted distinct information types found in a text (types only, no quotes). ``low`` as in :meth:`Detector.found`."""
     by_type: dict[str, list[Detector]] = {}
     for d in detectors:
         by_type.setdefault(d.info_type, []).append(d)
     found = [
-        F.when(reduce(lambda a, b: a | b, (d.found(text) for d in by_type[name])), name).otherwise("")
+        F.when(reduce(lambda a, b: a | b, (d.found(text, low) for d in by_type[name])), name).otherwise("")
         for name in sorted(by_type)
     ]
     return F.array_remove(F.array(*found), "") if found else F.array().cast("array<string>")

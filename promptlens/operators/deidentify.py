@@ -23,7 +23,8 @@ SENT_TERMS = 50_000
 def inspect(df: DataFrame, detectors: Sequence[D.Detector], text: str = "prompt_text", min_likelihood: str = "POSSIBLE") -> DataFrame:
     """Add the sorted distinct information types of a text column."""
     chosen = D.min_likelihood(detectors, min_likelihood)
-    return df.withColumn("dlp_info_types", D.info_types(F.col(text), chosen))
+    lowered = df.withColumn("_low", F.lower(text))  # a step of its own, so that it is computed once
+    return lowered.withColumn("dlp_info_types", D.info_types(F.col(text), chosen, F.col("_low"))).drop("_low")
 
 
 def finding_flags(df: DataFrame) -> DataFrame:

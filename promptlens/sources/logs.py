@@ -52,7 +52,7 @@ def union_streams(left: DataFrame, right: DataFrame) -> DataFrame:
 
 def drop_empty_messages(messages: DataFrame) -> DataFrame:
     """Messages without data are skipped, not failed."""
-    return messages.where(F.coalesce(F.length("data"), F.lit(0)) > 0)
+    return messages.where(F.coalesce(F.octet_length("data"), F.lit(0)) > 0)
 
 
 def message_text(data: Column) -> Column:

@@ -20,6 +20,8 @@ FREQUENT = 1 << 18
 ROUNDS = 2
 #: How many pieces' worth of evidence the vocabulary's own scores are.
 PRIOR = 1000.0
+#: Bytes of text whose distinct words are counted at once.
+COUNTED_BYTES = 2 << 20
 #: Bytes of words that one step works on, and from where on a word counts as long.
 FLAT, LONG = 1 << 18, 48
 
@@ -222,7 +224,7 @@ def _taken(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
 
 def _words(texts: pa.Array) -> Iterator[tuple]:
     """(first row, last row, lower-case bytes, start, end, row, hash) of the words of bounded runs of rows."""
-    for first, last, data, offsets in X.pieces(texts):
+    for first, last, data, offsets in X.pieces(texts, COUNTED_BYTES):
         low = X.lower_ascii(data)
         start, end, row = X.word_spans(~((data == 32) | ((data >= 9) & (data <= 13))), offsets)
         yield first, last, low, start, end, row, keys(low, start, end)

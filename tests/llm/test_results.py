@@ -611,3 +611,14 @@ def test_resharding_writes_the_shards_it_reports(spark, sf, texts, monkeypatch):
     for a in reshard.assigned(queries.table(spark, sf, "documents"), plan).collect():
         r = rows[a.doc_id]
         assert (r["size"], r.text_crc32, r.old_shard, r.shard, r.slot) == (a["size"], a.text_crc32, a.old_shard, a.shard, a.slot)
+
+
+@pytest.mark.parametrize("others", [2, 20])
+def test_alike_passages_behind_frequent_lines_are_found(spark, others):
+    """Documents 1000 and 3000 are alike, with an edit in every 14 words; each line of theirs is in documents before both and between them."""
+    lines = [[f"l{k}w{i}" for i in range(13)] for k in range(8)]
+    own = lambda d: [f"o{d}x{i}" for i in range(20)]
+    docs = {d: [w for k, line in enumerate(lines) for w in [*line, f"e{d}k{k}"]] for d in (1000, 3000)}
+    docs |= {first + k * others + j: [*own(first + k * others + j), *line, *own(-first - k * others - j)] for first in (0, 2000) for k, line in enumerate(lines) for j in range(others)}
+    rows = chain.shared_passages(spark.createDataFrame([(k, " ".join(v)) for k, v in docs.items()], "doc_id long, text string").repartition(3)).collect()
+    assert [(r.doc_id, r.other_id, r.first_word, r.n_words, r.matched_words) for r in rows] == [(3000, 1000, 0, 111, 104)]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, DataFrameWriter, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,7 +17,7 @@ from promptlens.operators.deidentify import deidentify, finding_flags, pseudonym
 from promptlens.operators.judge import judge_with, rule_judge, store_judgements, validate_judge
 from promptlens.operators.normalize import flatten
 from promptlens.schema import CLUSTER_KEYS, NOT_NULL, curated_schema
-from promptlens.session import file_names
+from promptlens.session import file_names, settings
 from promptlens.sources.logs import decode_messages, drop_empty_messages, is_corrupt, message_text, parse_entry, quarantine_malformed
 
 NUMBERS = ["latency_ms", "prompt_tokens", "response_tokens"]
@@ -225,10 +225,22 @@ def table_parts(spark: SparkSession, path: str) -> list[DataFrame]:
     return [added, merged]
 
 
+#: Rows of a file of JSON lines at most: a compressed file is read by one task.
+EXPORT_ROWS = 250_000
+#: A task keeps so many folders' files open and sorts its rows only where there are more.
+OPEN_FILES = {"spark.sql.maxConcurrentOutputFileWriters": "16"}
+
+
+def _json_lines(df: DataFrame) -> DataFrameWriter:
+    """JSON repeats every column's name in every row, so it is over ten times as large as the table where it isn't compressed."""
+    return df.write.mode("overwrite").option("compression", "gzip").option("maxRecordsPerFile", EXPORT_ROWS)
+
+
 def export_jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
 def split_by_stream(df: DataFrame, path: str) -> None:
-    """One folder of JSON lines per interaction type."""
-    df.write.mode("overwrite").partitionBy("interaction_type").json(path)
+    """One folder of gzip-compressed JSON lines per interaction type."""
+    with settings(df.sparkSession, OPEN_FILES):
+        _json_lines(df).partitionBy("interaction_type").json(path)

@@ -1,11 +1,16 @@
 """How the curated table is written: what is shuffled, sorted and computed once."""
 
+import gzip
+
+import pytest
 from pyspark.sql import functions as F
 
 from checks import base
 from promptlens.functions import detectors as D
+from promptlens.operators import curate as C
 from promptlens.operators.curate import curate, dedupe_by_date, read_curated, write_curated
 from promptlens.operators.deidentify import inspect
+from promptlens.schema import curated_schema
 from promptlens.session import SETTINGS, SMALL_TASKS, prepare, settings
 
 
@@ -54,3 +59,22 @@ def test_settings_come_back(spark):
     except KeyError:
         pass
     assert {k: spark.conf.get(k) for k in SMALL_TASKS} == before
+
+
+@pytest.mark.parametrize("write", [C.split_by_stream])
+def test_json_lines_are_compressed_and_bounded(spark, sf, tmp_path, monkeypatch, write):
+    monkeypatch.setattr(C, "EXPORT_ROWS", 300)
+    rows = base.curated(spark, sf).drop("event_date").coalesce(1).withColumn("interaction_type", F.when(F.col("latency_ms") % 7 != 0, F.col("interaction_type")))
+    before = spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")
+    write(rows, f"{tmp_path}/out")
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == before
+    files = [p for p in (tmp_path / "out").rglob("part-*")]
+    assert files and all(p.name.endswith(".json.gz") for p in files)
+    counts = [len(gzip.decompress(p.read_bytes()).splitlines()) for p in files]
+    assert max(counts) <= 300 and sum(counts) == rows.count()
+    plain = sum(len(gzip.decompress(p.read_bytes())) for p in files)
+    assert sum(p.stat().st_size for p in files) < plain / 5
+    back = spark.read.schema(curated_schema()).json(f"{tmp_path}/out")
+    columns = [F.to_json(c).alias(c) if back.schema[c].dataType.typeName() == "struct" else c for c in back.columns]
+    a, b = rows.select(*columns), back.select(*columns)
+    assert a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()

@@ -237,7 +237,8 @@ def _json_lines(df: DataFrame) -> DataFrameWriter:
 
 
 def export_jsonl(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").json(path)
+    """The table as gzip-compressed JSON lines."""
+    _json_lines(df).json(path)
 
 
 def split_by_stream(df: DataFrame, path: str) -> None:

@@ -61,7 +61,7 @@ def test_settings_come_back(spark):
     assert {k: spark.conf.get(k) for k in SMALL_TASKS} == before
 
 
-@pytest.mark.parametrize("write", [C.split_by_stream])
+@pytest.mark.parametrize("write", [C.export_jsonl, C.split_by_stream])
 def test_json_lines_are_compressed_and_bounded(spark, sf, tmp_path, monkeypatch, write):
     monkeypatch.setattr(C, "EXPORT_ROWS", 300)
     rows = base.curated(spark, sf).drop("event_date").coalesce(1).withColumn("interaction_type", F.when(F.col("latency_ms") % 7 != 0, F.col("interaction_type")))

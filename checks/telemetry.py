@@ -217,28 +217,22 @@ def disturbed_messages(events: DataFrame) -> DataFrame:
     """Messages with deliveries a pipeline must survive: empty data, undecodable JSON, invalid
     UTF-8, null and absent fields, a scalar path, a numeric string, a fraction, a number that is
     none, a field of another type that nothing reads, and redeliveries, some of them good after bad."""
-    eid, rows = F.col("event_id"), prompts(events)
+    eid, value = F.col("event_id"), F.col("value")
     changes = {
         "department": lambda c: F.when(eid % 211 != 0, c),
         "interaction_type": lambda c: F.when((eid % 223 != 0) | (c == V.CHAT), c),
     }
-    rows = _rows(rows, eid, F.col("ts"), F.to_json(entry_struct(changes)).alias("value"), F.to_json(entry_struct(ts=F.col("ts") + F.expr("interval 1 second"))).alias("again"))
-    value = F.col("value")
-    value = F.when(
-        eid % 227 == 0,
-        F.regexp_replace(value, r'"agent_tree_path":\[[^\]]*\]', '"agent_tree_path":"direct call"'),
-    ).otherwise(value)
-    value = F.when(
-        eid % 229 == 0, F.regexp_replace(value, r'"latency_ms":[0-9]+', '"latency_ms":"12"')
-    ).otherwise(value)
-    value = F.when(
-        eid % 233 == 0, F.regexp_replace(value, r'("latency_ms":[0-9]+)', "$1.7")
-    ).otherwise(value)
-    value = F.when(
-        eid % 350 == 0, F.regexp_replace(value, r'"latency_ms":[^,}]+', '"latency_ms":"soon"')
-    ).otherwise(value)
-    value = F.when(eid % 239 == 0, F.concat(F.lit('{"resource":"global",'), F.substring(value, F.lit(2), F.length(value)))).otherwise(value)
-    value = F.when(eid % 997 == 0, F.substring(value, 1, 40)).otherwise(value)
+    rows = _rows(prompts(events), eid, F.to_json(entry_struct(changes)).alias("value"))
+    spoiled = {
+        227: F.regexp_replace(value, r'"agent_tree_path":\[[^\]]*\]', '"agent_tree_path":"direct call"'),
+        229: F.regexp_replace(value, r'"latency_ms":[0-9]+', '"latency_ms":"12"'),
+        233: F.regexp_replace(value, r'("latency_ms":[0-9]+)', "$1.7"),
+        350: F.regexp_replace(value, r'"latency_ms":[^,}]+', '"latency_ms":"soon"'),
+        239: F.concat(F.lit('{"resource":"global",'), F.substring(value, F.lit(2), F.length(value))),
+        997: F.substring(value, 1, 40),
+    }
+    for every, change in spoiled.items():  # a step each: in one expression, every change would repeat all those before it
+        rows = rows.withColumn("value", F.when(eid % every == 0, change).otherwise(value))
     first = _rows(
         rows,
         F.concat(F.lit("msg-"), eid.cast("string")).alias("event_id"),
@@ -247,9 +241,9 @@ def disturbed_messages(events: DataFrame) -> DataFrame:
         .otherwise(F.base64(value.cast("binary"))).alias("data"),
     )
     later = _rows(
-        rows.where(eid % 50 == 0),
+        prompts(events.where(eid % 50 == 0)),
         F.concat(F.lit("again-"), eid.cast("string")).alias("event_id"),
-        F.base64(F.col("again").cast("binary")).alias("data"),
+        F.base64(F.to_json(entry_struct(ts=F.col("ts") + F.expr("interval 1 second"))).cast("binary")).alias("data"),
     )
     return first.unionByName(later)
 

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from promptlens.operators.curate import dedupe, read_curated, write_curated
-from promptlens.operators.runs import Runs
+from promptlens.operators.runs import Runs, joined_by
 from promptlens.schema import curated_schema
 from promptlens.session import file_names, remove_file, scratch_path, touch_file
 
@@ -50,7 +50,7 @@ def recover(spark: SparkSession, path: str) -> None:
             table = _missing_is_none(lambda: read_curated(spark, path))
             if doubtful is not None and table is not None:
                 dates = [r["event_date"] for r in doubtful.select("event_date").distinct().collect()]
-                there = table.where(F.col("event_date").isin(dates)).select("insert_id")
+                there = table.where(F.col("event_date").isin(dates)).select("insert_id").hint("merge")
                 found = doubtful.join(there, "insert_id", "left_semi").distinct()
                 count = found.count()
                 if count:
@@ -87,10 +87,10 @@ def append_staged(staged: DataFrame, path: str, finish: Callable[[DataFrame], Da
     append = uuid.uuid4().hex
     touch_file(spark, f"{path}/_open/{append}")
     run = runs.write(runs.without(ids, most), most, append)
-    own = runs.read(run)
+    own = runs.files(run)
     count = own.count()
     if count:
-        new = staged if count == most else staged.join(own.select("insert_id"), "insert_id", "left_semi")
+        new = staged if count == most else staged.join(joined_by(own.select("insert_id"), count), "insert_id", "left_semi")
         write_curated(finish(new), path, "append")
         runs.mark(run)
         remove_file(spark, f"{path}/_open/{append}")

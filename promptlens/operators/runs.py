@@ -25,6 +25,14 @@ BUCKET_ROWS = 1_000_000
 FANOUT = 8
 #: Batches of so many keys are looked up by bucket and Bloom filter, larger ones joined; both give the same rows.
 LOOKUP = 1000
+#: Keys that may be sent to every task, through the driver. Sorted ids take a few bytes each in files and over a hundred in memory, so
+#: the size of the files, by which Spark would choose, says little.
+SENT = 50_000
+
+
+def joined_by(keys: DataFrame, about: int) -> DataFrame:
+    """A join's side of ``about`` rows at most: merged by key, where it is too large to be sent."""
+    return keys if about <= SENT else keys.hint("merge")
 
 
 @dataclass(frozen=True)
@@ -93,14 +101,19 @@ class Runs:
         )
         return self.spark.read.table(self._table(run))
 
-    def parts(self) -> list[DataFrame]:
-        """The set as few frames: the small runs together, each large one with its buckets."""
+    def files(self, run: Run) -> DataFrame:
+        """A run's rows without its buckets: joined with wide rows, a few buckets would be few tasks."""
+        return self.spark.read.schema(self.schema).parquet(f"{self.path}/{run.name}")
+
+    def parts(self) -> list[tuple[DataFrame, int]]:
+        """The set as few frames, and their rows at most: the small runs together, each large one with its buckets."""
         runs = self.live()
-        small = [self.read(r) for r in runs if r.buckets == 1]
-        return ([reduce(DataFrame.unionByName, small)] if small else []) + [self.read(r) for r in runs if r.buckets > 1]
+        small = [r for r in runs if r.buckets == 1]
+        together = [(reduce(DataFrame.unionByName, (self.read(r) for r in small)), sum(r.rows for r in small))] if small else []
+        return together + [(self.read(r), r.rows) for r in runs if r.buckets > 1]
 
     def rows(self) -> DataFrame | None:
-        parts = self.parts()
+        parts = [part for part, _ in self.parts()]
         return reduce(DataFrame.unionByName, parts) if parts else None
 
     def _few(self, rows: DataFrame, about: int) -> list | None:
@@ -115,16 +128,17 @@ class Runs:
         The large runs' side of a join is read bucket by bucket, without a shuffle.
         """
         few = self._few(rows, about)
-        for part in self.parts():
+        for part, size in self.parts():
             held = part.select(self.key)
-            rows = rows.join(held if few is None else held.where(F.col(self.key).isin(few)), self.key, "left_anti")
+            held = joined_by(held, size) if few is None else held.where(F.col(self.key).isin(few))
+            rows = rows.join(held, self.key, "left_anti")
         return rows
 
     def having(self, rows: DataFrame, about: int) -> DataFrame | None:
         """What the set keeps for the keys of ``rows``; None for an empty set."""
         few = self._few(rows, about)
-        keys = rows.select(self.key)
-        found = [p.join(keys, self.key, "left_semi") if few is None else p.where(F.col(self.key).isin(few)) for p in self.parts()]
+        keys = joined_by(rows.select(self.key), about)
+        found = [p.join(keys, self.key, "left_semi") if few is None else p.where(F.col(self.key).isin(few)) for p, _ in self.parts()]
         return reduce(DataFrame.unionByName, found) if found else None
 
     def compact(self, keep: Callable[[DataFrame], DataFrame] | None = None, name: Callable[[list[Run]], str] | None = None) -> None:

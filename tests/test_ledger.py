@@ -15,6 +15,13 @@ from tests.test_plans import nodes
 SCHEMA = "insert_id string, event_date date"
 
 
+@pytest.fixture
+def static(spark):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    yield
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
 def ids(spark, numbers):
     return spark.createDataFrame([(f"id-{n:06}", None) for n in numbers], SCHEMA)
 
@@ -168,3 +175,42 @@ def test_random_appends_with_failures_leave_each_id_once(spark, sf, small, monke
         got = [r.insert_id for r in C.read_curated(spark, path).select("insert_id").collect()]
         assert len(got) == len(set(got)) and set(got) == wanted, (step, fate)
     assert not L.open_appends(spark, path)
+
+
+@pytest.mark.parametrize("numbers, sent", [(range(0, 60, 2), True), (range(0, 600, 2), False)])
+def test_only_few_keys_are_sent_to_every_task(spark, monkeypatch, static, numbers, sent):
+    monkeypatch.setattr(R, "SENT", 100)
+    monkeypatch.setattr(R, "LOOKUP", 0)
+    runs = runs_of(spark, numbers)
+    batch = ids(spark, range(900))
+
+    def broadcasts(df):
+        return [n for n in nodes(df) if n.nodeName().startswith("Broadcast")]
+
+    out = runs.without(batch, 900)
+    assert bool(broadcasts(out)) == sent
+    assert out.count() == 900 - len(numbers)
+    kept = runs.having(ids(spark, numbers), len(numbers))
+    assert sent or not broadcasts(kept)
+    assert kept.count() == len(numbers)
+
+
+@pytest.mark.parametrize("known, sent", [(range(1000, 1950), True), (range(1000, 1600), False)])
+def test_new_ids_of_an_append_are_sent_only_if_few(spark, sf, small, static, monkeypatch, tmp_path, known, sent):
+    """Rows that are new are joined by shuffle partitions, not by the few buckets of the run that names them."""
+    monkeypatch.setattr(R, "SENT", 100)
+    rows = base.curated(spark, sf).limit(1).drop("insert_id").crossJoin(spark.range(1000, 2000).selectExpr("concat('id-', id) as insert_id"))
+    path, seen = f"{tmp_path}/table", []
+    names = base.curated(spark, sf).drop("event_date").columns
+    L.append_once(rows.where(f"insert_id < 'id-{known.stop}'").select(names), path)
+
+    def finish(new):
+        seen.append([n.nodeName() for n in nodes(new)])
+        seen.append(any("Bucketed: true" in x.toString() for x in scans(new)))
+        return new.select(*names)
+
+    staged = f"{tmp_path}/staged"
+    rows.write.parquet(staged)
+    assert L.append_staged(spark.read.parquet(staged), path, finish) == 2000 - known.stop
+    assert any(n.startswith("Broadcast") for n in seen[0]) == sent and not seen[1]
+    assert C.read_curated(spark, path).select("insert_id").distinct().count() == C.read_curated(spark, path).count() == 1000

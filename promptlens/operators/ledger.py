@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from promptlens.operators.curate import dedupe, read_curated, write_curated
 from promptlens.operators.runs import Runs, joined_by
 from promptlens.schema import curated_schema
-from promptlens.session import file_names, remove_file, scratch_path, touch_file
+from promptlens.session import SMALL_TASKS, file_names, remove_file, scratch_path, settings, touch_file
 
 LEDGER = "insert_id string, event_date date"
 
@@ -71,11 +71,12 @@ def append_once(rows: DataFrame, path: str, distinct: bool = False) -> int:
     return append_staged(rows.sparkSession.read.parquet(staged), path, lambda new: new.select(*names))
 
 
-def append_staged(staged: DataFrame, path: str, finish: Callable[[DataFrame], DataFrame]) -> int:
+def append_staged(staged: DataFrame, path: str, finish: Callable[[DataFrame], DataFrame], dealt: bool = False) -> int:
     """Append what ``finish`` makes of the rows whose ``insert_id`` is new, one row for each id.
 
     ``staged`` is read several times, so it must be a stored table. ``finish`` sees new rows only and keeps one row for
-    each ``insert_id``, that of the least ``event_timestamp``.
+    each ``insert_id``, that of the least ``event_timestamp``. ``dealt`` says that its rows are dealt by date already; they are then
+    sorted whole, by tasks that are small enough for it.
     """
     spark = staged.sparkSession
     recover(spark, path)
@@ -91,7 +92,8 @@ def append_staged(staged: DataFrame, path: str, finish: Callable[[DataFrame], Da
     count = own.count()
     if count:
         new = staged if count == most else staged.join(joined_by(own.select("insert_id"), count), "insert_id", "left_semi")
-        write_curated(finish(new), path, "append")
+        with settings(spark, SMALL_TASKS if dealt else {}):
+            write_curated(finish(new), path, "append", dealt)
         runs.mark(run)
         remove_file(spark, f"{path}/_open/{append}")
         runs.compact()

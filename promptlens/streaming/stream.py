@@ -19,7 +19,7 @@ from promptlens import fixed_values as V
 from promptlens.functions import detectors as D
 from promptlens.functions.hashing import ActorKey
 from promptlens.operators.counters import DELIVERED, STORED, Loaded, keep, observe
-from promptlens.operators.curate import add_metrics, dedupe, deliveries, drop_identity, named, rejects
+from promptlens.operators.curate import add_metrics, dedupe, dedupe_by_date, deliveries, drop_identity, named, rejects
 from promptlens.operators.judge import answers_at, judge_stored, rule_judge
 from promptlens.operators.ledger import append_once, append_staged, ledger, recover
 from promptlens.session import scratch_path
@@ -62,7 +62,7 @@ def load(messages: DataFrame, detectors: Sequence[D.Detector], key: ActorKey, pa
     counts = dict(came.get)
     bad, good = named(delivered), delivered.where("reason is null")
     if judge is None:
-        count = append_staged(good, path, lambda new: observe(drop_identity(add_metrics(rule_judge(dedupe(new)))), STORED, stored))
+        count = append_staged(good, path, lambda new: observe(drop_identity(add_metrics(rule_judge(dedupe_by_date(new)))), STORED, stored), dealt=True)
     else:
         recover(spark, path)
         new = dedupe(ledger(spark, path).without(good, good.count()))

@@ -5,13 +5,15 @@ import gzip
 import pytest
 from pyspark.sql import functions as F
 
-from checks import base
+from checks import base, telemetry
 from promptlens.functions import detectors as D
+from promptlens.operators import ledger
 from promptlens.operators import curate as C
 from promptlens.operators.curate import curate, dedupe_by_date, read_curated, write_curated
 from promptlens.operators.deidentify import inspect
 from promptlens.schema import curated_schema
 from promptlens.session import SETTINGS, SMALL_TASKS, prepare, settings
+from promptlens.streaming import stream
 
 
 def _plan(df) -> str:
@@ -78,3 +80,34 @@ def test_json_lines_are_compressed_and_bounded(spark, sf, tmp_path, monkeypatch,
     columns = [F.to_json(c).alias(c) if back.schema[c].dataType.typeName() == "struct" else c for c in back.columns]
     a, b = rows.select(*columns), back.select(*columns)
     assert a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+
+
+def test_a_load_derives_judged_columns_after_the_last_shuffle(spark, sf, tmp_path, monkeypatch):
+    plans, tasks = [], []
+
+    def write(df, *args):
+        plans.append(_plan(df))
+        tasks.append({k: spark.conf.get(k) for k in SMALL_TASKS})
+        write_curated(df, *args)
+
+    monkeypatch.setattr(ledger, "write_curated", write)
+    some = base.disturbed(spark, sf).where(F.xxhash64("event_id") % 5 == 0)
+    want = curate(some, base.DETECTORS, base.test_key(spark))
+    assert stream.backfill(some, base.DETECTORS, base.test_key(spark), f"{tmp_path}/t") == want.count() > 0
+    above, below = plans[0].split("RebalancePartitions")  # once: rows already dealt stay where they are
+    assert "prompt_coaching" in above and "prompt_coaching" not in below
+    assert tasks == [SMALL_TASKS]
+    got = read_curated(spark, f"{tmp_path}/t").drop("event_date")
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+
+
+def test_disturbed_messages_are_put_together_once(spark):
+    """Each delivery's JSON is made once, and a change that spoils it doesn't repeat those before it."""
+    rows = [(i, None, i % 3, '{"k": 1}') for i in (0, 1, 50, 227, 997, 50 * 227 * 229)] + [(None, None, None, None)]
+    events = spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, props string")
+    out = telemetry.disturbed_messages(events)
+    plan = _plan(out)
+    assert plan.count("StructsToJsonEvaluator(") == 2
+    assert plan.count("direct call") == 1 and plan.count("soon") == 1
+    assert out.count() == 7 + 3
+    assert sorted(r.event_id for r in out.where("event_id like 'again%'").collect()) == ["again-0", f"again-{50 * 227 * 229}", "again-50"]

@@ -92,8 +92,11 @@ def append_staged(staged: DataFrame, path: str, finish: Callable[[DataFrame], Da
     count = own.count()
     if count:
         new = staged if count == most else staged.join(joined_by(own.select("insert_id"), count), "insert_id", "left_semi")
-        with settings(spark, SMALL_TASKS if dealt else {}):
-            write_curated(finish(new), path, "append", dealt)
+        if dealt:
+            with settings(spark, SMALL_TASKS):
+                write_curated(finish(new), path, "append", dealt=True)
+        else:
+            write_curated(finish(new), path, "append")
         runs.mark(run)
         remove_file(spark, f"{path}/_open/{append}")
         runs.compact()

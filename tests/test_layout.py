@@ -85,10 +85,10 @@ def test_json_lines_are_compressed_and_bounded(spark, sf, tmp_path, monkeypatch,
 def test_a_load_derives_judged_columns_after_the_last_shuffle(spark, sf, tmp_path, monkeypatch):
     plans, tasks = [], []
 
-    def write(df, *args):
+    def write(df, *args, **options):
         plans.append(_plan(df))
         tasks.append({k: spark.conf.get(k) for k in SMALL_TASKS})
-        write_curated(df, *args)
+        write_curated(df, *args, **options)
 
     monkeypatch.setattr(ledger, "write_curated", write)
     some = base.disturbed(spark, sf).where(F.xxhash64("event_id") % 5 == 0)
